@@ -51,3 +51,11 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows, at ``row_bytes`` each, stay below ``limit``; else unchanged."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """About ``rows`` rows of ``df``, or all if it has no more: those whose hashed ``key`` is small, the same in every run."""
+    count = df.count()
+    if count <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * rows / count))
