@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import langid, packing, pii, quality, secrets, toxicity
+from bitloom.llm import html_text, langid, packing, pii, quality, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.find(_read(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op5_html_text": op5_html_text,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
