@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import html_text, langid, packing, pii, quality, secrets, toxicity
+from bitloom.llm import html_text, langid, neardup, packing, pii, quality, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_read(spark, sf_dir, "pages"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share four fifths of their two-word shingles."""
+    return neardup.groups(_read(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.find(_read(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op5_html_text": op5_html_text,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
