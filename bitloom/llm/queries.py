@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import decontaminate, html_text, langid, neardup, packing, pii, quality, secrets, toxicity
+from bitloom.llm import decontaminate, html_text, langid, licenses, neardup, packing, pii, quality, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_read(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licenses in every document."""
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.find(_read(spark, sf_dir, "documents"))
@@ -65,9 +70,12 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_html_text": op5_html_text,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_licenses": op7_licenses,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": licenses.oracle(),
+}
