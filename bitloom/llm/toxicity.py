@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and their beginnings of three to five letters (so unseen inflections of a known stem
-count), hashed to ``BUCKETS`` values. Counts of (bucket, label) over all training documents, summed on the
+count), hashed to ``BUCKETS`` values. Counts of (bucket, label) over the training sample, summed on the
 executors, choose the ``TERMS`` buckets that tell most about the label; the machine learns a weight and a
 ``RANK``-dimensional vector for each, so pairs such as insult and group mention add to the score beyond the sum
-of their weights. It is fitted by stochastic gradient descent on at most ``SAMPLE`` training documents.
+of their weights. Training takes at most ``SAMPLE`` labelled documents, chosen by hash, so the labels that are broadcast
+to the scan of the texts are bounded and no text is shuffled.
 
 Null and empty texts get the score of a text without any term. Repeated rows score alike, whole texts are read,
 extra columns are ignored; without training rows every score is 0.
@@ -24,7 +25,7 @@ from bitloom.llm.common import hash_sample, materialize
 
 #: Hash buckets of terms, and those that the machine learns on, at most.
 BUCKETS, TERMS = 1 << 20, 4096
-#: Labelled training documents for the gradient descent, at most (in expectation).
+#: Labelled training documents, at most (in expectation).
 SAMPLE = 20_000
 RANK, EPOCHS, RATE, DECAY = 4, 12, 0.05, 1e-4
 #: Words are bared of these at both ends.
@@ -69,7 +70,7 @@ class Terms:
 
 
 def _informative(labelled: DataFrame, terms: int) -> dict[int, int]:
-    """The buckets that tell most about the label, numbered from 0: by log-likelihood ratio over all training documents."""
+    """The buckets that tell most about the label, numbered from 0: by log-likelihood ratio."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Terms()
@@ -128,7 +129,8 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, size: int) -> dict:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> dict:
     """A machine from the documents that have a label and aren't held out."""
     labels = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
+    few = F.broadcast(hash_sample(labels, sample))  # bounded by ``sample``, whatever the size of the tables
+    labelled = docs.select("doc_id", "text").join(few, "doc_id")
     chosen = _informative(labelled.select("text", "toxic"), terms)
     if not chosen:
         return {"chosen": {}, "w": np.zeros(1, np.float32), "v": np.zeros((1, RANK), np.float32), "b": -30.0}
@@ -139,8 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             packed = [np.array(sorted(of(t)), np.int32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("toxic")], ["doc_id", "x", "toxic"])
 
-    few = docs.select("doc_id", "text").join(hash_sample(labels, sample), "doc_id")
-    got = few.mapInArrow(encode, "doc_id long, x binary, toxic long").toPandas().sort_values(["doc_id", "x"], kind="stable")
+    got = labelled.mapInArrow(encode, "doc_id long, x binary, toxic long").toPandas().sort_values(["doc_id", "x"], kind="stable")
     rows = [np.frombuffer(x, np.int32) for x in got.x]
     return {"chosen": chosen} | _descend(rows, got.toxic.to_numpy(), len(chosen))
 
