@@ -2,5 +2,321 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bitloom.functions import bits as B
+from bitloom.operators import markov, repeats, sequences, tables
+from bitloom.session import table
+
+EVENTS = ["click", "error", "purchase", "signup", "view"]
+BY = ["ts", "event_id"]
+#: A population model that prefers TA and AT (fixed values of the experiments), and the uniform one.
+UNIFORM = {a + b: 0.25 for a in "acgt" for b in "acgt"}
+TA_RICH = {a + b: p for a, row in {"a": (0.09, 0.01, 0.01, 0.89), "c": (0.25, 0.25, 0.25, 0.25), "g": (0.25, 0.25, 0.25, 0.25), "t": (0.89, 0.01, 0.01, 0.09)}.items() for b, p in zip("acgt", row, strict=True)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SEQS = "seqs AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM documents)"
+STEPS = "steps AS (SELECT event_id, user_id, ts, event_type AS sym, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ctx FROM events)"
+
+
+def grams_sql(k: int, name: str = "grams") -> str:
+    return f"{name} AS (SELECT doc_id, CAST(pos AS INTEGER) - 1 AS pos, substr(seq, CAST(pos AS INTEGER), {k}) AS gram FROM (SELECT doc_id, seq, unnest(generate_series(1, length(seq) - {k - 1})) AS pos FROM seqs WHERE length(seq) >= {k}))"
+
+
+def query(oracle: str | None = None, name: str = ""):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLE_SQL[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def seqs(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """DNA letters of a text table."""
+    return sequences.project(table(spark, sf_dir, name).select(key, "text")).select(key, "seq")
+
+
+@query(f"WITH {SEQS}, {grams_sql(4)} SELECT gram AS kmer, count(*) AS n FROM grams GROUP BY 1")
+def kmer_counts_k4(spark, sf_dir):
+    return markov.kmer_counts(seqs(spark, sf_dir), 4)
+
+
+def _fitted(order: int):
+    oracle = f"""
+        WITH {SEQS}, {grams_sql(order + 1)}, c AS (SELECT doc_id, substr(gram, 1, {order}) AS ctx, gram, count(*) AS n FROM grams GROUP BY ALL),
+        t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, ctx) AS BIGINT) AS total FROM c),
+        b AS (SELECT doc_id, sum(n * -log2((n + 1) / (total + 4))) AS bits FROM t GROUP BY 1)
+        SELECT doc_id, length(seq) AS length, round(coalesce(bits, 0) + least(length(seq), {order}) * 2, 4) AS bits FROM seqs LEFT JOIN b USING (doc_id)"""
+
+    @query(oracle, f"markov_fitted_bits_k{order}")
+    def run(spark, sf_dir):
+        return markov.fitted_bits(seqs(spark, sf_dir), "doc_id", order).withColumn("bits", F.round("bits", 4))
+
+    return run
+
+
+for _k in (0, 1, 2):
+    _fitted(_k)
+
+
+def _adaptive_sql(order: int) -> str:
+    return f"""{grams_sql(order + 1, f"g{order}")}, a{order} AS (
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) AS nth, row_number() OVER (PARTITION BY doc_id, substr(gram, 1, {order}) ORDER BY pos) AS mth FROM g{order}),
+        b{order} AS (SELECT doc_id, sum(-log2(nth / (mth + 3))) AS bits FROM a{order} GROUP BY 1),
+        r{order} AS (SELECT doc_id, length(seq) AS length, coalesce(bits, 0) + least(length(seq), {order}) * 2 AS bits FROM seqs LEFT JOIN b{order} USING (doc_id))"""
+
+
+@query(f"WITH {SEQS}, {_adaptive_sql(1)} SELECT doc_id, length, round(bits, 4) AS bits FROM r1")
+def markov_adaptive_bits_k1(spark, sf_dir):
+    return markov.adaptive_bits(seqs(spark, sf_dir), "doc_id", 1).withColumn("bits", F.round("bits", 4))
+
+
+@query(
+    f"WITH {SEQS}, {', '.join(_adaptive_sql(k) for k in range(4))}, o AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, CAST(sum(length) AS BIGINT) AS length, sum(bits) AS bits FROM r{k}" for k in range(4))
+    + ') SELECT CAST(k AS INTEGER) AS "order", length, round(bits, 2) AS bits, round(bits / length, 6) AS bits_per_symbol, round(2 * length - bits, 2) AS saving FROM o'
+)
+def entropy_by_order(spark, sf_dir):
+    out = markov.entropy_by_order(seqs(spark, sf_dir), "doc_id", range(4))
+    return out.select("order", "length", F.round("bits", 2).alias("bits"), F.round("bits_per_symbol", 6).alias("bits_per_symbol"), F.round("saving", 2).alias("saving"))
+
+
+@query(f"""
+    WITH {STEPS}, c AS (SELECT user_id, ctx, sym, count(*) AS n FROM steps WHERE ctx IS NOT NULL GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id, ctx) AS total FROM c)
+    SELECT user_id, CAST(sum(n) AS BIGINT) AS n, round(sum(n * -log2((n + 1) / (total + 5))), 4) AS bits FROM t GROUP BY 1""")
+def event_markov_bits(spark, sf_dir):
+    c = markov.event_counts(table(spark, sf_dir, "events"), "user_id", BY, "event_type")
+    from pyspark.sql import Window
+
+    c = c.withColumn("total", F.sum("n").over(Window.partitionBy("user_id", "ctx")))
+    return c.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * -F.log2((F.col("n") + 1) / (F.col("total") + 5))), 4).alias("bits")).withColumnRenamed("total", "n")
+
+
+@query(f"""
+    WITH {STEPS}, c AS (SELECT ctx, sym, count(*) AS n FROM steps WHERE ctx IS NOT NULL GROUP BY ALL), t AS (SELECT ctx, sum(n) AS total FROM c GROUP BY 1),
+    s AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS sym)
+    SELECT t.ctx, s.sym, CAST(coalesce(n, 0) AS BIGINT) AS n, round((coalesce(n, 0) + 1) / (total + 5), 6) AS p FROM t CROSS JOIN s LEFT JOIN c ON c.ctx = t.ctx AND c.sym = s.sym""")
+def next_symbol_probs(spark, sf_dir):
+    counts = markov.event_counts(table(spark, sf_dir, "events"), "user_id", BY, "event_type")
+    return markov.predict(counts, EVENTS).withColumn("p", F.round("p", 6))
+
+
+@query(f"""
+    WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ctx, sym ORDER BY ts, event_id) - 1 AS a, row_number() OVER (PARTITION BY user_id, ctx ORDER BY ts, event_id) - 1 AS b FROM steps),
+    c AS (SELECT *, CASE WHEN ctx IS NULL THEN log2(5) ELSE -log2((1 + a) / (b + 5)) END AS bits FROM r)
+    SELECT event_id, user_id, round(bits, 4) AS bits, round(sum(bits) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS cum FROM c""")
+def cum_bits(spark, sf_dir):
+    out = markov.running_bits(table(spark, sf_dir, "events"), "user_id", BY, "event_type", 5)
+    return out.select("event_id", "user_id", F.round("bits", 4).alias("bits"), F.round("cum", 4).alias("cum"))
+
+
+@query(f"""
+    WITH {SEQS}, {grams_sql(2)}, m AS (SELECT substr(gram, 1, 1) AS ctx, gram, count(*) AS n FROM grams GROUP BY ALL), p AS (SELECT gram, (n + 1) / (sum(n) OVER (PARTITION BY ctx) + 4) AS p FROM m),
+    b AS (SELECT doc_id, sum(n * -log2(p)) AS bits FROM (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY ALL) JOIN p USING (gram) GROUP BY 1)
+    SELECT doc_id, length(seq) AS length, round(coalesce(bits, 0) + least(length(seq), 1) * 2, 4) AS bits FROM seqs LEFT JOIN b USING (doc_id)""")
+def cross_entropy_k1(spark, sf_dir):
+    s = seqs(spark, sf_dir)
+    model = markov.predict(markov.gram_counts(s, "doc_id", 1), list(sequences.DNA))
+    return markov.cross_entropy(s, model, "doc_id", 1).withColumn("bits", F.round("bits", 4))
+
+
+@query()
+def blend_bits(spark, sf_dir):
+    return markov.blend_bits(seqs(spark, sf_dir), "doc_id", [UNIFORM, TA_RICH]).withColumn("bits", F.round("bits", 4))
+
+
+_RC = "reverse(translate({}, 'acgt', 'tgca'))"
+
+
+@query(f"WITH {SEQS}, {grams_sql(12)}, c AS (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY ALL) SELECT doc_id, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS n FROM c GROUP BY 1")
+def repeat_count_fwd(spark, sf_dir):
+    return repeats.repeat_counts(seqs(spark, sf_dir), "doc_id", 12)
+
+
+@query(f"""
+    WITH {SEQS}, {grams_sql(8)}, c AS (SELECT doc_id, gram, {_RC.format('gram')} AS rc, count(*) AS n FROM grams GROUP BY ALL)
+    SELECT x.doc_id, CAST(sum(CASE WHEN x.gram = x.rc THEN x.n * (x.n - 1) / 2 WHEN x.gram < x.rc THEN x.n * coalesce(y.n, 0) ELSE 0 END) AS BIGINT) AS n
+    FROM c x LEFT JOIN c y ON x.doc_id = y.doc_id AND x.rc = y.gram GROUP BY 1""")
+def repeat_count_rev(spark, sf_dir):
+    return repeats.repeat_counts(seqs(spark, sf_dir), "doc_id", 8, inverted=True)
+
+
+@query(f"""
+    WITH {SEQS}, {grams_sql(20)}, items AS (SELECT item_id AS doc_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM benchmark),
+    {grams_sql(20, 'bg').replace('FROM seqs', 'FROM items')}, a AS (SELECT doc_id AS item_id, gram, count(*) AS n FROM bg GROUP BY ALL), b AS (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY ALL)
+    SELECT item_id, doc_id, count(*) AS n_kmers, CAST(sum(a.n * b.n) AS BIGINT) AS n_pairs FROM a JOIN b USING (gram) GROUP BY ALL""")
+def repeat_pairs_cross(spark, sf_dir):
+    return repeats.shared_kmers(seqs(spark, sf_dir, "benchmark", "item_id"), seqs(spark, sf_dir), "item_id", "doc_id", 20)
+
+
+_HITS = f"{SEQS}, {grams_sql(12)}, near AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS earlier FROM grams), bands AS (SELECT doc_id, pos, earlier, greatest(0, earlier - 10) AS \"start\", least(pos, earlier + 11) AS \"end\" FROM near WHERE earlier IS NOT NULL)"
+
+
+@query(f"WITH {_HITS} SELECT * FROM bands")
+def active_bands(spark, sf_dir):
+    return repeats.bands(repeats.nearest_repeats(seqs(spark, sf_dir), "doc_id", 12), 10)
+
+
+@query(f"""
+    WITH {_HITS}, r AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bands),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
+    SELECT doc_id, min("start") AS "start", max("end") AS "end", count(*) AS n FROM i GROUP BY doc_id, island""")
+def merged_bands(spark, sf_dir):
+    return repeats.merge_intervals(active_bands(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {SEQS} SELECT doc_id, {_RC.format('seq')} AS rc FROM seqs")
+def revcomp(spark, sf_dir):
+    return seqs(spark, sf_dir).select("doc_id", sequences.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^acgturykmswbdhvn]', '', 'g') AS seq FROM documents), p AS (SELECT doc_id, pos - 1 AS pos, substr(seq, CAST(pos AS INTEGER), 1) AS code FROM (SELECT doc_id, seq, unnest(generate_series(1, length(seq))) AS pos FROM s WHERE length(seq) > 0)),"
+    " m AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sequences.IUPAC.items()) + ") v(code, members))"
+    " SELECT code, substr(members, CAST(CAST('0x' || substr(md5(doc_id || ':' || pos), 1, 4) AS INTEGER) % length(members) AS INTEGER) + 1, 1) AS pick, count(*) AS n FROM p JOIN m USING (code) GROUP BY ALL"
+)
+def iupac_resolve(spark, sf_dir):
+    s = sequences.project(table(spark, sf_dir, "documents").select("doc_id", "text"), alphabet="acgturykmswbdhvn")
+    return sequences.resolve_ambiguous(s, "doc_id").groupBy("code", "pick").agg(F.count("*").alias("n"))
+
+
+def _smooth(at: str):
+    frame = "ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING" if at == "start" else "ROWS BETWEEN 4 PRECEDING AND CURRENT ROW"
+    oracle = f"""
+        WITH w AS (SELECT event_id, user_id, value, avg(value) OVER w AS m, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id {frame}))
+        SELECT event_id, user_id, round(CASE WHEN n = 5 THEN m ELSE value END, 4) AS raw, round(m, 4) AS partial, round(CASE WHEN n = 5 THEN m END, 4) AS dropped FROM w"""
+
+    @query(oracle, f"smooth_{at}")
+    def run(spark, sf_dir):
+        e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+        one = tables.smooth(e, "user_id", BY, "value", 5, at, "raw", "raw")
+        two = tables.smooth(one, "user_id", BY, "value", 5, at, "partial", "partial")
+        full = tables.smooth(e, "user_id", BY, "value", 5, at, "drop", "dropped").select("event_id", "dropped")
+        return two.join(full, "event_id", "left").select("event_id", "user_id", *[F.round(c, 4).alias(c) for c in ("raw", "partial", "dropped")])
+
+    return run
+
+
+_smooth("start")
+_smooth("end")
+
+_SCORED = f"""{SEQS}, {grams_sql(1)}, c AS (SELECT doc_id, gram, count(*) AS n FROM grams GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM c),
+    b AS (SELECT doc_id, round(sum(n * -log2((n + 1) / (total + 4))), 3) AS score FROM t GROUP BY 1), x AS (SELECT l.doc_id, coalesce(score, 0.0) AS score, toxic = 1 AS truth FROM labels l JOIN seqs USING (doc_id) LEFT JOIN b USING (doc_id))"""
+
+
+def _scored(spark, sf_dir):
+    scored = markov.fitted_bits(seqs(spark, sf_dir), "doc_id", 0).select("doc_id", F.round("bits", 3).alias("score"))
+    return table(spark, sf_dir, "labels").join(scored, "doc_id").select("doc_id", "score", (F.col("toxic") == 1).alias("truth"))
+
+
+@query(f"""
+    WITH {_SCORED}, r AS (SELECT *, CAST(sum(CAST(truth AS BIGINT)) OVER w AS BIGINT) AS tp, CAST(sum(1 - CAST(truth AS BIGINT)) OVER w AS BIGINT) AS fp FROM x WINDOW w AS (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, tp, fp, round(tp / greatest(1, sum(CAST(truth AS BIGINT)) OVER ()), 6) AS coverage, round(fp / greatest(1, sum(1 - CAST(truth AS BIGINT)) OVER ()), 6) AS errors FROM r""")
+def roc_curve(spark, sf_dir):
+    out = tables.roc(_scored(spark, sf_dir), "score", "truth", "doc_id")
+    return out.select("doc_id", "tp", "fp", F.round("coverage", 6).alias("coverage"), F.round("errors", 6).alias("errors"))
+
+
+@query(f"WITH {_SCORED} SELECT count(*) FILTER (score > 500 AND truth) AS tp, count(*) FILTER (score > 500 AND NOT truth) AS fp, count(*) FILTER (score <= 500 AND truth) AS fn, count(*) FILTER (score <= 500 AND NOT truth) AS tn FROM x")
+def tp_fp_at_cutoff(spark, sf_dir):
+    return tables.confusion_at(_scored(spark, sf_dir), "score", "truth", 500.0)
+
+
+@query("""
+    SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS by_price, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS by_customer, row_number() OVER (ORDER BY o_orderkey) - 1 AS by_key FROM orders""")
+def ranks3(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    out = tables.ranks(o, "o_orderkey", {"by_price": ("o_totalprice", False), "by_customer": ("o_custkey", True), "by_key": ("o_orderkey", True)})
+    return out.select("o_orderkey", "by_price", "by_customer", "by_key")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
+def topk_cutoff(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rows.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(100)
+
+
+@query("SELECT o_orderkey, o_custkey, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity <= 10")
+def flatten_hits(spark, sf_dir):
+    nested = tables.nest(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity"], "lines")
+    both = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(nested, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    return tables.flatten_hits(both, "lines").filter("l_quantity <= 10")
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer)
+    SELECT place, o_orderkey, c_custkey, coalesce(o_orderkey = c_custkey, false) AS same FROM a LEFT JOIN b USING (place)""")
+def positional_merge(spark, sf_dir):
+    left, right = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "customer").select("c_custkey")
+    return tables.positional_merge(left, right, "o_orderkey", "c_custkey").select("place", "o_orderkey", "c_custkey", F.coalesce(F.col("o_orderkey") == F.col("c_custkey"), F.lit(False)).alias("same"))
+
+
+@query("""
+    WITH m AS (SELECT o_custkey, max_by(o_orderkey, o_orderkey) AS last_order FROM orders GROUP BY 1) SELECT c_custkey, c_nationkey, last_order FROM customer LEFT JOIN m ON c_custkey = o_custkey""")
+def latest_lookup(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("last_order"))
+    return tables.latest_lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), orders, ["c_custkey"], "last_order")
+
+
+@query("""
+    WITH s AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM s)
+    SELECT user_id, run, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(min(value), 4) AS low, round(max(value), 4) AS high FROM r GROUP BY ALL""")
+def run_stats(spark, sf_dir):
+    out = tables.run_stats(table(spark, sf_dir, "events"), "user_id", BY, "event_type", "value")
+    return out.select("user_id", "run", "event_type", "n", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("SELECT sign(value) * floor(abs(value) * 2 + 0.5) / 2 + 0.0 AS bin, count(*) AS n FROM events GROUP BY 1")
+def histogram(spark, sf_dir):
+    return tables.histogram(table(spark, sf_dir, "events"), "value", 2)
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd FROM events GROUP BY 1")
+def fit_gauss(spark, sf_dir):
+    return tables.fit_gauss(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+@query("SELECT CAST(floor(o_custkey * 0.1) AS BIGINT) AS row_bin, CAST(floor(extract('day' FROM o_orderdate) * 0.1) AS BIGINT) AS col_bin, max(CAST(o_orderkey % 256 AS INTEGER)) AS red FROM orders GROUP BY ALL")
+def image_bins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.dayofmonth("o_orderdate").alias("day"), (F.col("o_orderkey") % 256).cast("int").alias("red"))
+    return tables.image_bins(o, "o_custkey", "day", 0.1, ["red"])
+
+
+@query("""
+    SELECT p_partkey, round(0.5 * log2(1 + (p_size / 0.25) / 0.5 / 4 / 144) + log2(exp(1)), 6) AS cost3, round(0.5 * log2(1 + (1 / 0.9) / 12) + 0.5 * log2(exp(1)), 6) AS cost2 FROM part""")
+def mml_cost(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    half, quarter = F.lit(0.5), F.lit(0.25)
+    return p.select("p_partkey", F.round(B.mml_cost([half, quarter, quarter], F.col("p_size")), 6).alias("cost3"), F.round(B.mml_cost([F.lit(0.9), F.lit(0.1)], F.col("p_size")), 6).alias("cost2"))
+
+
+_L = lambda x: f"CASE WHEN {x} > 1 THEN log2(CASE WHEN {x} > 1 THEN {x} ELSE 1 END) ELSE 0 END"
+
+
+@query(
+    "WITH a AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x0 FROM part), "
+    + ", ".join(f"{chr(98 + i)} AS (SELECT *, {_L(f'x{i}')} AS x{i + 1} FROM {chr(97 + i)})" for i in range(6))
+    + " SELECT p_partkey, round(log2(2.865) + x1 + x2 + x3 + x4 + x5 + x6, 6) AS bits FROM g"
+)
+def logstar(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(B.logstar(F.col("p_size")), 6).alias("bits"))
+
+
+@query("SELECT p_partkey, round(2 * log2(least(p_size, length(p_name))) - 1 + log2(greatest(p_size, length(p_name))), 6) AS bits, round(log2(p_size + 1), 6) AS start_bits FROM part")
+def position_cost(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(B.align_position(F.col("p_size"), F.char_length("p_name")), 6).alias("bits"), F.round(B.start_position(F.col("p_size")), 6).alias("start_bits"))
+
+
+@query("SELECT a.p_partkey, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def edit_distance(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return p.join(nxt, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").alias("distance"))
