@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
-from bitloom.operators import markov, repeats, sequences, tables
+from bitloom.operators import align, compress, generate, markov, repeats, sequences, tables
 from bitloom.session import table
+from bitloom.sources import files
+from bitloom.streaming import online
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
 BY = ["ts", "event_id"]
@@ -320,3 +322,90 @@ def edit_distance(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     return p.join(nxt, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").alias("distance"))
+
+
+def _pairs(spark, sf_dir):
+    """Benchmark items and documents that share at least eight 20-mers of DNA letters: the pairs worth scoring."""
+    a, b = seqs(spark, sf_dir, "benchmark", "item_id"), seqs(spark, sf_dir)
+    met = repeats.shared_kmers(a, b, "item_id", "doc_id", 20).filter("n_kmers >= 8").select("item_id", "doc_id")
+    return met.join(a.withColumnRenamed("seq", "seq_a"), "item_id").join(b.withColumnRenamed("seq", "seq_b"), "doc_id")
+
+
+def _aligned(name: str, **options):
+    @query(name=name)
+    def run(spark, sf_dir):
+        out = align.score_pairs(_pairs(spark, sf_dir), **options)
+        return out.withColumn("log_odds", F.round("log_odds", 4)).withColumn("related", F.col("log_odds") > 0)
+
+    return run
+
+
+_aligned("m_align_local_sum")
+_aligned("m_align_local_best", total=False)
+_aligned("m_align_local_best_linear", total=False, states=1)
+_aligned("m_align_global_sum", local=False, max_rounds=3)
+_aligned("m_align_global_best", local=False, total=False, max_rounds=3)
+
+
+@query()
+def sw_score(spark, sf_dir):
+    return align.sw_pairs(_pairs(spark, sf_dir))
+
+
+def _event_strings(spark, sf_dir):
+    """One symbol string per user: the events in order, each as one letter."""
+    e = table(spark, sf_dir, "events")
+    letter = F.substring("event_type", 1, 1)
+    rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", letter.alias("s")))).alias("rows"))
+    return rows.select("user_id", F.array_join(F.transform("rows", lambda r: r["s"]), "").alias("seq"))
+
+
+@query()
+def repeat_compress(spark, sf_dir):
+    out = compress.compress(_event_strings(spark, sf_dir), "user_id", alphabet="cepsv", reverse=False)
+    return out.withColumn("bits", F.round("bits", 4))
+
+
+@query()
+def conditional_compress(spark, sf_dir):
+    """The second half of each user's events, the first half being known."""
+    half = F.floor(F.char_length("seq") / 2).cast("int")
+    cut = _event_strings(spark, sf_dir).select("user_id", F.substring("seq", F.lit(1), half).alias("pre"), F.substring("seq", half + 1, F.char_length("seq")).alias("seq"))
+    return compress.compress(cut, "user_id", prefix="pre", alphabet="cepsv", reverse=False).withColumn("bits", F.round("bits", 4))
+
+
+@query()
+def fading_bits(spark, sf_dir):
+    return generate.fading_bits(_event_strings(spark, sf_dir), "user_id", 1, 16, alphabet="cepsv").withColumn("bits", F.round("bits", 4))
+
+
+@query()
+def entropy_rate(spark, sf_dir):
+    counts = markov.event_counts(table(spark, sf_dir, "events"), "user_id", BY, "event_type")
+    return generate.entropy_rate_of(markov.predict(counts, EVENTS), EVENTS)
+
+
+@query()
+def population_roc(spark, sf_dir):
+    """Children mutated from benchmark sequences, scored against their parent and, as a control, against the next item's child."""
+    parents = seqs(spark, sf_dir, "benchmark", "item_id").filter("seq <> ''")
+    kids = generate.population(parents, "item_id", [5, 10, 20])
+    true = kids.select("parent", "child", "mutates", F.col("parent").alias("item_id"), F.lit(True).alias("truth"), "seq")
+    false = kids.select("parent", "child", "mutates", (F.col("parent") + 1).alias("item_id"), F.lit(False).alias("truth"), "seq")
+    pairs = true.union(false).withColumnRenamed("seq", "seq_b").join(parents.withColumnRenamed("seq", "seq_a"), "item_id")
+    scored = align.score_pairs(pairs, max_rounds=2).withColumn("id", F.concat_ws(":", "parent", "child", "truth")).withColumn("log_odds", F.round("log_odds", 4))
+    kept = files.scratch_folder(spark)  # three passes follow; the alignments are made once
+    scored.select("id", "parent", "child", "mutates", "truth", "log_odds").write.parquet(kept)
+    return tables.roc(spark.read.parquet(kept), "log_odds", "truth", "id")
+
+
+@query(ORACLE_SQL["cum_bits"].replace("SELECT event_id", "SELECT event_type, event_id").replace("ctx FROM events)", "ctx, event_type FROM events)").replace("SELECT event_type, event_id, user_id, ts", "SELECT event_id, user_id, ts"))
+def stream_event_bits(spark, sf_dir):
+    """The online form of cum_bits: events as a stream, state per user, every row of the input in one run."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    folder = files.scratch_folder(spark)
+    events.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    online.write(online.stream_bits(stream, "user_id", BY, "event_type", EVENTS), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("event_id", "user_id", "event_type", F.round("bits", 4).alias("bits"), F.round("cum", 4).alias("cum"))
