@@ -8,14 +8,15 @@ most frequent retained values out of the lists: of the shared values the rarest
 common shingles from meeting in pairs.
 
 1. Documents with equal sets form a class, with the smallest id as its representative.
-2. Star round: each list of the few smallest values proposes its smallest member to each other member. Confirmed
+2. Star rounds: each list of the few smallest values proposes one member to each other member: first the one
+   that lies in the longest lists, then the one with the smallest id. Confirmed
    pairs merge into components; this collapses large groups of near copies in linear work.
-3. All lists then propose their pairs of different components. The union of both sketches estimates the
-   similarity; pairs clearly below the threshold go.
+3. All lists then propose their pairs of different components. How many lists a pair shares, then the union of
+   both sketches, estimate the similarity; pairs clearly below the threshold go.
 4. Exact Jaccard on the full sets confirms the rest. Components of all confirmed links are the groups.
 
 Members of one component are not compared again, so not all pairs of a group are made, yet no link that would
-join two components is lost (but for the estimate, which errs on one pair at the threshold in a million).
+join two components is lost (but for the estimates, which err on about one pair at the very threshold in a million).
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ from bitloom.llm.components import components
 from bitloom.llm.shingles import with_sets
 
 #: Smallest values whose lists the star round uses, and the shared ones that it asks for.
-STAR, STAR_SHARED = 8, 3
+STAR, STAR_SHARED = 16, 4
 #: The share of a set that its sketch retains beyond what the guarantee needs, as 1 / SPARE.
-SPARE = 8
+SPARE = 6
 #: Values whose frequency is counted exactly, at most; rarer ones count as equally rare.
 FREQUENT = 1 << 20
 #: Values of a sketch that the estimate uses at most, and its margin in standard deviations.
@@ -46,15 +47,21 @@ def _spare(n: Column) -> Column:
     return F.floor(n / SPARE).cast("int")
 
 
+def _kept(n: Column, percent: int) -> Column:
+    """Values that the guarantee retains of a set of n."""
+    return F.floor(n * (100 - percent) / 100.0 + 1e-9).cast("int") + 1 + _spare(n)
+
+
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), two fingerprints of the set, and its retained values ``low`` in order."""
+    """doc_id, n (set size), two fingerprints of the set, and its smallest values ``low`` in order: those that the guarantee retains, and no fewer than the estimate uses."""
     n = F.size("s")
-    kept = F.floor(n * (100 - percent) / 100.0 + 1e-9).cast("int") + 1 + _spare(n)
+    kept = F.greatest(_kept(n, percent), F.lit(ESTIMATE))
     return with_sets(docs, words).select("doc_id", n.cast("long").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(3), "s").alias("k2"), F.slice("s", 1, kept).alias("low"))
 
 
-def _indexed(reps: DataFrame) -> DataFrame:
-    """doc_id, n, v: each representative in the lists of its retained values but the ``spare`` most frequent."""
+def _indexed(reps: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, v, star: each representative in the lists of its retained values but the ``spare`` most frequent; star marks its STAR smallest."""
+    reps = reps.select("doc_id", "n", F.slice("low", 1, _kept(F.col("n"), percent)).alias("low"))
     values = reps.select(F.explode("low").alias("v"))
     entries = reps.agg(F.sum(F.size("low"))).first()[0] or 0
     least = max(2, math.ceil(entries / FREQUENT))  # so that there are at most FREQUENT of them
@@ -72,7 +79,7 @@ def _indexed(reps: DataFrame) -> DataFrame:
             at = np.searchsorted(v, flat)
             at[at == len(v)] = 0
             freq = np.where(v[at] == flat, c[at], 0) if len(v) else np.zeros(len(flat), np.int64)
-            keep = np.ones(len(flat), bool)
+            keep, star = np.ones(len(flat), bool), np.zeros(len(flat), bool)
             sizes = batch.column("n").to_numpy()
             base = ends[0]
             for i in range(len(sizes)):
@@ -81,10 +88,19 @@ def _indexed(reps: DataFrame) -> DataFrame:
                 if drop:
                     order = np.lexsort((flat[a:b], freq[a:b]))  # by frequency, ties by value: the same order everywhere
                     keep[a + order[len(order) - drop :]] = False
+                star[a + np.flatnonzero(keep[a:b])[:STAR]] = True
             lengths = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), lengths)[keep]), pa.array(np.repeat(sizes, lengths)[keep]), pa.array(flat[keep])], ["doc_id", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), lengths)[keep]), pa.array(np.repeat(sizes, lengths)[keep]), pa.array(flat[keep]), pa.array(star[keep])], ["doc_id", "n", "v", "star"])
+
+    return reps.select("doc_id", "n", "low").mapInArrow(run, "doc_id long, n long, v long, star boolean")
+
 
-    return reps.select("doc_id", "n", "low").mapInArrow(run, "doc_id long, n long, v long")
+def _with_comp(df: DataFrame, comp: DataFrame | None, id_: str = "doc_id", name: str = "comp") -> DataFrame:
+    """``df`` with the component of ``id_``; an id that no link has reached yet is its own."""
+    if comp is None:
+        return df.withColumn(name, F.col(id_))
+    known = comp.select(F.col("doc_id").alias(id_), F.col("comp").alias(name))
+    return df.join(broadcast_if_small(known, 48), id_, "left").withColumn(name, F.coalesce(name, id_))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -92,19 +108,36 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
     sets = materialize(with_sets(docs.join(broadcast_if_small(ids, 40), "doc_id", "left_semi"), words), "pair-sets", "lz4")
+    size = sets.agg(F.sum(8 * F.size("s") + 64), F.count("*")).first()
+    sets = broadcast_if_small(sets, (size[0] or 0) // max(1, size[1]) + 1)
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}")) for x in ("a", "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
 def _estimate_passes(percent: int) -> Column:
-    """Whether the union of the sketches ``la`` and ``lb`` leaves a similarity of ``percent`` possible."""
+    """Whether the union of the sketches ``la`` and ``lb`` of sets of ``na`` and ``nb`` leaves a similarity of ``percent`` possible.
+
+    The k smallest values of the union are drawn from it without replacement, so the margin vanishes where they are all of it.
+    """
     t = percent / 100
-    k = F.least(F.lit(ESTIMATE), F.size("la"), F.size("lb"))
-    la, lb = F.slice("la", 1, k), F.slice("lb", 1, k)
-    union = F.slice(F.sort_array(F.array_union(la, lb)), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(la, lb), union))
-    return shared >= k * t - MARGIN * F.sqrt(k * t * (1 - t))
+    k = F.least(F.size("la"), F.size("lb"))
+    union = F.slice(F.sort_array(F.array_union("la", "lb")), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect("la", "lb"), union))
+    rest = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (F.col("na") + F.col("nb")))
+    return shared >= k * t - MARGIN * F.sqrt(k * t * (1 - t) * rest) - 1
+
+
+def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
+    """Lists that two sets of similarity ``percent`` share at least.
+
+    Shared shingles among the k smallest of the union are in both sketches if either retains k; these k are drawn without
+    replacement. What either leaves out of the lists are the most frequent ones, so at most the larger spare is missing.
+    """
+    t = percent / 100
+    k = _kept(F.least(na, nb), percent)
+    rest = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (na + nb))
+    return k * t - _spare(F.greatest(na, nb)) - MARGIN * F.sqrt(k * t * (1 - t) * rest) - 1
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -120,26 +153,44 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     member = materialize(full.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"]).select("doc_id", "n", "rep"), "members")
     ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    reps = materialize(full.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "low"), "reps")
+    reps = materialize(full.join(broadcast_if_small(ids, 40), "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "low"), "reps")
+    spark = docs.sparkSession
+
+    def grow(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = materialize(links.union(more), "links")
+        return links, components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
+
     similar = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
-    # Star round.
-    few = reps.select("doc_id", "n", F.explode(F.slice("low", 1, STAR)).alias("v"), F.least(F.size("low"), F.lit(STAR)).alias("k"))
-    hubs = few.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    star = few.join(hubs.select("v", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m")), "v").filter((F.col("doc_id") != F.col("a")) & similar(F.col("n"), F.col("m")))
-    star = star.groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("c"), F.min("k").alias("k")).filter(F.col("c") >= F.least(F.lit(STAR_SHARED), "k"))
-    first = materialize(_confirmed(star.select("a", "b"), given, words, percent), "links")
-    comp = components(first).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
+    # Star rounds.
+    index = materialize(_indexed(reps, percent), "lists", "lz4")
+    links = spark.createDataFrame([], "a long, b long")
+    comp = None
+    sizes = index.filter("star").groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
+    entries = materialize(index.filter("star").join(sizes, "v").select("doc_id", "n", "v", "c"), "star-lists")
+    central = entries.groupBy("doc_id").agg(F.sum("c").alias("score"))
+    scored = entries.join(central, "doc_id").select("doc_id", "n", "v", "score")
+    for score in (F.col("score"), F.lit(0)):
+        now = _with_comp(scored, comp)
+        hubs = now.groupBy("v").agg(F.max(F.struct(score, -F.col("doc_id"), "doc_id", "n", "comp")).alias("hub"))
+        star = now.join(hubs.select("v", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("other")), "v")
+        star = star.filter((F.col("comp") != F.col("other")) & similar(F.col("n"), F.col("m")))
+        star = star.groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n")).filter(F.col("c") >= F.when(F.col("n") < 4 * STAR, 1).otherwise(STAR_SHARED))
+        links, comp = grow(links, _confirmed(star.select("a", "b"), given, words, percent))
 
     # All lists, between components.
-    lists = materialize(_indexed(reps).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "lists", "lz4")
+    lists = _with_comp(index.drop("star"), comp)
     x, y = lists.alias("x"), lists.alias("y")
     met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & similar(F.col("x.n"), F.col("y.n")))
-    met = materialize(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "met")
-    low = reps.select("doc_id", F.slice("low", 1, ESTIMATE).alias("low"))
-    la, lb = (low.select(F.col("doc_id").alias(c), F.col("low").alias(f"l{c}")) for c in ("a", "b"))
-    likely = met.join(la, "a").join(lb, "b").filter(_estimate_passes(percent)).select("a", "b")
-    second = _confirmed(likely, given, words, percent)
+    met = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
+    met = materialize(met.filter(F.col("c") >= _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b"), "met")
+    low = reps.select("doc_id", "n", F.transform(F.slice("low", 1, ESTIMATE), lambda v: F.shiftright(v, 32).cast("int")).alias("low"))
+    ids = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
+    low = broadcast_if_small(materialize(low.join(ids, "doc_id", "left_semi"), "met-sketches", "lz4"), 64 + 4 * ESTIMATE)
+    la, lb = (low.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"l{c}")) for c in ("a", "b"))
+    likely = lambda pairs: pairs.join(la, "a").join(lb, "b").filter(_estimate_passes(percent)).select("a", "b")
+
+    first, second = links, _confirmed(likely(met.select("a", "b")), given, words, percent)
     root = components(first.union(second).union(member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(root, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
