@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: A table is broadcast only if its measured size stays below this many bytes.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
 
