@@ -57,10 +57,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.whole, self.fast = path, None, None
         ranks = path.removesuffix(".json") + ".tiktoken"
         try:
             import public_tokenizers
@@ -74,6 +71,10 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or "<|" in text:
+            if self.whole is None:  # loaded where it is needed, since it takes much memory
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
