@@ -30,7 +30,7 @@ SAMPLE = 20_000
 RANK, EPOCHS, RATE, DECAY = 4, 12, 0.05, 1e-4
 #: Words are bared of these at both ends.
 _EDGE = "\"'.,;:!?()[]{}<>*%$&#|-_=+/\\"
-_MEMO = 200_000
+_MEMO = 50_000
 
 
 def is_held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
