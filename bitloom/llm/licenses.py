@@ -68,8 +68,11 @@ RULES = (
     (r"\bcopyright owner", "copyright holder"),
     (r" +", " "),
 )
-#: Every known text holds one of these, so other documents need no normalising.
-ANCHOR = r"(?i)licen[cs]e|permission"
+#: Every known text holds one of these words, and no rule makes one of them from parts, so other units have no known digest and need
+#: no normalising.
+ANCHOR = r"(?i)licen[cs]e|permission|released|distributed"
+#: The filter of :func:`oracle`, which is narrower: it passes over notices such as "Released under CC0".
+SQL_ANCHOR = r"(?i)licen[cs]e|permission"
 
 
 def canonical(text: Column) -> Column:
@@ -107,10 +110,10 @@ def oracle() -> str:
     lit = lambda s: "'" + s.replace("'", "''") + "'"
     form = lambda c: f"trim({reduce(lambda t, r: f'regexp_replace({t}, {lit(r[0])}, {lit(r[1].replace("$2", chr(92) + "2"))}, {lit("g")})', RULES, f'lower({c})')})"
     rows = ", ".join(f"({lit(k)}, {lit(t)})" for k, t in known_texts())
-    anchor = f"regexp_matches(t, {lit(ANCHOR)})"
+    anchor = f"regexp_matches(t, {lit(SQL_ANCHOR)})"
     return f"""
         WITH known AS (SELECT md5({form('t')}) AS digest, min(k) AS license_id FROM (VALUES {rows}) v(k, t) GROUP BY 1),
-        given AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {lit(ANCHOR)})),
+        given AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {lit(SQL_ANCHOR)})),
         units AS (
             SELECT doc_id, 'text' AS unit, text AS t FROM given
             UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')) FROM given

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 
 from bitloom.llm import licenses
@@ -22,3 +24,25 @@ def test_equivalent_forms_meet(spark):
     assert got[3, "MIT", "line"] == 2 and got[4, "Apache-2.0", "text"] == 1
     assert not any(k[0] in (6, 7, 8) or k[::2] == (5, "text") for k in got)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_every_known_text_passes_the_filter(spark):
+    rows = [(i, k, t) for i, (k, t) in enumerate(licenses.known_texts())]
+    assert not [t for _, _, t in rows if not re.search(licenses.ANCHOR, t)]
+    noisy = lambda t: "Some words.\n>> " + t.upper().replace(" ", "\t_") + " !\nMore words."
+    lines = [(i, k, t) for i, k, t in rows if "\n" not in t]
+    docs = spark.createDataFrame([(i, noisy(t)) for i, _, t in lines], "doc_id long, text string")
+    assert {r.doc_id for r in licenses.scan(docs).filter("unit = 'line'").collect()} == {i for i, _, _ in lines}
+
+
+def test_equals_sql_without_its_filter(spark):
+    docs = spark.createDataFrame([(1, "a\nReleased under CC BY-SA 4.0."), (2, "Distributed under the GPLv3."), (3, "released the dogs"), (4, "Released-under CC0\n\nb"), (5, None)], "doc_id long, text string")
+    con, sql = duckdb.connect(), licenses.oracle()
+    for column in ("text", "t"):
+        part = f"regexp_matches({column}, '{licenses.SQL_ANCHOR}')"
+        assert part in sql
+        sql = sql.replace(part, f"{column} IS NOT NULL")
+    rows = docs.union(spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")).toPandas()
+    con.register("documents", rows)
+    got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, docs.schema)).collect())
+    assert {1, 2, 4} <= {r[0] for r in got} and got == sorted(con.sql(sql).fetchall())
