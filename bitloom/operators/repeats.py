@@ -51,6 +51,15 @@ def shared_kmers(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq
     return met.groupBy(key_a, key_b).agg(F.count("*").alias("n_kmers"), F.sum(F.col("na") * F.col("nb")).alias("n_pairs"))
 
 
+def met_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq: str = "seq") -> DataFrame:
+    """(key_a, key_b): each sequence of ``a`` with those of ``b`` that share one k-mer with it or, if it is shorter than k, hold all of it."""
+    size = F.char_length(seq)
+    met = shared_kmers(a.filter(size >= k), b, key_a, key_b, k, seq).select(key_a, key_b)
+    short = a.filter((size > 0) & (size < k)).select(key_a, F.col(seq).alias("whole"))
+    held = b.select(key_b, seq).join(short, F.col(seq).contains(F.col("whole"))).select(key_a, key_b).distinct()
+    return met.union(held)
+
+
 def bands(hits: DataFrame, width: int) -> DataFrame:
     """``hits`` (pos, earlier) with the half-open range [start, end) of cells that a hit activates."""
     return hits.withColumn("start", F.greatest(F.lit(0), F.col("earlier") - width)).withColumn("end", F.least(F.col("pos"), F.col("earlier") + 1 + width))

@@ -325,9 +325,9 @@ def edit_distance(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Benchmark items and documents that share at least eight 20-mers of DNA letters: the pairs worth scoring."""
+    """Benchmark items and documents that share a 20-mer of DNA letters; of items with fewer letters, those that a document holds whole."""
     a, b = seqs(spark, sf_dir, "benchmark", "item_id"), seqs(spark, sf_dir)
-    met = repeats.shared_kmers(a, b, "item_id", "doc_id", 20).filter("n_kmers >= 8").select("item_id", "doc_id")
+    met = repeats.met_pairs(a, b, "item_id", "doc_id", 20)
     return met.join(a.withColumnRenamed("seq", "seq_a"), "item_id").join(b.withColumnRenamed("seq", "seq_b"), "doc_id")
 
 
