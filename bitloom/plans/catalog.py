@@ -343,8 +343,8 @@ def _aligned(name: str, **options):
 _aligned("m_align_local_sum")
 _aligned("m_align_local_best", total=False)
 _aligned("m_align_local_best_linear", total=False, states=1)
-_aligned("m_align_global_sum", local=False, max_rounds=3)
-_aligned("m_align_global_best", local=False, total=False, max_rounds=3)
+_aligned("m_align_global_sum", local=False)
+_aligned("m_align_global_best", local=False, total=False)
 
 
 @query()
@@ -387,13 +387,12 @@ def entropy_rate(spark, sf_dir):
 
 @query()
 def population_roc(spark, sf_dir):
-    """Children mutated from benchmark sequences, scored against their parent and, as a control, against the next item's child."""
+    """Children mutated from benchmark sequences, each scored against every benchmark sequence; truth says whether that is its parent."""
     parents = seqs(spark, sf_dir, "benchmark", "item_id").filter("seq <> ''")
     kids = generate.population(parents, "item_id", [5, 10, 20])
-    true = kids.select("parent", "child", "mutates", F.col("parent").alias("item_id"), F.lit(True).alias("truth"), "seq")
-    false = kids.select("parent", "child", "mutates", (F.col("parent") + 1).alias("item_id"), F.lit(False).alias("truth"), "seq")
-    pairs = true.union(false).withColumnRenamed("seq", "seq_b").join(parents.withColumnRenamed("seq", "seq_a"), "item_id")
-    scored = align.score_pairs(pairs, max_rounds=2).withColumn("id", F.concat_ws(":", "parent", "child", "truth")).withColumn("log_odds", F.round("log_odds", 4))
+    grid = kids.select("parent", "child", "mutates", F.col("seq").alias("seq_b")).crossJoin(parents.withColumnRenamed("seq", "seq_a"))
+    scored = align.score_pairs(grid.withColumn("truth", F.col("parent") == F.col("item_id")))
+    scored = scored.withColumn("id", F.concat_ws(":", "parent", "child", "item_id")).withColumn("log_odds", F.round("log_odds", 4))
     kept = files.scratch_folder(spark)  # three passes follow; the alignments are made once
     scored.select("id", "parent", "child", "mutates", "truth", "log_odds").write.parquet(kept)
     return tables.roc(spark.read.parquet(kept), "log_odds", "truth", "id")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from bitloom.operators import align
 from bitloom.plans import catalog
 
 
@@ -23,3 +24,19 @@ def small(spark, tmp_path_factory):
 
 def test_every_met_pair_is_scored(spark, small):
     assert sorted((r.item_id, r.doc_id) for r in catalog.QUERIES["sw_score"](spark, small).select("item_id", "doc_id").collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize(("name", "total"), [("m_align_global_sum", True), ("m_align_global_best", False)])
+def test_rounds_go_on_until_they_gain_nothing(spark, small, name, total):
+    text = lambda table, key: {r[key]: r.text for r in spark.read.parquet(f"{small}/{table}.parquet").collect()}
+    items, docs = text("benchmark", "item_id"), text("documents", "doc_id")
+    rows = catalog.QUERIES[name](spark, small).collect()
+    for r in rows:
+        want = align.m_align(items[r.item_id], docs[r.doc_id], local=False, total=total)
+        assert r.rounds == want["rounds"] and r.log_odds == round(want["log_odds"], 4)
+    assert max(r.rounds for r in rows) > 4
+
+
+def test_each_child_meets_each_item(spark, small):
+    rows = catalog.QUERIES["population_roc"](spark, small).collect()
+    assert len(rows) == len({r.id for r in rows}) == 4 * 3 * 4 and sum(r.truth for r in rows) == 4 * 3
