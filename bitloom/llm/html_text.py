@@ -158,7 +158,7 @@ class Page:
         if rest:
             for name, a, b, c in _ATTR.findall(rest):
                 value = a or b or c
-                words += [f"c:{w.lower()}" for w in _WORD.findall(value)[:24]]
+                words += [f"c:{w.lower()}" for w in _WORD.findall(value)]
                 if name.lower() == "itemprop" and "articlebody" in value.lower():
                     words.append("c:articlebody")
         self.parents.append(parent)

@@ -57,3 +57,9 @@ def test_edges(spark, model):
     got = H.main_text(pages, model).toPandas()
     assert list(got.text) == ["", "", "A b c d.", "A b c d."] and list(got.n_chars) == [0, 0, 8, 8]
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def test_every_word_of_an_attribute_counts():
+    many = " ".join("u" + "abcdefghij"[i % 10] * (i // 10 + 1) for i in range(60))
+    page = H.Page(f"<div class='{many} sidebar'><p>Some text here.</p></div>")
+    assert any("c:sidebar" in f for f in page.features)
