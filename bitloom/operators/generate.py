@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,3 +188,44 @@ def fading_bits(df: DataFrame, key: str, order: int, fade: int, seq: str = "seq"
             yield pd.DataFrame(rows, columns=[key, "length", "bits"])
 
     return df.select(key, seq).mapInPandas(run, f"{key} {kind}, length long, bits double")
+
+
+def fading_event_bits(df: DataFrame, key: str, by: list[str], sym: str, order: int, fade: int, alphabet: str) -> DataFrame:
+    """:func:`fading_bits` of one symbol a row, in the order of ``by``: a key's rows are read as a stream, so memory doesn't grow with their number.
+
+    A null or empty symbol adds nothing.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    names = [key, "length", "bits"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        now, past, counts, length, bits, kept = none, "", {}, 0, 0.0, None
+        for batch in it:
+            keys = batch.column(0)
+            kept, rows = keys.type, []
+            for k, s in zip(keys.to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is none or k != now:
+                    if now is not none:
+                        rows.append((now, length, bits))
+                    now, past, counts, length, bits = k, "", {}, 0, 0.0
+                if not s:
+                    continue
+                if length < order:
+                    bits += math.log2(len(alphabet))
+                else:
+                    c = counts.setdefault(past, dict.fromkeys(alphabet, 1))
+                    bits -= math.log2(c[s] / sum(c.values()))
+                    c[s] += 1
+                    if fade and sum(c.values()) >= fade:
+                        for a in c:
+                            c[a] = max(1, c[a] // 2)
+                past = (past + s)[-order:] if order else ""
+                length += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (kept, pa.int64(), pa.float64()), strict=True)], names)
+        if now is not none:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kept), pa.array([length], pa.int64()), pa.array([bits], pa.float64())], names)
+
+    dealt = df.repartition(key).sortWithinPartitions(key, *by, sym)
+    return dealt.select(key, sym).mapInArrow(run, f"{key} {kind}, length long, bits double")

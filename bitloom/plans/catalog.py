@@ -376,7 +376,8 @@ def conditional_compress(spark, sf_dir):
 
 @query()
 def fading_bits(spark, sf_dir):
-    return generate.fading_bits(_event_strings(spark, sf_dir), "user_id", 1, 16, alphabet="cepsv").withColumn("bits", F.round("bits", 4))
+    e = table(spark, sf_dir, "events").select("user_id", *BY, F.substring("event_type", 1, 1).alias("s"))
+    return generate.fading_event_bits(e, "user_id", BY, "s", 1, 16, "cepsv").withColumn("bits", F.round("bits", 4))
 
 
 @query()

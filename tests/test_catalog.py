@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from bitloom.operators import align
+from bitloom.operators import align, generate
 from bitloom.plans import catalog
 
 
@@ -40,3 +40,19 @@ def test_rounds_go_on_until_they_gain_nothing(spark, small, name, total):
 def test_each_child_meets_each_item(spark, small):
     rows = catalog.QUERIES["population_roc"](spark, small).collect()
     assert len(rows) == len({r.id for r in rows}) == 4 * 3 * 4 and sum(r.truth for r in rows) == 4 * 3
+
+
+def test_fading_bits_reads_events_as_a_stream(spark, sf):
+    got = catalog.QUERIES["fading_bits"](spark, sf)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = generate.fading_bits(catalog._event_strings(spark, sf), "user_id", 1, 16, alphabet="cepsv").collect()
+    assert {(r.user_id, r.length, r.bits) for r in got.collect()} == {(r.user_id, r.length, round(r.bits, 4)) for r in want}
+    rows = [(None, 1, "v"), (1, 2, "c"), (1, 1, "v"), (2, 1, None), (None, 2, "v")] + [(3, i, "ev"[i % 2]) for i in range(500)]
+    strings = [(None, "vv"), (1, "vc"), (2, ""), (3, "ev" * 250)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    for order in (0, 1, 2):
+        events = spark.createDataFrame(rows, "k long, t long, s string")
+        out = generate.fading_event_bits(events, "k", ["t"], "s", order, 16, "cepsv").collect()
+        plain = generate.fading_bits(spark.createDataFrame([(k or 0, q) for k, q in strings], "k long, seq string"), "k", order, 16, alphabet="cepsv").collect()
+        assert {(r.k or 0, r.length, round(r.bits, 6)) for r in out} == {(r.k, r.length, round(r.bits, 6)) for r in plain}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
