@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``; unset (in tests), a temporary one."""
+    """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster, whose executors couldn't see it, this raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-bitloom-")
         _own_dirs[app] = base
     return f"{base}/bitloom-{app}/{tag}-{uuid.uuid4().hex[:12]}"
@@ -48,6 +55,35 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables. Whatever was made of them must be materialized itself by then."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and the bounds between which each of them lies, of batches that come sorted by the integer column ``key``.
+
+    No more is held than a batch and the group that it cuts.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        keys = table.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if len(cuts):
+            yield table.slice(0, cuts[-1]).combine_chunks(), np.concatenate([[0], cuts])
+            table = table.slice(cuts[-1])
+        held = table
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows, at ``row_bytes`` each, stay below ``limit``; else unchanged."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -1,196 +1,293 @@
 """Near-duplicate groups by bottom-k sketches from one hash function.
 
-A document's shingles have 64-bit hashes; its sketch is the k smallest of them. With k a fixed share of the
-set's size the sketch has a guarantee that minima of many hash functions lack: two sets of similarity t or more
-share at least ``1 + spare`` of the values that they retain, if each retains its ``n - ceil(t * n) + 1 + spare``
-smallest ones. So inverted lists of retained values generate all pairs. Each document may even leave its ``spare``
-most frequent retained values out of the lists: of the shared values the rarest is in both. That keeps the lists of
-common shingles from meeting in pairs.
+A document's shingles have 64-bit hashes; its sketch is the k smallest of them.
 
 1. Documents with equal sets form a class, with the smallest id as its representative.
-2. Star rounds: each list of the few smallest values proposes one member to each other member: first the one
-   that lies in the longest lists, then the one with the smallest id. Confirmed
-   pairs merge into components; this collapses large groups of near copies in linear work.
-3. All lists then propose their pairs of different components. How many lists a pair shares, then the union of
-   both sketches, estimate the similarity; pairs clearly below the threshold go.
-4. Exact Jaccard on the full sets confirms the rest. Components of all confirmed links are the groups.
-
-Members of one component are not compared again, so not all pairs of a group are made, yet no link that would
-join two components is lost (but for the estimates, which err on about one pair at the very threshold in a million).
+2. Inverted lists: each representative is in the list of every two neighbours among its smallest retained values. Of two sets of similarity
+   0.8 or more, the smallest values of the union are shared ones with chance 0.8 each, and two shared values that are neighbours there are
+   neighbours in both sketches. Sets that are no larger than the sketch always share such a pair if they are similar; of larger ones one pair in
+   two thousand million at the very threshold doesn't (see ``lists_for``). Two values select far better than one, so the lists of frequent shingles don't meet.
+3. Inside a list, in blocks of bounded size, the overlap of all sketches at once estimates the similarity, out of the union of both sketches.
+   A block gives a spanning forest of the pairs that may be similar, not the pairs: no more rows than it has members.
+   Long lists are cut into chunks, and each two chunks make a block.
+4. The components of these forests are neighbourhoods: similar documents are in the same one. Inside a neighbourhood full sets give the
+   exact Jaccard similarities, again in blocks and as a spanning forest: first within each chunk of a neighbourhood and with a few
+   members that all chunks see, then between chunks, but for those that the first step has already put into one group.
+5. Components of all links, with the classes, are the groups.
+
+So candidates never become rows, large groups of copies cost linear work, and no link that would join two groups is lost, but for the
+estimate's margin of five standard deviations.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import broadcast_if_small, materialize
+from bitloom.llm.common import broadcast_if_small, discard, materialize, whole_groups
 from bitloom.llm.components import components
 from bitloom.llm.shingles import with_sets
 
-#: Smallest values whose lists the star round uses, and the shared ones that it asks for.
-STAR, STAR_SHARED = 16, 4
-#: The share of a set that its sketch retains beyond what the guarantee needs, as 1 / SPARE.
-SPARE = 6
-#: Values whose frequency is counted exactly, at most; rarer ones count as equally rare.
-FREQUENT = 1 << 20
-#: Values of a sketch that the estimate uses at most, and its margin in standard deviations.
-ESTIMATE, MARGIN = 128, 5.0
+#: Values of a sketch that the estimate uses, and its margin in standard deviations.
+SKETCH, MARGIN = 128, 5.0
+#: Members of a chunk of a list; documents and shingles of a chunk of a neighbourhood; members that all of its chunks see.
+LIST_CHUNK, CHUNK, CHUNK_SHINGLES, HUBS = 1024, 512, 1 << 20, 8
+#: Cells of the matrices by which overlaps are counted.
+CELLS = 1 << 21
 
 
-def _spare(n: Column) -> Column:
-    return F.floor(n / SPARE).cast("int")
+def lists_for(percent: int) -> int:
+    """Lists of a document: so many that two sets of ``percent`` similarity share one but for a chance of 10 ** -9.
 
-
-def _kept(n: Column, percent: int) -> Column:
-    """Values that the guarantee retains of a set of n."""
-    return F.floor(n * (100 - percent) / 100.0 + 1e-9).cast("int") + 1 + _spare(n)
-
-
-def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), two fingerprints of the set, and its smallest values ``low`` in order: those that the guarantee retains, and no fewer than the estimate uses."""
-    n = F.size("s")
-    kept = F.greatest(_kept(n, percent), F.lit(ESTIMATE))
-    return with_sets(docs, words).select("doc_id", n.cast("long").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(3), "s").alias("k2"), F.slice("s", 1, kept).alias("low"))
-
-
-def _indexed(reps: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, v, star: each representative in the lists of its retained values but the ``spare`` most frequent; star marks its STAR smallest."""
-    reps = reps.select("doc_id", "n", F.slice("low", 1, _kept(F.col("n"), percent)).alias("low"))
-    values = reps.select(F.explode("low").alias("v"))
-    entries = reps.agg(F.sum(F.size("low"))).first()[0] or 0
-    least = max(2, math.ceil(entries / FREQUENT))  # so that there are at most FREQUENT of them
-    common = values.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") > least)
-    got = common.toPandas().sort_values("v") if entries else None
-    v = got.v.to_numpy() if got is not None else np.zeros(0, np.int64)
-    c = got.c.to_numpy() if got is not None else np.zeros(0, np.int64)
-    hold = reps.sparkSession.sparkContext.broadcast((v, c))  # at most FREQUENT pairs of longs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, c = hold.value
-        for batch in batches:
-            low = batch.column("low")
-            flat, ends = low.flatten().to_numpy(zero_copy_only=False), low.offsets.to_numpy()
-            at = np.searchsorted(v, flat)
-            at[at == len(v)] = 0
-            freq = np.where(v[at] == flat, c[at], 0) if len(v) else np.zeros(len(flat), np.int64)
-            keep, star = np.ones(len(flat), bool), np.zeros(len(flat), bool)
-            sizes = batch.column("n").to_numpy()
-            base = ends[0]
-            for i in range(len(sizes)):
-                a, b = ends[i] - base, ends[i + 1] - base
-                drop = int(sizes[i]) // SPARE
-                if drop:
-                    order = np.lexsort((flat[a:b], freq[a:b]))  # by frequency, ties by value: the same order everywhere
-                    keep[a + order[len(order) - drop :]] = False
-                star[a + np.flatnonzero(keep[a:b])[:STAR]] = True
-            lengths = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), lengths)[keep]), pa.array(np.repeat(sizes, lengths)[keep]), pa.array(flat[keep]), pa.array(star[keep])], ["doc_id", "n", "v", "star"])
-
-    return reps.select("doc_id", "n", "low").mapInArrow(run, "doc_id long, n long, v long, star boolean")
-
-
-def _with_comp(df: DataFrame, comp: DataFrame | None, id_: str = "doc_id", name: str = "comp") -> DataFrame:
-    """``df`` with the component of ``id_``; an id that no link has reached yet is its own."""
-    if comp is None:
-        return df.withColumn(name, F.col(id_))
-    known = comp.select(F.col("doc_id").alias(id_), F.col("comp").alias(name))
-    return df.join(broadcast_if_small(known, 48), id_, "left").withColumn(name, F.coalesce(name, id_))
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    sets = materialize(with_sets(docs.join(broadcast_if_small(ids, 40), "doc_id", "left_semi"), words), "pair-sets", "lz4")
-    size = sets.agg(F.sum(8 * F.size("s") + 64), F.count("*")).first()
-    sets = broadcast_if_small(sets, (size[0] or 0) // max(1, size[1]) + 1)
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}")) for x in ("a", "b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
-def _estimate_passes(percent: int) -> Column:
-    """Whether the union of the sketches ``la`` and ``lb`` of sets of ``na`` and ``nb`` leaves a similarity of ``percent`` possible.
-
-    The k smallest values of the union are drawn from it without replacement, so the margin vanishes where they are all of it.
+    If each value of the union is shared with chance t, the chance that no two neighbours of n + 1 are shared falls by the
+    larger root of x * x = (1 - t) * x + t * (1 - t) a value.
+    """
+    t = percent / 100
+    root = ((1 - t) + math.sqrt((1 - t) ** 2 + 4 * t * (1 - t))) / 2
+    return 1 if t == 1 else math.ceil(-9 * math.log(10) / math.log(root)) + 1
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (set size), two fingerprints of the set, and its smallest values ``low`` in order (as floats, which keeps order and 24 bits of each)."""
+    unsigned = lambda v: (v.cast("double") + 2.0**63).cast("float")
+    return with_sets(docs, words).select("doc_id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(3), "s").alias("k2"), F.transform(F.slice("s", 1, SKETCH), unsigned).alias("low"))
+
+
+def overlaps(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many values each two of the rows share; row i is flat[ends[i]:ends[i + 1]], without repeats."""
+    rows = len(ends) - 1
+    row = np.repeat(np.arange(rows), np.diff(ends))
+    order = np.argsort(flat, kind="stable")
+    value, row = flat[order], row[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    at = np.cumsum(new) - 1
+    often = np.bincount(at, minlength=1)[at] > 1 if len(at) else np.zeros(0, bool)
+    at, row = at[often], row[often]
+    out = np.zeros((rows, rows), np.float32)
+    if not len(at):
+        return out.astype(np.int64)
+    at = np.cumsum(np.diff(at, prepend=at[0]) != 0)
+    width = max(64, CELLS // rows)
+    for a in range(0, int(at[-1]) + 1, width):
+        x, y = np.searchsorted(at, [a, a + width])
+        cells = np.zeros((rows, min(width, int(at[-1]) + 1 - a)), np.float32)
+        cells[row[x:y], at[x:y] - a] = 1
+        out += cells @ cells.T
+    return np.rint(out).astype(np.int64)
+
+
+def _may_be_similar(n: np.ndarray, flat: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
+    """Which sketches leave a similarity of ``percent`` possible.
+
+    Up to the smaller of both largest values, two sketches hold all values of either set: a sample of the union, drawn without
+    replacement, so the margin vanishes where it is all of it.
     """
     t = percent / 100
-    k = F.least(F.size("la"), F.size("lb"))
-    union = F.slice(F.sort_array(F.array_union("la", "lb")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect("la", "lb"), union))
-    rest = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (F.col("na") + F.col("nb")))
-    return shared >= k * t - MARGIN * F.sqrt(k * t * (1 - t) * rest) - 1
+    size = np.diff(ends)
+    last = np.where(n > size, flat[ends[1:] - 1], np.inf)
+    upto = np.stack([np.searchsorted(flat[ends[i] : ends[i + 1]], last, "right") for i in range(len(n))])
+    shared = overlaps(flat, ends)
+    union = upto + upto.T - shared
+    rest = np.maximum(0, 1 - union * (1 + t) / (n[:, None] + n[None, :]))
+    return shared >= union * t - MARGIN * np.sqrt(union * t * (1 - t) * rest) - 1
+
+
+def _are_similar(n: np.ndarray, flat: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
+    shared = overlaps(flat, ends)
+    return 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+
+
+def forest(link: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    left = np.ones(len(link), bool)
+    a: list[int] = []
+    b: list[int] = []
+    for root in range(len(link)):
+        if not left[root]:
+            continue
+        left[root] = False
+        reached = [root]
+        while reached:
+            x = reached.pop()
+            new = np.flatnonzero(link[x] & left)
+            left[new] = False
+            a.extend([x] * len(new))
+            b.extend(new.tolist())
+            reached.extend(new.tolist())
+    return a, b
+
+
+def _pairs_of(ids: np.ndarray, n: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
+    """Which of many pairs of full sketches (rows 2i and 2i + 1 of ``low``) may be similar: ``_may_be_similar`` for lists of two."""
+    t = percent / 100
+    a, b, na, nb = low[0::2], low[1::2], n[0::2], n[1::2]
+    both = np.sort(np.concatenate([a, b], 1), 1)
+    equal = (both[:, 1:] == both[:, :-1]) & np.isfinite(both[:, 1:])
+    k = low.shape[1]
+    top = np.minimum(np.where(na > k, a[:, -1], np.inf), np.where(nb > k, b[:, -1], np.inf))
+    shared = equal.sum(1)
+    union = ((both <= top[:, None]) & np.isfinite(both)).sum(1) - shared
+    rest = np.maximum(0, 1 - union * (1 + t) / (na + nb))
+    return shared >= union * t - MARGIN * np.sqrt(union * t * (1 - t) * rest) - 1
 
 
-def _least_overlap(na: Column, nb: Column, percent: int) -> Column:
-    """Lists that two sets of similarity ``percent`` share at least.
+def _blocks(percent: int, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (g, doc_id, n, comp, values) sorted by g: spanning forests (a, b) of what is, or may be, similar in each group, between different comps."""
 
-    Shared shingles among the k smallest of the union are in both sketches if either retains k; these k are drawn without
-    replacement. What either leaves out of the lists are the most frequent ones, so at most the larger spare is missing.
-    """
-    t = percent / 100
-    k = _kept(F.least(na, nb), percent)
-    rest = F.greatest(F.lit(0.0), 1 - k * (1 + t) / (na + nb))
-    return k * t - _spare(F.greatest(na, nb)) - MARGIN * F.sqrt(k * t * (1 - t) * rest) - 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, "g"):
+            starts, stops = bounds[:-1], bounds[1:]
+            ids, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp"))
+            values = table.column("values").combine_chunks()
+            values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+            ends = values.offsets.to_numpy().astype(np.int64)
+            flat = values.values.to_numpy(zero_copy_only=False)
+            one: list[np.ndarray] = []
+            other: list[np.ndarray] = []
+            if not exact:  # lists of two, all at once
+                two = starts[stops - starts == 2]
+                fit = 100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])
+                two = two[fit & (comp[two] != comp[two + 1])]
+                for x in range(0, len(two), 4096):
+                    at = np.stack([two[x : x + 4096], two[x : x + 4096] + 1], 1).ravel()
+                    low = np.full((len(at), SKETCH), np.inf, np.float32)
+                    size = ends[at + 1] - ends[at]
+                    cells = np.arange(SKETCH)[None, :] < size[:, None]
+                    low[cells] = flat[(ends[at][:, None] + np.arange(SKETCH)[None, :])[cells]]
+                    yes = _pairs_of(ids[at], n[at], low, percent)
+                    one.append(ids[at[0::2]][yes])
+                    other.append(ids[at[1::2]][yes])
+            for x, y in zip(starts, stops, strict=True):
+                if y - x < 2 or (y - x == 2 and not exact):
+                    continue
+                # by size, so that what can't be similar to its neighbour in size ends a run
+                order = x + np.argsort(n[x:y], kind="stable")
+                size = n[order]
+                for part in np.split(order, np.flatnonzero(100 * size[:-1] < percent * size[1:]) + 1):
+                    if len(part) < 2 or (comp[part] == comp[part[0]]).all():
+                        continue
+                    own = np.concatenate([flat[ends[i] : ends[i + 1]] for i in part])
+                    at = np.concatenate([[0], np.cumsum(ends[part + 1] - ends[part])])
+                    m = n[part]
+                    link = (_are_similar if exact else _may_be_similar)(m, own, at, percent)
+                    link &= (100 * np.minimum(m[:, None], m[None, :]) >= percent * np.maximum(m[:, None], m[None, :])) & (comp[part][:, None] != comp[part][None, :])
+                    a, b = forest(link)
+                    one.append(ids[part[a]] if a else ids[:0])
+                    other.append(ids[part[b]] if b else ids[:0])
+            if one:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(other))], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) out of rows (g, doc_id, n, comp, values); a group is one row set of bounded size."""
+    return rows.select("g", "doc_id", "n", "comp", "values").repartition("g").sortWithinPartitions("g").mapInArrow(_blocks(percent, exact), "a long, b long")
+
+
+def _chunk_pairs(chunk: Column, chunks: Column) -> Column:
+    """The pairs of chunks that a chunk is in: itself if there is no other."""
+    others = F.filter(F.sequence(F.lit(0), chunks - 1), lambda j: j != chunk)
+    return F.when(chunks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(others, lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j"))))
+
+
+def _dealt(key: Column, chunks: Column) -> Column:
+    """The chunk of a document id."""
+    return F.pmod(F.xxhash64(F.lit(5), key), chunks).cast("int")
+
+
+def _may_link(reps: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) of the pairs whose sketches leave the similarity possible; reps has doc_id, n, low."""
+    many = F.least(F.size("low") - 1, F.lit(lists_for(percent)))
+    key = lambda x, i: F.xxhash64(x, F.get("low", i + 1))
+    entries = reps.filter("n > 1").select("doc_id", "n", F.explode(F.transform(F.slice("low", 1, many), key)).alias("v"))
+    sizes = entries.groupBy("v").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = sizes.filter((F.col("c") > 2) | (F.col("c") == 2) & (100 * F.col("least") >= percent * F.col("most")))
+    sizes = materialize(sizes.select("v", F.ceil(F.col("c") / LIST_CHUNK).cast("int").alias("chunks")), "lists")
+    members = materialize(entries.join(broadcast_if_small(sizes, 64), "v"), "list-members")
+    blocks = members.select("doc_id", "v", F.explode(_chunk_pairs(_dealt(F.col("doc_id"), F.col("chunks")), F.col("chunks"))).alias("p")).select("doc_id", F.xxhash64("v", "p.i", "p.j").alias("g"))
+    rows = blocks.join(reps, "doc_id").select("g", "doc_id", "n", F.col("doc_id").alias("comp"), F.col("low").alias("values"))
+    found = materialize(_in_blocks(rows, percent, exact=False).distinct(), "may-link")
+    discard(sizes, members)
+    return found
+
+
+def _exact(blocks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) by full sets inside the blocks (doc_id, comp, g)."""
+    dealt = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("g", "comp")).alias("gs"))  # a document's blocks are as many as the chunks of its neighbourhood at most
+    dealt = materialize(dealt, "dealt")
+    sets = with_sets(docs.join(broadcast_if_small(dealt, 128), "doc_id").select("doc_id", "text", "gs"), words, "gs")
+    rows = sets.select("doc_id", F.size("s").cast("long").alias("n"), F.col("s").alias("values"), F.explode("gs").alias("x")).select("*", "x.g", "x.comp")
+    out = materialize(_in_blocks(rows, percent, exact=True).distinct(), "links")
+    discard(dealt)
+    return out
+
+
+def _similar(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs of reps (doc_id, n, low)."""
+    may = _may_link(reps, percent)
+    near = components(may).select(F.col("id").alias("doc_id"), F.col("root").alias("near"))
+    near = materialize(near.join(reps.select("doc_id", "n"), "doc_id"), "neighbourhoods")
+    discard(may)
+    count = lambda n, c: F.greatest(F.ceil(c / CHUNK), F.ceil(n / CHUNK_SHINGLES)).cast("int")
+    sizes = near.groupBy("near").agg(F.count("*").alias("c"), F.sum("n").alias("w")).select("near", "c", count(F.col("w"), F.col("c")).alias("chunks"))
+    large = materialize(sizes.filter("chunks > 1"), "large")
+    # First: each chunk by itself, and with the members that all chunks see.
+    known = near.join(broadcast_if_small(large, 64), "near", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    hub = (F.col("doc_id") == F.col("near")) | (F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.col("c")) < HUBS)
+    own = F.when((F.col("chunks") > 1) & hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(_dealt(F.col("doc_id"), F.col("chunks"))))
+    links = _exact(known.select("doc_id", F.col("doc_id").alias("comp"), F.col("near"), F.explode(own).alias("i")).select("doc_id", "comp", F.xxhash64("near", "i").alias("g")), docs, words, percent)
+    if not large.isEmpty():
+        # Then: between the chunks of large neighbourhoods. A group that fills chunks of its own has chunks of nothing else; these needn't meet.
+        comp = components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
+        members = near.join(F.broadcast(large.select("near")) if large.count() * 32 <= 8 << 20 else large.select("near"), "near")
+        members = materialize(members.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "large-members")
+        groups = members.groupBy("near", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+        groups = materialize(groups.withColumn("full", (F.col("c") >= CHUNK) | (F.col("w") >= CHUNK_SHINGLES)), "large-groups")
+        rest = groups.filter("not full").groupBy("near").agg(count(F.sum("w"), F.sum("c")).alias("rest"))
+        groups = groups.join(rest, "near", "left").select("near", "comp", "full", F.when(F.col("full"), count(F.col("w"), F.col("c"))).otherwise(F.col("rest")).alias("chunks"))
+        placed = members.join(groups, ["near", "comp"])
+        chunk = F.when(F.col("full"), F.xxhash64("near", "comp", _dealt(F.col("doc_id"), F.col("chunks")))).otherwise(F.xxhash64("near", F.lit(-1), _dealt(F.col("comp"), F.col("chunks"))))
+        placed = materialize(placed.select("doc_id", "near", "comp", "n", chunk.alias("chunk"), F.when(F.col("full"), F.col("comp")).alias("label")), "placed")
+        chunks = materialize(placed.select("near", "chunk", "label").distinct(), "chunks")
+        x, y = chunks.alias("x"), chunks.alias("y")
+        meet = x.join(y, (F.col("x.near") == F.col("y.near")) & (F.col("x.chunk") <= F.col("y.chunk")) & ~F.coalesce(F.col("x.label") == F.col("y.label"), F.lit(False)))
+        meet = meet.select(F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2"), F.xxhash64("x.chunk", "y.chunk").alias("g"))
+        meet = materialize(meet.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"), "g"), "meet")
+        more = _exact(placed.join(meet, "chunk").select("doc_id", "comp", "g"), docs, words, percent)
+        links = materialize(links.union(more), "links")
+        discard(members, placed, chunks, meet, more)
+    discard(near, large)
+    return links
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id of its group) and kept (whether that is itself).
 
-    Null and empty texts have no shingles and are linked with nothing. Of repeated ids with different texts each
-    row counts as the same node; documents with a null id are returned as groups of their own, with a null component. Other columns
-    are ignored; an empty table gives an empty result.
+    Null and empty texts have no shingles and are linked with nothing. Texts of any length count whole. Of repeated ids with different texts each
+    row counts as the same node; documents with a null id are returned as groups of their own, with a null component. Ties go to the smallest id.
+    Other columns are ignored; an empty table gives an empty result. ``percent`` is from 60 to 100.
     """
+    if not 60 <= percent <= 100:
+        raise ValueError("percent: from 60 to 100")
     given = docs.select("doc_id", "text")
-    every = materialize(sketches(given, words, percent), "sketches")
+    every = materialize(sketches(given, words), "sketches")
     full = every.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    member = materialize(full.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"]).select("doc_id", "n", "rep"), "members")
-    ids = member.select(F.col("rep").alias("doc_id")).distinct()
-    reps = materialize(full.join(broadcast_if_small(ids, 40), "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "low"), "reps")
-    spark = docs.sparkSession
-
-    def grow(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        links = materialize(links.union(more), "links")
-        return links, components(links).select(F.col("id").alias("doc_id"), F.col("root").alias("comp"))
-
-    similar = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-
-    # Star rounds.
-    index = materialize(_indexed(reps, percent), "lists", "lz4")
-    links = spark.createDataFrame([], "a long, b long")
-    comp = None
-    sizes = index.filter("star").groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = materialize(index.filter("star").join(sizes, "v").select("doc_id", "n", "v", "c"), "star-lists")
-    central = entries.groupBy("doc_id").agg(F.sum("c").alias("score"))
-    scored = entries.join(central, "doc_id").select("doc_id", "n", "v", "score")
-    for score in (F.col("score"), F.lit(0)):
-        now = _with_comp(scored, comp)
-        hubs = now.groupBy("v").agg(F.max(F.struct(score, -F.col("doc_id"), "doc_id", "n", "comp")).alias("hub"))
-        star = now.join(hubs.select("v", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m"), F.col("hub.comp").alias("other")), "v")
-        star = star.filter((F.col("comp") != F.col("other")) & similar(F.col("n"), F.col("m")))
-        star = star.groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n")).filter(F.col("c") >= F.when(F.col("n") < 4 * STAR, 1).otherwise(STAR_SHARED))
-        links, comp = grow(links, _confirmed(star.select("a", "b"), given, words, percent))
-
-    # All lists, between components.
-    lists = _with_comp(index.drop("star"), comp)
-    x, y = lists.alias("x"), lists.alias("y")
-    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & similar(F.col("x.n"), F.col("y.n")))
-    met = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
-    met = materialize(met.filter(F.col("c") >= _least_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b"), "met")
-    low = reps.select("doc_id", "n", F.transform(F.slice("low", 1, ESTIMATE), lambda v: F.shiftright(v, 32).cast("int")).alias("low"))
-    ids = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
-    low = broadcast_if_small(materialize(low.join(ids, "doc_id", "left_semi"), "met-sketches", "lz4"), 64 + 4 * ESTIMATE)
-    la, lb = (low.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"l{c}")) for c in ("a", "b"))
-    likely = lambda pairs: pairs.join(la, "a").join(lb, "b").filter(_estimate_passes(percent)).select("a", "b")
-
-    first, second = links, _confirmed(likely(met.select("a", "b")), given, words, percent)
-    root = components(first.union(second).union(member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    prints = full.select("doc_id", "n", "k1", "k2")
+    classes = prints.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+    # the rows of a class but its first: what a representative stands for
+    copies = materialize(prints.join(broadcast_if_small(materialize(classes, "classes"), 64), ["k1", "k2", "n"]).filter("doc_id <> rep").select("doc_id", "rep", "k1", "k2"), "copies")
+    again = materialize(prints.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"), "repeated-ids")
+    first = full.join(broadcast_if_small(copies, 64), ["doc_id", "k1", "k2"], "left_anti")
+    again = broadcast_if_small(again, 32)
+    reps = first.join(again, "doc_id", "left_anti").union(first.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"])).select("doc_id", "n", "low")
+    links = _similar(reps, given, words, percent)
+    root = components(links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(root, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))

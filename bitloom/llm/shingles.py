@@ -24,6 +24,6 @@ def shingle_set(text: Column, size: int) -> Column:
     return F.sort_array(let(words_of(low), windows))
 
 
-def with_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its shingle set ``s``."""
-    return docs.select("doc_id", shingle_set(F.col("text"), size).alias("s"))
+def with_sets(docs: DataFrame, size: int, *more: str) -> DataFrame:
+    """doc_id, the columns ``more``, and the shingle set ``s``."""
+    return docs.select("doc_id", *more, shingle_set(F.col("text"), size).alias("s"))

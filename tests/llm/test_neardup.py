@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from bitloom.llm import neardup
 
 
@@ -61,3 +63,31 @@ def test_edges(spark):
     got = neardup.groups(docs, 2, 80).toPandas()
     assert len(got) == 5 and got.kept.all()
     assert neardup.groups(docs.limit(0)).count() == 0
+
+
+def test_chunks_give_the_same_groups(spark, monkeypatch):
+    """Lists and neighbourhoods cut into many chunks: copies of one text, edited less or more, so that pairs lie on both sides of the threshold."""
+    monkeypatch.setattr(neardup, "LIST_CHUNK", 8)
+    monkeypatch.setattr(neardup, "CHUNK", 6)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(70):
+        w = base[:]
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 8])):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).toPandas()
+    want = brute(rows, 2, 80)
+    assert {r.doc_id: r.component_id for r in got.itertuples()} == {i: root for i, (_, root) in want.items()}
+    assert 3 < got.kept.sum() < 60
+
+
+def test_overlaps_count_shared_values():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 50, rng.integers(0, 30))) for _ in range(17)]
+    ends = np.cumsum([0, *map(len, rows)])
+    got = neardup.overlaps(np.concatenate(rows), ends)
+    assert all(got[i, j] == len(np.intersect1d(rows[i], rows[j])) for i in range(17) for j in range(17) if i != j)
+    assert neardup.overlaps(np.zeros(0, np.int64), np.zeros(3, np.int64)).tolist() == [[0, 0], [0, 0]]
