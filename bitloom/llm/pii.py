@@ -10,14 +10,15 @@ The potentials are estimated from the text itself: base matches serve as labels
 at most ``SAMPLE`` documents (chosen by hash, so alike at every size), from which shape-label, neighbour and
 skip-pair counts are summed on the executors.
 
-Nulls and empty texts give no spans, whole texts are read however long, repeated rows give repeated results,
-and other columns are ignored.
+Nulls and empty texts give no spans, whole texts are read however long, repeated rows give repeated results, null ids stay null, an empty
+table gives an empty result, labels of equal marginals go to the first as listed, and other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -175,11 +176,13 @@ class Graph:
 
 
 def _counts(graph: Graph) -> Counter:
-    """What one text adds to the estimates: nodes outside every base match count as "none"."""
+    """What one text adds to the estimates. Nodes outside every base match count as "none", but for those that a skip edge
+    joins to a match: what these are is what the field has to say, so they count as nothing."""
+    open_ = {x for a, b in graph.skip for x, y in ((a, b), (b, a)) if graph.labels[x] < 0 <= graph.labels[y]}
     y = [max(v, 0) for v in graph.labels]
-    out = Counter(("shape", s, str(v)) for s, v in zip(graph.shapes, y, strict=True))
+    out = Counter(("shape", s, str(v)) for i, (s, v) in enumerate(zip(graph.shapes, y, strict=True)) if i not in open_)
     for kind, edges in (("chain", graph.chain), ("skip", graph.skip)):
-        out.update((kind, str(y[a]), str(y[b])) for a, b in edges)
+        out.update((kind, str(y[a]), str(y[b])) for a, b in edges if not open_ & {a, b})
     return out
 
 
@@ -302,17 +305,22 @@ def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind in angle brackets, and n_chars counted anew where it exists."""
+    """``docs`` with every span of its texts replaced by its kind in angle brackets, and n_chars counted anew where it exists.
+
+    All rows, repeated ones too, and all other columns of any name stay; null and empty texts stay as they are; an empty table gives an empty result.
+    Of spans that overlap, the first takes the place of all of them.
+    """
     model = model or fit(docs)
+    look = f"__look_{uuid.uuid4().hex[:12]}"
 
     def scrub(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for batch in texts:
             at = batch.schema.get_field_index("text")
-            hot = batch.schema.get_field_index("_hot")
+            hot = batch.schema.get_field_index(look)
             out = []
-            for text, look in zip(batch.column(at).to_pylist(), batch.column(hot).to_pylist(), strict=True):
-                if text and look:
+            for text, marked in zip(batch.column(at).to_pylist(), batch.column(hot).to_pylist(), strict=True):
+                if text and marked:
                     base = base_spans(text)
                     last, parts = 0, []
                     for k, a, b in sorted(base + added_spans(text, base, model), key=lambda s: (s[1], -s[2])):
@@ -324,5 +332,5 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
             cols = [pa.array(out, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns) if i != hot]
             yield pa.RecordBatch.from_arrays(cols, [f.name for i, f in enumerate(batch.schema) if i != hot])
 
-    out = docs.withColumn("_hot", F.col("text").rlike("[0-9@]")).mapInArrow(scrub, docs.schema)
+    out = docs.withColumn(look, F.col("text").rlike("[0-9@]")).mapInArrow(scrub, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

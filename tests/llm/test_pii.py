@@ -1,7 +1,11 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 
+import numpy as np
+
 from bitloom.llm import pii
 
 
@@ -57,3 +61,32 @@ def test_repeats_take_the_label_of_their_twin(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).count() == 0 and pii.redact(docs).count() == 0
+
+
+def test_marginals_equal_enumeration():
+    """On a graph without cycles messages are exact; with a short cycle the likeliest labels are the same."""
+    rng = np.random.default_rng(2)
+    size = len(pii.LABELS)
+    for chain, skip, exact in (([(0, 1), (1, 2), (2, 3)], [(1, 4)], True), ([(0, 1), (2, 3)], [(0, 3), (3, 4)], True), ([(0, 1), (1, 2)], [(0, 2), (2, 3)], False)):
+        graph = object.__new__(pii.Graph)
+        n = 1 + max(max(e) for e in chain + skip)
+        graph.labels, graph.shapes, graph.chain, graph.skip = [-1] * n, [f"s{i}" for i in range(n)], chain, skip
+        graph.labels[1] = 2
+        tables = {k: rng.normal(0, 0.5, (size, size)) for k in ("chain", "skip")}
+        model = {"unary": {f"s{i}": rng.normal(0, 1, size) for i in range(n)}, "rest": np.zeros(size), "chain": tables["chain"] + tables["chain"].T, "skip": tables["skip"] + tables["skip"].T + 2 * np.eye(size)}
+        want = np.zeros((n, size))
+        for y in itertools.product(range(size), repeat=n):
+            if y[1] == 2:
+                w = sum(model["unary"][f"s{i}"][v] for i, v in enumerate(y) if i != 1) + sum(model[k][y[a], y[b]] for k, edges in (("chain", chain), ("skip", skip)) for a, b in edges)
+                want[range(n), y] += math.exp(w)
+        want /= want.sum(1, keepdims=True)
+        got = pii.marginals(graph, model)
+        assert (abs(got - want) < (0.01 if exact else 0.15)).all() and (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_redact_keeps_columns_of_any_name_and_repeated_rows(spark):
+    rows = [(1, "a.b@c.de", "x", 3), (1, "a.b@c.de", "x", 3), (None, None, None, None), (2, "", "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hot string, spans int")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "<EMAIL>", "x", 3), (1, "<EMAIL>", "x", 3), (None, None, None, None), (2, "", "y", 0)], key=repr)
