@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import let, materialize, words_of
 
-#: (name, figure, good up to / from, bad from / up to): "low" figures are good when small, "high" ones when large.
+#: (name, figure, good up to / from, bad from / up to): "low" figures are good when small, "high" ones when large. Symbols and marks are judged on
+#: two scales, by word and by character: on labelled documents 8 in 100 verdicts are wrong if each has one rule only, none with both.
 RULES = (
     ("length", "high", lambda c: c.n_words, 80, 40),
     ("long_words", "low", lambda c: c.word_chars / c.n_words, 9.0, 14.0),
@@ -35,8 +36,8 @@ RULES = (
     ("capitals", "low", lambda c: c.n_capitals / c.word_chars, 0.15, 0.4),
     ("vocabulary", "high", lambda c: c.n_distinct_words / F.sqrt(c.n_words), 3.0, 1.5),
 )
-#: Rounds of expectation maximisation, and the pseudo-count of every vote.
-ROUNDS, PRIOR = 12, 1.0
+#: Expectation maximisation ends when no parameter moves by more than this; and the pseudo-count of every vote.
+STILL, PRIOR = 1e-4, 1.0
 
 
 class _Columns:
@@ -49,7 +50,8 @@ def _repeated(words: Column, mask: Column) -> Column:
 
     A window is keyed by a long: hash bits above its place, which ``mask`` (all ones, above the number of
     words) keeps. Sorting the keys brings equal windows together; the words of neighbours are then compared,
-    so a clash of hash bits adds nothing.
+    so a clash of hash bits adds nothing. Where a clash puts another window between two equal ones, the whole run
+    of equal hash bits is compared, so it takes nothing away either.
     """
 
     def place(w: Column, q: Column) -> Column:
@@ -59,12 +61,22 @@ def _repeated(words: Column, mask: Column) -> Column:
         return let(keys, lambda k: covered(w, q, k))
 
     def covered(w: Column, q: Column, keys: Column) -> Column:
-        def equal(x, y):
-            i, j = (z.bitwiseAND(q).cast("int") for z in (x, y))
-            return (x.bitwiseXOR(y) <= q) & (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+        def window(x, k):
+            return F.get(w, x.bitwiseAND(q).cast("int") + k)
 
-        like_next = F.filter(keys, lambda x, j: equal(x, F.get(keys, j + 1)))
-        like_last = F.filter(keys, lambda x, j: equal(x, F.get(keys, j - 1)))
+        def clash(x, y):
+            return x.bitwiseXOR(y) <= q
+
+        def same(x, y):
+            return (window(x, 0) == window(y, 0)) & (window(x, 1) == window(y, 1)) & (window(x, 2) == window(y, 2))
+
+        def like(step):
+            """Windows that have an equal one after (step 1) or before (step -1) them in the order of keys."""
+            near = lambda x, j: F.get(keys, j + step)
+            after = lambda x, y: y > x if step > 0 else y < x
+            return F.filter(keys, lambda x, j: clash(x, near(x, j)) & (same(x, near(x, j)) | F.exists(keys, lambda y: after(x, y) & clash(x, y) & same(x, y))))
+
+        like_next, like_last = like(1), like(-1)
         return let(like_next, lambda a: F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(count(F.array_union(a, like_last), q)))
 
     def count(found: Column, q: Column) -> Column:
@@ -119,8 +131,8 @@ def _posterior(share: float, rates: list[tuple[float, float]]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def fit(voted: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """The share of good documents and each rule's rates, by expectation maximisation over pattern counts.
+def fit(voted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+    """The share of good documents and each rule's rates, by expectation maximisation over pattern counts, until nothing moves.
 
     The start is that votes are right four times in five. A rule is held to be no worse than a coin: its
     good votes must be likelier on good documents. Empty tables give the start values.
@@ -129,7 +141,7 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float
     patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")), "quality-patterns")
     share, rates = 0.8, [(0.9, 0.3)] * len(RULES)
     clip = lambda x: min(0.995, max(0.005, x))
-    for _ in range(rounds):
+    while True:
         p = F.col("n") * F.col("p")
         q = F.col("n") * (1 - F.col("p"))
         sums = [F.sum(x).alias(k) for k, x in (("good", p), ("bad", q))]
@@ -138,13 +150,17 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[tuple[float
         got = patterns.withColumn("p", _posterior(share, rates)).agg(*sums).first().asDict()
         if got["good"] is None:
             break
-        share = clip((got["good"] + PRIOR) / (got["good"] + got["bad"] + 2 * PRIOR))
+        was, share = share, clip((got["good"] + PRIOR) / (got["good"] + got["bad"] + 2 * PRIOR))
         new = []
         for v in names:
             a = clip((got[f"p1{v}"] + 4 * PRIOR) / (got[f"p1{v}"] + got[f"p-1{v}"] + 5 * PRIOR))
             b = clip((got[f"q1{v}"] + PRIOR) / (got[f"q1{v}"] + got[f"q-1{v}"] + 5 * PRIOR))
             new.append((a, min(a, b)))
+        moved = max(abs(x - y) for old, now in zip(rates, new, strict=True) for x, y in zip(old, now, strict=True))
+        moved = max(moved, abs(share - was))
         rates = new
+        if moved < STILL:
+            break
     return share, rates
 
 
@@ -152,7 +168,8 @@ def score(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Every document with its figures, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
     The base test fails documents of under 50 words or with more than half of their words in repeated
-    3-word windows. Null and empty texts have no words, so they fail. Repeated rows are scored alike, extra
+    3-word windows. Null and empty texts have no words, so they fail. Texts of any length are counted whole. Repeated rows and texts with the same
+    figures are scored alike, a posterior of exactly ``threshold`` is kept, null ids are returned as they are, extra
     columns are ignored, an empty table gives an empty result.
     """
     figs = materialize(figures(docs), "quality-figures")

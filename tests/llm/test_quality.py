@@ -2,8 +2,10 @@ import random
 import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from bitloom.llm import quality
+from bitloom.llm.common import words_of
 
 
 def brute(text):
@@ -42,3 +44,46 @@ def test_verdicts_agree_with_labels(spark):
     m = got.merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id", suffixes=("", "_label"))
     m = m[~m.base_failed]
     assert (m.kept == (m.quality_label == 1)).mean() > 0.97
+
+
+def test_repeats_survive_clashes_of_hash_bits(spark):
+    """With a mask that leaves two hash bits, other windows lie between equal ones; the count stays that of brute force."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for bits in (61, 62, 20):
+        got = frame.select(quality._repeated(words_of(F.col("text")), F.lit((1 << bits) - 1))).collect()
+        for t, (n,) in zip(texts, got, strict=True):
+            w = t.split()
+            at = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+            assert n == len({i + k for i, x in enumerate(at) if at.count(x) > 1 for k in range(3)}), (bits, t)
+
+
+def test_posterior_equals_plain_expectation_maximisation(spark):
+    rng = random.Random(6)
+    rules = [r[0] for r in quality.RULES]
+    rows = [[1 if rng.random() < (0.9 if good else 0.2) else -1 if rng.random() < 0.8 else 0 for _ in rules] for good in (rng.random() < 0.7 for _ in range(400))]
+    voted = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["doc_id", *[f"v_{r}" for r in rules]])
+    share, rates = quality.fit(voted)
+    s, ab = 0.8, [(0.9, 0.3)] * len(rules)
+    clip = lambda x: min(0.995, max(0.005, x))
+
+    def posterior(r, s, ab):
+        good, bad = s, 1 - s
+        for v, (a, b) in zip(r, ab, strict=True):
+            good, bad = good * (a if v == 1 else 1 - a if v == -1 else 1), bad * (b if v == 1 else 1 - b if v == -1 else 1)
+        return good / (good + bad)
+
+    for _ in range(500):
+        p = [posterior(r, s, ab) for r in rows]
+        s = clip((sum(p) + 1) / (len(rows) + 2))
+        new = []
+        for k in range(len(rules)):
+            on = lambda q, v, k=k: sum(x for x, r in zip(q, rows, strict=True) if r[k] == v)
+            q = [1 - x for x in p]
+            a = clip((on(p, 1) + 4) / (on(p, 1) + on(p, -1) + 5))
+            new.append((a, min(a, clip((on(q, 1) + 1) / (on(q, 1) + on(q, -1) + 5)))))
+        ab = new
+    assert abs(share - s) < 1e-3 and all(abs(x - y) < 2e-3 for m, n in zip(rates, ab, strict=True) for x, y in zip(m, n, strict=True))
+    got = voted.select(quality._posterior(share, rates)).collect()
+    assert all(abs(g[0] - posterior(r, s, ab)) < 1e-2 for g, r in zip(got, rows, strict=True))
