@@ -1,17 +1,21 @@
 """Secret scanning: base patterns, and assignment-aware lexing that adds what they miss.
 
-A lexer cuts lines with an assignment sign into names, signs, quoted and bare literals. Name and literal form a
-pair in source syntax (``name = "x"``, ``name := x``, ``const NAME: str = 'x'``), configuration syntax
-(``name: x``, ``"name": "x"``, ``export NAME=x``) and calls with keywords. A name assigned from another name takes that name's
-literals (constants propagate, also through ``+``), so a literal is judged by every name that it reaches. Its
-score is the sensitivity of the most sensitive of them times how much the literal looks like a credential.
-
-Nulls and empty texts give no spans, whole texts are read, repeated rows give repeated results, other columns
-are ignored.
+A lexer reads what stands from a line with an assignment sign on: names (dotted and subscripted ones too), signs, quoted strings
+(over several lines in triple quotes) and bare literals, brackets and line breaks. Name and literal form a
+pair in source syntax (``name = "x"``, ``name := x``, ``const NAME: str = 'x'``, ``name["part"] = "x"``), configuration syntax
+(``name: x``, ``"name": "x"``, ``export NAME=x``) and calls with keywords. What stands in brackets belongs to the name before them, over as many
+lines as the brackets take: elements of a list, arguments of a call, and the entries of an object or of an indented block, whose names are
+paths. A name assigned from another name takes that name's
+literals (constants propagate, also through ``+``, and from definitions that follow their use), so a literal is judged by every name that it
+reaches. Its score is the sensitivity of the most sensitive of them times how much the literal looks like a credential.
+
+Nulls and empty texts give no spans, whole texts of any length are read, repeated rows give repeated results, null ids stay null, an empty table
+gives an empty result, other columns are ignored. A literal that two names reach counts once.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -37,8 +41,13 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)|(?P<sign>:=|=>|==|!=|<=|>=|=|:)|(?P<plus>\+)|(?P<bare>[0-9][^\s"',;(){}\[\]]*)|(?P<end>[\n;,{}()\[\]])|(?P<space>[ \t\r\f\v]+)|(?P<other>.)""",
+    r"""(?P<string>\"{3}.*?\"{3}|'{3}.*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)|(?P<sign>:=|=>|==|!=|<=|>=|::|=|:)|(?P<plus>\+)"""
+    r"""|(?P<bare>[0-9][^\s"',;(){}\[\]]*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<stop>[,;])|(?P<line>\n)|(?P<space>(?:[ \t\r\f\v]|\\\n)+)|(?P<other>.)""",
+    re.DOTALL,
 )
+_NEXT_SIGN = re.compile(r"[ \t]*(?::=|=>|=(?![=>])|:(?!:))")
+_SUBSCRIPT = re.compile(r"""\[[ \t]*["']([^"'\n]+)["'][ \t]*\](?=[ \t]*=(?!=))""")
+_INDENT = re.compile(r"[ \t]*(?:-[ \t]+)*")
 _BARE = re.compile(r"[^\s\"',;(){}\[\]]+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|nil|true|false|todo|changeme|example|your[_-].*|<.*>|\$\{.*|%\(.*|string|str|int|bool|float|bytes)$")
@@ -54,9 +63,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def sensitivity(name: str) -> float:
-    """How sensitive a target of this name is: the best of its parts and joined neighbouring parts."""
+    """How sensitive a target of this name or path is: the best of its parts and joined neighbouring parts, nothing if its last part is harmless."""
     parts = [p.lower() for p in _PARTS.findall(name)]
-    if parts and parts[-1] in ("id", "name", "url", "path", "file", "type", "count", "length", "size", "policy", "hint", "field", "expiry", "ttl"):
+    parts = [p[:-1] if p.endswith("s") and p[:-1] in NAMES else p for p in parts]
+    if parts and parts[-1] in ("id", "name", "url", "path", "file", "type", "count", "length", "size", "policy", "hint", "field", "expiry", "ttl", "user", "username", "host", "port", "email", "region", "version"):
         return 0.0
     joined = parts + ["".join(parts[i : i + 2]) for i in range(len(parts) - 1)]
     return max((NAMES.get(p, 0.0) for p in joined), default=0.0)
@@ -72,64 +82,131 @@ def looks(literal: str) -> float:
     return min(1.0, 0.25 + 0.15 * kinds + 0.1 * min(entropy, 4.0) + (0.1 if n >= 16 else 0.0)) * (1.0 if kinds > 1 else 0.5)
 
 
+def _brackets(text: str, start: int) -> dict[int, int]:
+    """Where each bracket that is opened from ``start`` on is closed; one that never is isn't listed."""
+    out: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    for m in _LEX.finditer(text, start):
+        if m.lastgroup == "open":
+            opened.append((")]}"["([{".index(m.group())], m.start()))
+        elif m.lastgroup == "close":
+            at = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == m.group()), None)
+            if at is not None:
+                out[opened[at][1]] = m.start()
+                del opened[at:]
+    return out
+
+
+class _Level:
+    """One open bracket, or the line itself: the path of names it belongs to, the assignment that its loose values go to, the one being read, and where it closes."""
+
+    __slots__ = ("closes", "now", "outer", "path")
+
+    def __init__(self, path: str, outer: tuple | None, closes: int):
+        self.path, self.outer, self.closes, self.now = path, outer, closes, None
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[str, int, int]]]]:
-    """(target name, spans of its literals, names that its value takes with their spans) in text order, for each assignment in the text."""
-    out: list[tuple[str, list[tuple[int, int]], list[tuple[str, int, int]]]] = []
-    for line in _lines_with_sign(text):
-        target, value, names, last = None, [], [], None
-        pos, end = line
-        while pos < end:
-            m = _LEX.match(text, pos, end)
-            kind, pos = m.lastgroup, m.end()
+    """(target name or path, spans of its literals, names that its value takes with their spans), for each assignment in the text."""
+    out: list[tuple[str, list, list]] = []
+    closing: dict[int, int] | None = None
+    blocks: list[tuple[int, str]] = []  # indents and paths of lines that end with their sign
+    pos, last_end = 0, 0
+    while pos < len(text):
+        end = text.find("\n", pos) + 1 or len(text)
+        start = _INDENT.match(text, pos, end).end()
+        indent = start - pos
+        listed = blocks and text[pos:start].strip() == "-" and pos == last_end
+        if not listed and text.find("=", start, end) < 0 and text.find(":", start, end) < 0:
+            pos = end
+            continue
+        if pos != last_end:
+            blocks.clear()  # other lines lie between
+        while blocks and blocks[-1][0] >= indent:
+            blocks.pop()
+        path = blocks[-1][1] if blocks else ""
+        levels = [_Level(path, (path, [], []) if listed else None, -1)]
+        if listed:
+            out.append(levels[0].outer)
+            bare = _bare(text, start)
+            if bare:
+                levels[0].outer[1].append(bare)
+                start = bare[1]
+        first, pending, at = None, False, start
+        while at < len(text):
+            m = _LEX.match(text, at)
+            kind, a, at = m.lastgroup, m.start(), m.end()
+            level = levels[-1]
+            holder = level.now or level.outer
             if kind == "space":
                 continue
-            if kind == "sign" and m.group() in ("=", ":", ":=", "=>"):
-                if target is None and last:
-                    target = last
-                elif target is not None and m.group() == "=" and names and not value:
-                    names = []  # "name: type = value"
-                if target is not None:
-                    while pos < end and text[pos] in " \t":
-                        pos += 1
-                    if pos < end and text[pos] not in "\"'\n":
-                        bare = _BARE.match(text, pos, end)
-                        if bare and not re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", bare.group()):
-                            value.append(bare.span())
-                            pos = bare.end()
-            elif kind == "string":
-                if target is None:
-                    last = m.group()[1:-1]
-                else:
-                    value.append((m.start() + 1, m.end() - 1))
-            elif kind == "name":
-                if target is None:
-                    last = m.group()
-                else:
-                    names.append((m.group(), *m.span()))
-            elif kind == "bare" and target is not None:
-                value.append(m.span())
-            elif kind == "plus":
+            if kind == "line":
+                if len(levels) == 1 and not pending and not text[at:].lstrip(" \t")[:1] == "+":
+                    break
+                if len(levels) > 1 and level.now and (level.now[1] or level.now[2]):
+                    level.now = None
                 continue
-            elif kind == "end" or target is None:
-                if target is not None and (value or names):
-                    out.append((target, value, names))
-                target, value, names, last = (None, [], [], None) if kind == "end" else (None, [], [], last)
-            elif value or names:
-                out.append((target, value, names))
-                target, value, names, last = None, [], [], None
-        if target is not None and (value or names):
-            out.append((target, value, names))
-    return out
+            if kind in ("string", "name"):
+                quotes = 0 if kind == "name" else 3 if m.group()[:3] in ('"""', "'''") else 1
+                inside = text[a + quotes : at - quotes]
+                part = _SUBSCRIPT.match(text, at) if kind == "name" else None
+                key = inside + "." + part.group(1) if part else inside
+                sign = _NEXT_SIGN.match(text, part.end() if part else at)
+                if sign and level.now is None and (quotes == 0 or sign.group().strip() != "="):
+                    level.now = (f"{level.path}.{key}" if level.path else key, [], [])
+                    out.append(level.now)
+                    first = first or level.now
+                    at = sign.end()
+                    bare = _bare(text, at)
+                    if bare:
+                        level.now[1].append(bare)
+                        at = bare[1]
+                    pending = not bare and not text[at : text.find("\n", at) + 1 or len(text)].strip() and sign.group().strip() != ":"
+                    continue
+                if holder and kind == "string":
+                    holder[1].append((a + quotes, at - quotes))
+                elif holder and text[at : at + 1] != "(":
+                    holder[2].append((inside, a, at))
+            elif kind == "sign" and m.group() == "=" and level.now and level.now[2] and not level.now[1]:
+                level.now[2].clear()  # "name: type = value"
+                bare = _bare(text, at)
+                if bare:
+                    level.now[1].append(bare)
+                    at = bare[1]
+            elif kind == "sign" and m.group() == ":" and level.now and level.now[2] and not level.now[1]:
+                key = level.now[2].pop()[0]  # "remark: name: value"
+                level.now = (f"{level.path}.{key}" if level.path else key, [], [])
+                out.append(level.now)
+                bare = _bare(text, at)
+                if bare:
+                    level.now[1].append(bare)
+                    at = bare[1]
+            elif kind == "bare" and holder:
+                holder[1].append((a, at))
+            elif kind == "open":
+                if closing is None:
+                    closing = _brackets(text, pos)
+                if a in closing:
+                    levels.append(_Level(holder[0] if holder and m.group() == "{" else level.path, holder, closing[a]))
+            elif kind == "close" and level.closes == a:
+                levels.pop()
+            elif kind == "stop" or kind == "other" and len(levels) == 1 and level.now and level.now[1]:
+                level.now = None
+            pending = kind in ("plus", "sign")
+        if first and not first[1] and not first[2] and levels[0].now is first and text[start:at].rstrip().endswith(":"):
+            blocks.append((indent, first[0]))
+        pos = last_end = max(end, at)
+    return [x for x in out if x[1] or x[2]]
 
 
-def _lines_with_sign(text: str) -> Iterator[tuple[int, int]]:
-    """Lines that hold an assignment sign, as (start, end with the newline)."""
-    start = 0
-    while start < len(text):
-        end = text.find("\n", start) + 1 or len(text)
-        if text.find("=", start, end) >= 0 or text.find(":", start, end) >= 0:
-            yield start, end
-        start = end
+def _bare(text: str, at: int) -> tuple[int, int] | None:
+    """The literal without quotes that follows a sign on its line, if it isn't a name."""
+    while at < len(text) and text[at] in " \t":
+        at += 1
+    m = _BARE.match(text, at)
+    if not m or m.group()[0] in "`+" or m.group()[-1] == ":" or re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*", m.group()):
+        return None
+    return m.span()
 
 
 def added_spans(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -137,18 +214,29 @@ def added_spans(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
     found = pairs(text)
     if not found:
         return []
+    # The assignments that each one takes its names from: the last of that name before it, or else the first after it.
+    defined: dict[str, list[int]] = {}
+    for i, (target, _, _) in enumerate(found):
+        defined.setdefault(target, []).append(i)
+    sources: list[list[int]] = []
+    for i, (_, _, names) in enumerate(found):
+        at = [(defined[n], bisect.bisect_left(defined[n], i)) for n, _, _ in names if n in defined]
+        sources.append([d[k - 1] if k else d[k] for d, k in at])
+    # The highest sensitivities go back along these ways first, so that each assignment is reached once by each value.
+    weights = [sensitivity(target) for target, _, _ in found]
+    for start in sorted((i for i, w in enumerate(weights) if w), key=lambda i: -weights[i]):
+        todo = [start]
+        while todo:
+            for k in sources[todo.pop()]:
+                if weights[k] < weights[start]:
+                    weights[k] = weights[start]
+                    todo.append(k)
     best: dict[tuple[int, int], float] = {}
-    reach: dict[str, float] = {}
-    targets = {t for t, _, _ in found}
-    for target, value, names in reversed(found):  # from uses back to definitions: what a name's value later flows into
-        weight = max(sensitivity(target), reach.pop(target, 0.0))
+    for weight, (_, value, names) in zip(weights, found, strict=True):
         if weight:
-            for span in value:
+            # a bare literal can look like a name
+            for span in [*value, *((a, b) for n, a, b in names if n not in defined and any(c.isdigit() for c in n))]:
                 best[span] = max(best.get(span, 0.0), weight)
-            for n, a, b in names:
-                reach[n] = max(reach.get(n, 0.0), weight)
-                if n not in targets and any(c.isdigit() for c in n):  # a bare literal that looks like a name
-                    best[a, b] = max(best.get((a, b), 0.0), weight)
     covered = sorted((a, b) for _, a, b in spans)
     out, at = [], 0
     for (a, b), weight in sorted(best.items()):

@@ -38,6 +38,20 @@ def test_lexer_scores_names_and_propagates_constants():
     assert texts_of('K = "Zx81-pq77-AA"\nK = "plain words"\nauth_key = K\n') == []
 
 
+def test_lexer_reads_nested_syntax():
+    one = ["Zx81-kkQ9w!"]
+    for text in (
+        'pwd = (\n  "Zx81-kkQ9w!"\n)\n', 'pwds = ["Zx81-kkQ9w!", "plain"]', 'auth = {"value": "Zx81-kkQ9w!"}', '{"db": {"pwd": "Zx81-kkQ9w!", "port": 5432}}', 'credentials:\n  value: Zx81-kkQ9w!\n  username: bobby1\nother: 12345678a',
+        "credentials:\n  - Zx81-kkQ9w!\n", 'db_pwd = os.environ.get("DB", "Zx81-kkQ9w!")', 'conn = connect(host="db", pwd="Zx81-kkQ9w!")', 'config["pwd"] = "Zx81-kkQ9w!"', 'pwd = """Zx81-kkQ9w!"""', 'db_pwd = KEY\nKEY = "Zx81-kkQ9w!"\n',
+        "remark: pwd: Zx81-kkQ9w!", 'pwd := "Zx81-kkQ9w!"; other := "Zx81-kkQ9w?"', 'const user = { name: "bobby1-X",\n  pwd: `Zx81-kkQ9w!`,\n};', ':-( "\npwd = ["Zx81-kkQ9w!"]',
+    ):
+        assert texts_of(text) == one, text
+    assert texts_of('pwd = "Zx81-" + \n  "kkQ9w!77"\n') == ["kkQ9w!77"]
+    assert texts_of("credentials:\n\nname: Zx81-kkQ9w!\n") == []
+    for text in ("a=" + "[" * 5000 + "]" * 5000, "[:" * 20_000, "a: (" * 5000, "x = y\n" * 5000 + 'pwd = "' + "Zx81-" * 20_000):
+        assert len(texts_of(text)) <= 1
+
+
 def test_rows(spark):
     texts = [None, "", "x = 1", "token = 'abcdef12'", "db_pwd = \"hunter2-Xy99!\" é AKIA" + "A" * 16, "'" * 30_000 + "=", "a=" * 60_000]
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(3, texts[3], 9)], "doc_id long, text string, spans int")
