@@ -7,8 +7,9 @@ executors, choose the ``TERMS`` buckets that tell most about the label; the mach
 of their weights. Training takes at most ``SAMPLE`` labelled documents, chosen by hash, so the labels that are broadcast
 to the scan of the texts are bounded and no text is shuffled.
 
-Null and empty texts get the score of a text without any term. Repeated rows score alike, whole texts are read,
-extra columns are ignored; without training rows every score is 0.
+Null and empty texts get the score of a text without any term. Repeated rows score alike, whole texts of any length are read, null ids stay null
+and aren't held out, a score of exactly one half counts as toxic, extra columns are ignored, an empty table gives an empty result; without
+training rows every score is 0.
 """
 
 from __future__ import annotations
@@ -127,8 +128,9 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, size: int) -> dict:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> dict:
-    """A machine from the documents that have a label and aren't held out."""
-    labels = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """A machine from the documents that have a label and aren't held out. A document whose labels differ counts as toxic."""
+    labels = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
+    labels = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = F.broadcast(hash_sample(labels, sample))  # bounded by ``sample``, whatever the size of the tables
     labelled = docs.select("doc_id", "text").join(few, "doc_id")
     chosen = _informative(labelled.select("text", "toxic"), terms)
