@@ -4,12 +4,13 @@ Texts are sequences of lower-cased runs of letters and digits. A window of a doc
 benchmark item that it is compared with. Its 64-bit SimHash is taken over its words, each weighing as often
 as it occurs. Fingerprints within ``RADIUS`` bits of an item's are found through ``BLOCKS`` = ``RADIUS`` + 1
 blocks of bits: two fingerprints that differ in at most RADIUS bits agree in one block at least, so equality
-of (item size, block number, block bits) loses none. The pairs so found are verified exactly: the similarity
+of a block's bits loses none. The pairs so found are verified exactly: the similarity
 is the sum of smaller over the sum of larger shingle weights, a shingle's weight being how often it occurs.
 
-Of all windows only those are fingerprinted that begin where a run of shingles shared with an item begins:
+Of all windows only those are fingerprinted that begin where a run of shingles shared with an item begins, and they meet that item alone:
 a window without a shared shingle has similarity 0, and sliding one along to the first shared shingle of its run
-doesn't lower its similarity. All is DataFrame expressions. The benchmark's shingles meet the documents as
+doesn't lower its similarity. So pairs are as many as shared runs. Blocks of 4 bits by themselves wouldn't do: nearly two
+in three pairs of unlike fingerprints agree in one of 16. All is DataFrame expressions. The benchmark's shingles meet the documents as
 broadcast tables, in as many blocks of bounded size as it needs; documents aren't shuffled.
 """
 
@@ -20,14 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import broadcast_if_small, let, materialize
+from bitloom.llm.common import BROADCAST_BYTES, broadcast_if_small, let, materialize
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Bits that fingerprints may differ in; blocks that index them.
 RADIUS, BLOCKS = 15, 16
-#: Shingles of the benchmark that one broadcast table holds.
-BLOCK_ROWS = 500_000
+#: Shingles of the benchmark that one broadcast table holds: within the size at which other tables are broadcast.
+BLOCK_ROWS = BROADCAST_BYTES // 48
 
 _LANES = 32  # longs with two 32-bit counters each
 
@@ -80,48 +81,53 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return sized.select("*", _own_shingles(F.col("w"), F.col("k")).alias("sh"))
 
 
+def _placed(docs: DataFrame, kinds: list[int]) -> DataFrame:
+    """(doc_id, p, k, h, before): each shingle of k words, for all ``kinds``, with its place and the shingle before it, in one pass over the texts."""
+
+    def placed(w: Column, k: int) -> Column:
+        def rows(sh: Column) -> Column:
+            return F.transform(sh, lambda h, p: F.struct(p.alias("p"), F.lit(k).alias("k"), h.alias("h"), F.coalesce(F.get(sh, p - 1), F.lit(0).cast("long")).alias("before")))
+
+        return let(_shingles(w, k), rows)
+
+    every = let(words(F.col("text")), lambda w: F.concat(*[placed(w, k) for k in kinds]))
+    return docs.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.*")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Contaminated documents: doc_id, item_id, start (first word of the best window), n_words, distance (bits) and similarity.
 
-    One row for each document and item with a window of similarity ``percent`` or more. Null and empty texts
-    match nothing, nor do items without words; items of fewer than five words are one shingle. Repeated rows of
-    documents or items give one row for each pair of ids. Empty tables give an empty result; other columns are ignored.
+    One row for each document and item with a window of similarity ``percent`` or more, ties to the window that comes first. Null and empty texts
+    match nothing, nor do items without words; items of fewer than five words are one shingle. Texts of any length are read whole. Repeated rows of
+    documents or items give one row for each pair of ids; a null id counts as an id. Empty tables give an empty result; other columns are ignored.
     """
     items = materialize(items_of(benchmark.select("item_id", "text")).select("*", simhash(F.col("w")).alias("fp")), "benchmark-items")
     kinds = sorted(r.k for r in items.select("k").distinct().collect())  # at most WORDS
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, distance int, similarity double")
     # Each shingle of an item with the one before it; the table is dealt into blocks of bounded size.
-    shingled = items.select("m", "k", F.posexplode("sh").alias("q", "h"), "sh").select("m", "k", "h", F.coalesce(F.get("sh", F.col("q") - 1), F.lit(0).cast("long")).alias("prev"))
+    shingled = items.select("item_id", "m", "k", F.posexplode("sh").alias("q", "h"), "sh").select("item_id", "m", "k", "h", F.coalesce(F.get("sh", F.col("q") - 1), F.lit(0).cast("long")).alias("prev"))
     shingled = materialize(shingled.distinct(), "benchmark-shingles")
     blocks = -(-max(1, shingled.count()) // BLOCK_ROWS)
-    index = materialize(items.select("item_id", "m", "fp", F.posexplode(_blocks(F.col("fp"))).alias("b", "bits")), "benchmark-index")
-    shingles_of = items.select("item_id", "sh")
-    mean = items.agg(F.avg("m")).first()[0] or 0.0
-
-    def paired(k: int) -> Column:
-        return let(words(F.col("text")), lambda w: let(_shingles(w, k), with_last))
-
-    def with_last(sh: Column) -> Column:
-        before = F.slice(F.concat(F.array(F.lit(0).cast("long")), sh), 1, F.size(sh))
-        return F.arrays_zip(sh, before).cast("array<struct<h:bigint,before:bigint>>")
-
     given = docs.select("doc_id", "text").filter("text is not null")
-    windows = []
-    for k in kinds:
-        placed = given.select("doc_id", "text", F.posexplode(paired(k)).alias("p", "s")).select("doc_id", "text", "p", F.col("s.h").alias("h"), "s.before")
-        for j in range(blocks):
-            part = shingled.filter((F.col("k") == k) & (F.pmod("h", F.lit(blocks)) == j)).select("h", "m", "prev")
-            hit = placed.join(F.broadcast(part), "h").filter("before <> prev or p = 0")
-            windows.append(hit.select("doc_id", F.col("p").alias("start"), "m", F.lit(k).alias("k"), F.slice(words(F.col("text")), F.col("p") + 1, F.col("m")).alias("w")))
-    if not windows:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, distance int, similarity double")
-    windows = materialize(reduce(DataFrame.union, windows), "windows", "lz4")
-    printed = windows.select("*", simhash(F.col("w")).alias("print")).select("*", _own_shingles(F.col("w"), F.col("k")).alias("own"))
-    met = printed.select("doc_id", "start", "m", "own", "print", F.posexplode(_blocks(F.col("print"))).alias("b", "bits"))
+    hits = []
+    for j in range(blocks):
+        part = shingled.filter(F.pmod("h", F.lit(blocks)) == j).select("item_id", "h", "k", "m", "prev")
+        hits.append(_placed(given, kinds).join(F.broadcast(part), ["k", "h"]).filter("before <> prev or p = 0").select("doc_id", "item_id", F.col("p").alias("start"), "m", "k"))
+    hits = materialize(reduce(DataFrame.union, hits).distinct(), "hits", "lz4")
+    # A document's words are made once for all windows of it; a document meets no more places than it has words, times the items that share one.
+    held = materialize(hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "start", "m", "k")).alias("at")), "hit-documents")
+    rows = given.join(broadcast_if_small(held, 64), F.col("doc_id").eqNullSafe(F.col("id")))
+    cut = let(words(F.col("text")), lambda w: F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), x["m"].alias("m"), x["k"].alias("k"), F.slice(w, x["start"] + 1, x["m"]).alias("w"))))
+    windows = rows.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
+    printed = windows.select("*", simhash(F.col("w")).alias("print")).select("doc_id", "item_id", "start", "m", "print", _own_shingles(F.col("w"), F.col("k")).alias("own"))
+    # A window meets the items whose shingle it starts with, and of these those that agree with it in a block of bits.
+    mean = items.agg(F.avg("m")).first()[0] or 0.0
+    known = items.select(F.col("item_id").alias("item"), F.col("m").alias("size"), "fp", "sh").distinct()
     differs = F.col("print").bitwiseXOR(F.col("fp"))
-    # A pair that agrees in several blocks is taken at the first of them.
-    pairs = met.join(broadcast_if_small(index, 40), ["m", "b", "bits"]).filter((F.bit_count(differs) <= RADIUS) & (F.array_position(_blocks(differs), F.lit(0)) == F.col("b") + 1))
-    near = pairs.select("doc_id", "item_id", "start", "m", "own", F.bit_count(differs).alias("distance")).join(broadcast_if_small(shingles_of, 64 + 8 * int(mean)), "item_id")
-    verified = near.select("doc_id", "item_id", "start", "m", "distance", similarity(F.col("own"), F.col("sh")).alias("similarity")).filter(F.col("similarity") >= percent / 100)
+    pairs = printed.join(broadcast_if_small(known, 96 + 8 * int(mean)), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("m") == F.col("size")))
+    near = pairs.filter(F.array_contains(_blocks(differs), 0) & (F.bit_count(differs) <= RADIUS))
+    verified = near.select("doc_id", "item_id", "start", "m", F.bit_count(differs).alias("distance"), similarity(F.col("own"), F.col("sh")).alias("similarity")).filter(F.col("similarity") >= percent / 100)
     best = F.max_by(F.struct("start", "m", "distance", "similarity"), F.struct("similarity", -F.col("start"), -F.col("distance")))
     out = verified.groupBy("doc_id", "item_id").agg(best.alias("best"))
     return out.select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.m").alias("n_words"), F.col("best.distance").alias("distance"), F.col("best.similarity").alias("similarity"))
