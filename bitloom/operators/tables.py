@@ -1,43 +1,65 @@
 """What experiments do with result tables: smoothing, ranks, ROC, runs, histograms, nested hits, merges.
 
-Orders over a whole table never gather it in one task: rows are dealt into ordered buckets by quantiles, buckets
-are summed (one small row each), and ranks or running totals inside a bucket start from the sum of the earlier ones.
+Orders over a whole table never gather it in one task: rows are dealt by ranges of the order, ties included, so that no frequent value makes a
+large range; ranges are summed (one small row each), and ranks or running totals inside a range start from the sum of the earlier ones.
+Columns that functions add on their way have names of their own, so that the caller's columns can have any name.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.session import written
+
+
+def own_name(word: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"__{word}_{uuid.uuid4().hex[:12]}"
+
 
-def ordered_buckets(df: DataFrame, col: str, buckets: int = 64, ascending: bool = True) -> DataFrame:
-    """``df`` with ``bucket``: rows of an earlier bucket come strictly before those of a later one, equal values share one."""
-    bounds = df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 0.5 / buckets)  # at most ``buckets`` numbers
-    below = sum((F.when(F.col(col) > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
-    return df.withColumn("bucket", below if ascending else -below)
+def _ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, str, str]:
+    """``df`` in order, written, with the number of a row's range and its place there; and the names of these two columns."""
+    part, place = own_name("range"), own_name("place")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return written(dealt.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))), part, place
+
+
+def _before(per: DataFrame, part: str, sums: list[str]) -> DataFrame:
+    """Sums over all earlier ranges; ``per`` has one row for each range, of which there are no more than shuffle partitions."""
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(per.select(part, *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(k) for k in sums]))
 
 
 def running(df: DataFrame, col: str, tie: str, sums: dict[str, Column], ascending: bool = True) -> DataFrame:
     """``df`` with the running total, in order of ``col`` then ``tie``, of each of ``sums``."""
-    dealt = ordered_buckets(df.select("*", *[c.alias(f"_{k}") for k, c in sums.items()]), col, ascending=ascending)
-    per = dealt.groupBy("bucket").agg(*[F.sum(f"_{k}").alias(f"_b_{k}") for k in sums])
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each bucket
-    per = per.select("bucket", *[F.coalesce(F.sum(f"_b_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
-    order = F.asc(col) if ascending else F.desc(col)
-    along = Window.partitionBy("bucket").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    got = dealt.join(F.broadcast(per), "bucket")
-    return got.select(*df.columns, *[(F.sum(f"_{k}").over(along) + F.col(f"_b_{k}")).alias(k) for k in sums])
+    order = [F.asc(col) if ascending else F.desc(col), F.asc(tie)]
+    own, base = {k: own_name(k) for k in sums}, {k: own_name(k) for k in sums}
+    ranged, part, _ = _ranges(df.select("*", *[c.alias(own[k]) for k, c in sums.items()]), order)
+    per = _before(ranged.groupBy(part).agg(*[F.sum(own[k]).alias(base[k]) for k in sums]), part, list(base.values()))
+    along = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(per, part).select(*df.columns, *[(F.sum(own[k]).over(along) + F.col(base[k])).alias(k) for k in sums])
 
 
 def rank(df: DataFrame, col: str, tie: str, name: str, ascending: bool = True) -> DataFrame:
-    """``df`` with the 0-based rank ``name`` under ``col``."""
-    return running(df, col, tie, {name: F.lit(1).cast("long")}, ascending).withColumn(name, F.col(name) - 1)
+    """``df`` with the 0-based rank ``name`` under ``col``: one shuffle, by ranges; the place inside a range is counted as it is written."""
+    ranged, part, place = _ranges(df, [F.asc(col) if ascending else F.desc(col), F.asc(tie)])
+    size = own_name("size")
+    per = _before(ranged.groupBy(part).agg(F.count("*").alias(size)), part, [size])
+    return ranged.join(per, part).select(*df.columns, (F.col(place) + F.col(size)).alias(name))
 
 
 def ranks(df: DataFrame, tie: str, measures: dict[str, tuple[str, bool]]) -> DataFrame:
-    """A rank for each of ``measures``: name -> (column, ascending)."""
+    """A rank for each of ``measures``: name -> (column, ascending). ``tie`` is a key of ``df``.
+
+    Each order deals out no more than its own column and the key; the ranks then meet by the key.
+    """
     for name, (col, ascending) in measures.items():
-        df = rank(df, col, tie, name, ascending)
+        narrow = df.select(tie) if col == tie else df.select(tie, col)
+        df = df.join(rank(narrow, col, tie, name, ascending).select(tie, name), tie)
     return df
 
 
@@ -61,7 +83,8 @@ def smooth(df: DataFrame, key: str, order_by: list[str], value: str, size: int,
     over = Window.partitionBy(key).orderBy(*order_by).rowsBetween(*frame)
     full, mean = F.count(F.lit(1)).over(over) == size, F.avg(value).over(over)
     if ends == "drop":
-        return df.withColumn("_full", full).withColumn(name, mean).filter("_full").drop("_full")
+        kept = own_name("full")
+        return df.select("*", full.alias(kept), mean.alias(name)).filter(F.col(kept)).drop(kept)
     return df.withColumn(name, mean if ends == "partial" else F.when(full, mean).otherwise(F.col(value)))
 
 
@@ -69,7 +92,9 @@ def run_stats(df: DataFrame, key: str, order_by: list[str], run_of: str, value:
     """(key, run_of, first place, n, avg, min, max) of each run of equal neighbours."""
     along = Window.partitionBy(key).orderBy(*order_by)
     new = F.when(F.lag(run_of).over(along).eqNullSafe(F.col(run_of)) & (F.row_number().over(along) > 1), 0).otherwise(1)
-    marked = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = own_name("new")
+    marked = df.select(key, *order_by, run_of, value, new.alias(begins))
+    marked = marked.select(key, run_of, value, F.sum(begins).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     return marked.groupBy(key, "run", run_of).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
@@ -91,7 +116,8 @@ def nest(df: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
 
 def flatten_hits(df: DataFrame, name: str) -> DataFrame:
     """One row for each nested element, the parent's columns copied into it."""
-    return df.select(*[c for c in df.columns if c != name], F.explode(name).alias("_hit")).select("*", "_hit.*").drop("_hit")
+    hit = own_name("hit")
+    return df.select(*[c for c in df.columns if c != name], F.explode(name).alias(hit)).select("*", f"{hit}.*").drop(hit)
 
 
 def repair_evalue(c: Column) -> Column:
@@ -113,8 +139,9 @@ def positional_merge(left: DataFrame, right: DataFrame, left_order: str, right_o
 
 def latest_lookup(left: DataFrame, right: DataFrame, keys: list[str], order_by: str) -> DataFrame:
     """Each left row with the last right row of its keys."""
-    last = right.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in right.columns if c not in keys]), order_by).alias("_r"))
-    return left.join(last, keys, "left").select(*left.columns, "_r.*")
+    row = own_name("row")
+    last = right.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in right.columns if c not in keys]), order_by).alias(row))
+    return left.join(last, keys, "left").select(*left.columns, f"{row}.*")
 
 
 def image_bins(df: DataFrame, row: str, col: str, scale: float, channels: list[str]) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
 from bitloom.operators import align, compress, generate, markov, repeats, sequences, tables
-from bitloom.session import table
-from bitloom.sources import files
+from bitloom.session import shared_folder, table, written
 from bitloom.streaming import online
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
@@ -394,16 +393,15 @@ def population_roc(spark, sf_dir):
     grid = kids.select("parent", "child", "mutates", F.col("seq").alias("seq_b")).crossJoin(parents.withColumnRenamed("seq", "seq_a"))
     scored = align.score_pairs(grid.withColumn("truth", F.col("parent") == F.col("item_id")))
     scored = scored.withColumn("id", F.concat_ws(":", "parent", "child", "item_id")).withColumn("log_odds", F.round("log_odds", 4))
-    kept = files.scratch_folder(spark)  # three passes follow; the alignments are made once
-    scored.select("id", "parent", "child", "mutates", "truth", "log_odds").write.parquet(kept)
-    return tables.roc(spark.read.parquet(kept), "log_odds", "truth", "id")
+    kept = written(scored.select("id", "parent", "child", "mutates", "truth", "log_odds"))  # several passes follow; the alignments are made once
+    return tables.roc(kept, "log_odds", "truth", "id")
 
 
 @query(ORACLE_SQL["cum_bits"].replace("SELECT event_id", "SELECT event_type, event_id").replace("ctx FROM events)", "ctx, event_type FROM events)").replace("SELECT event_type, event_id, user_id, ts", "SELECT event_id, user_id, ts"))
 def stream_event_bits(spark, sf_dir):
     """The online form of cum_bits: events as a stream, state per user, every row of the input in one run."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    folder = files.scratch_folder(spark)
+    folder = shared_folder(spark)
     events.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
     online.write(online.stream_bits(stream, "user_id", BY, "event_type", EVENTS), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

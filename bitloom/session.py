@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", app: str = "bitloom", partitions: int = 8, **conf: str) -> SparkSession:
@@ -20,6 +23,26 @@ def session(master: str = "local[8]", app: str = "bitloom", partitions: int = 8,
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local session (as in tests) gets a temporary one; on a cluster, whose executors couldn't see it, this raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-bitloom-")
+    return f"{base}/bitloom-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later passes don't repeat its work, and lost executors don't undo it."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

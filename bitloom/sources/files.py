@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +10,6 @@ from pyspark.sql import functions as F
 from bitloom.operators.tables import params_from_text
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that ``spark.checkpoint.dir`` names; unset (in tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-bitloom-")
-    return f"{base}/bitloom-{uuid.uuid4().hex[:12]}"
-
-
 def _clean(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s0-9]", ""))
 
