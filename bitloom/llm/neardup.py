@@ -210,7 +210,12 @@ def _may_link(reps: DataFrame, percent: int) -> DataFrame:
     sizes = entries.groupBy("v").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
     sizes = sizes.filter((F.col("c") > 2) | (F.col("c") == 2) & (100 * F.col("least") >= percent * F.col("most")))
     sizes = materialize(sizes.select("v", F.ceil(F.col("c") / LIST_CHUNK).cast("int").alias("chunks")), "lists")
-    members = materialize(entries.join(broadcast_if_small(sizes, 64), "v"), "list-members")
+    every = materialize(entries.join(broadcast_if_small(sizes, 64), "v").select("doc_id", "v", "chunks"), "list-members")
+    # Lists of the same members say the same: copies share nearly all of their lists. One of them, told by two 64-bit checksums, stays.
+    prints = [F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2)]
+    once = every.groupBy("v").agg(F.count("*").alias("c"), *prints).groupBy("c", "x1", "x2").agg(F.min("v").alias("v")).select("v")
+    members = materialize(every.join(broadcast_if_small(materialize(once, "lists-once"), 32), "v", "left_semi"), "list-members-once")
+    discard(every)
     blocks = members.select("doc_id", "v", F.explode(_chunk_pairs(_dealt(F.col("doc_id"), F.col("chunks")), F.col("chunks"))).alias("p")).select("doc_id", F.xxhash64("v", "p.i", "p.j").alias("g"))
     rows = blocks.join(reps, "doc_id").select("g", "doc_id", "n", F.col("doc_id").alias("comp"), F.col("low").alias("values"))
     found = materialize(_in_blocks(rows, percent, exact=False).distinct(), "may-link")
