@@ -16,12 +16,13 @@ broadcast tables, in as many blocks of bounded size as it needs; documents aren'
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import BROADCAST_BYTES, broadcast_if_small, let, materialize
+from bitloom.llm.common import BROADCAST_BYTES, broadcast_if_small, let, materialize, numbered
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
@@ -140,6 +141,8 @@ def _blocks(fp: Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
-    found = materialize(matches(docs, benchmark, percent).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark item, all columns unchanged. Rows with a repeated id or none are judged one by one."""
+    node = f"__node_{uuid.uuid4().hex[:12]}"
+    rows = numbered(docs, node)
+    found = materialize(matches(rows.select(F.col(node).alias("doc_id"), "text"), benchmark, percent).select(F.col("doc_id").alias(node)).distinct(), "contaminated")
+    return rows.join(broadcast_if_small(found, 32), node, "left_anti").select(*docs.columns)

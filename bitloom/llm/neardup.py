@@ -22,6 +22,7 @@ estimate's margin of five standard deviations.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import broadcast_if_small, discard, materialize, whole_groups
+from bitloom.llm.common import broadcast_if_small, discard, materialize, numbered, whole_groups
 from bitloom.llm.components import components
 from bitloom.llm.shingles import with_sets
 
@@ -296,3 +297,12 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     root = components(links.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(root, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group, all columns unchanged: that with the smallest id. Rows with a repeated id or none are judged one by one,
+    so of equal rows one stays; rows without words all stay."""
+    node = f"__node_{uuid.uuid4().hex[:12]}"
+    rows = numbered(docs, node)
+    dropped = groups(rows.select(F.col(node).alias("doc_id"), "text"), words, percent).filter("not kept").select(F.col("doc_id").alias(node))
+    return rows.join(broadcast_if_small(materialize(dropped, "duplicates"), 32), node, "left_anti").select(*docs.columns)

@@ -49,3 +49,39 @@ def test_stages_equal_plain_versions(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, D)
     assert rows.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(rows.columns)
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in any column, empty and long texts, equal rows, ids that repeat or lack, and columns whose names operators use."""
+    bench = pd.read_parquet(f"{D}/benchmark.parquet")
+    item = max(bench.text, key=len)
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, words, "en", "a"), (1, words, "en", "a"), (1, "quite another text of a few words", None, None), (None, words + " more", "en", "b"), (None, None, None, None), (2, None, "en", "a"), (3, "", None, "b"), (4, "  ", "en", None),
+        (None, item, "en", "b"), (5, "some words before " + item + " and after", "en", "a"), (6, "long " * 60_000, "en", "a"), (7, "write to a.b@c.de", "en", "b"), (7, "write to a.b@c.de", "en", "b"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, s string, g long, node string, look string, kept boolean"
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "s", 1, None, "l", True) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+
+    out = stages["near_dedup"](spark, docs, D)
+    assert out.columns == docs.columns
+    got = texts(out)
+    assert got.count((1, words)) == 1 and got.count((7, "write to a.b@c.de")) == 1 and (0, words + " more") not in got
+    assert len(got) == len(rows) - 3  # a copy each of ids 1 and 7, and the longer one without an id
+
+    out = stages["decontamination"](spark, docs, D)
+    assert out.columns == docs.columns
+    got = texts(out)
+    assert (0, item) not in got and not any(i == 5 for i, _ in got) and len(got) == len(rows) - 2
+
+    for name in ("toxicity", "pii"):
+        out = stages[name](spark, docs, D)
+        assert out.columns == docs.columns and out.count() == len(rows)
+    pieces = stages["packing"](spark, docs, D).toPandas()
+    assert pieces[pieces.start == 0].shape[0] == len(rows)
+
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, D).count() == 0
