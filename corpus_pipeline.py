@@ -1,7 +1,8 @@
 """A corpus from documents to training sequences: toxicity, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``. In every stage a null text counts as empty, texts are read whole however long, rows with a repeated id or
+without one are judged one by one, an empty table gives an empty one, and further columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -9,27 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm import decontaminate, neardup, packing, pii, toxicity
-from bitloom.llm.common import broadcast_if_small, materialize
+from bitloom.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the machine learns from the labelled ones among them."""
+    """Documents that score below one half; the machine learns from the labelled ones among them. Empty texts and equal rows score alike."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that shares four fifths of its five-word shingles."""
-    dropped = materialize(neardup.groups(docs, words=5, percent=80).filter("not kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(broadcast_if_small(dropped, 32), "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id, of each group that shares four fifths of its five-word shingles. Of equal rows one stays, texts
+    without words all stay."""
+    return neardup.keep_one(docs, words=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; of items that several documents hold, all of these go."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, repeated rows too, personal data replaced by its kind."""
     return pii.redact(docs)
 
 
