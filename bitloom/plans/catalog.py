@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,9 +129,25 @@ def cross_entropy_k1(spark, sf_dir):
     return markov.cross_entropy(s, model, "doc_id", 1).withColumn("bits", F.round("bits", 4))
 
 
-@query()
-def blend_bits(spark, sf_dir):
-    return markov.blend_bits(seqs(spark, sf_dir), "doc_id", [UNIFORM, TA_RICH]).withColumn("bits", F.round("bits", 4))
+def _blend(name: str, decay: float):
+    # evidence older than 200 symbols weighs less than a double can tell
+    rich = ", ".join(f"('{g}', {-math.log2(p)})" for g, p in TA_RICH.items())
+    oracle = f"""
+        WITH {SEQS}, {grams_sql(2)}, rich AS (SELECT * FROM (VALUES {rich}) v(gram, cost)), e AS (SELECT doc_id, pos, cost FROM grams JOIN rich USING (gram)),
+        old AS (SELECT e.doc_id, e.pos + k AS pos, sum(cost / pow({decay}, k)) AS m1, sum(2 / pow({decay}, k)) AS m0 FROM e, range(1, 201) t(k) GROUP BY ALL),
+        m AS (SELECT e.doc_id, cost, coalesce(m0, 0) + pow({decay}, -e.pos) AS m0, coalesce(m1, 0) + pow({decay}, -e.pos) AS m1 FROM e LEFT JOIN old USING (doc_id, pos)),
+        b AS (SELECT doc_id, sum(-log2((pow(2, -m0 - 2) + pow(2, -m1 - cost)) / (pow(2, -m0) + pow(2, -m1)))) AS bits FROM m GROUP BY 1)
+        SELECT doc_id, length(seq) AS length, round(coalesce(bits, 0) + least(length(seq), 1) * 2, 4) AS bits FROM seqs LEFT JOIN b USING (doc_id)"""
+
+    @query(oracle, name)
+    def run(spark, sf_dir):
+        return markov.blend_bits(seqs(spark, sf_dir), "doc_id", [UNIFORM, TA_RICH], decay).withColumn("bits", F.round("bits", 4))
+
+    return run
+
+
+_blend("blend_bits", 1.5)
+_blend("blend_bits_slow", 1.8)
 
 
 _RC = "reverse(translate({}, 'acgt', 'tgca'))"
@@ -346,7 +363,86 @@ _aligned("m_align_global_sum", local=False)
 _aligned("m_align_global_best", local=False, total=False)
 
 
-@query()
+#: Items and documents that meet, with their letters as numbers, and what a pair of letters costs beside match or change, by 4 * a + b + 1.
+_MET_SQL = f"""
+    {SEQS}, {grams_sql(20)}, items AS (SELECT item_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM benchmark),
+    bg AS (SELECT item_id, substr(seq, CAST(pos AS INTEGER), 20) AS gram FROM (SELECT item_id, seq, unnest(generate_series(1, length(seq) - 19)) AS pos FROM items WHERE length(seq) >= 20)),
+    met AS (SELECT DISTINCT item_id, doc_id FROM bg JOIN grams USING (gram) UNION SELECT item_id, doc_id FROM items i JOIN seqs s ON length(i.seq) BETWEEN 1 AND 19 AND contains(s.seq, i.seq)),
+    coded AS (SELECT item_id, doc_id, length(i.seq) AS n, length(s.seq) AS m, list_transform(string_split(i.seq, ''), lambda c: instr('acgt', c) - 1) AS a, list_transform(string_split(s.seq, ''), lambda c: instr('acgt', c) - 1) AS b,
+        list_transform(['a', 'c', 'g', 't'], lambda c: (length(i.seq) - length(replace(i.seq, c, '')) + 1) / (length(i.seq) + 4)) AS pa, list_transform(['a', 'c', 'g', 't'], lambda c: (length(s.seq) - length(replace(s.seq, c, '')) + 1) / (length(s.seq) + 4)) AS pb
+        FROM met JOIN items i USING (item_id) JOIN seqs s USING (doc_id))"""
+
+
+def _recurrence_sql(sub: str, cost: dict[str, float], local: bool, total: bool) -> str:
+    """The alignment recurrence as a recursive query: a row for each pair and anti-diagonal, with lists of the three states' values.
+
+    ``sub``: list of the costs of a pair of letters. Result: met pairs (item_id, doc_id) with ``best``.
+    """
+    none = "CAST('-infinity' AS DOUBLE)"
+
+    def either(*xs: str) -> str:
+        if not total:
+            return f"greatest({', '.join(xs)})"
+        out = xs[0]
+        for x in xs[1:]:
+            out = f"either({out}, {x})"
+        return out
+
+    before, into = "i >= 1 AND d + 1 - i >= 1 AND d + 1 - i <= m", "d + 1 - i >= 0 AND d + 1 - i <= m"
+    start = "0.0" if local else none
+    diagonal = either(f"b0[i] - {cost['diag_fromD']}", f"b1[i] - {cost['diag_fromI']}", f"b2[i] - {cost['diag_fromI']}") + " - sub[4 * a[i] + b[d + 1 - i] + 1]"
+    new0 = f"CASE WHEN {before} THEN {either(start, diagonal)} WHEN {into} THEN {start} ELSE {none} END"
+    gap = lambda own, other, at: either(f"a0[{at}] - {cost['start_fromD']}", f"a{own}[{at}] - {cost['cont_fromI']}", f"a{other}[{at}] - {cost['start_fromI']}")
+    new1 = f"CASE WHEN i >= 1 AND {into} THEN {gap(1, 2, 'i')} ELSE {none} END"
+    new2 = f"CASE WHEN d + 1 - i >= 1 AND d + 1 - i <= m THEN {gap(2, 1, 'i + 1')} ELSE {none} END"
+    each = lambda x: f"list_transform(range(n + 1), lambda i: {x})"
+    nothing = f"list_transform(range(n + 1), lambda i: {none})"
+    first = f"list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 0.0 ELSE {none} END)"
+    top = "list_max(list_concat(a0, a1, a2))"
+    whole = f"CASE WHEN {top} = {none} THEN {none} ELSE {top} + log2(list_sum(list_transform(list_concat(a0, a1, a2), lambda x: pow(2, x - {top})))) END" if total else top
+    ends = either("a0[n + 1]", "a1[n + 1]", "a2[n + 1]")
+    return f"""
+        steps AS (
+            SELECT item_id, doc_id, n, m, a, b, sub, 0 AS d, {first} AS a0, {nothing} AS a1, {nothing} AS a2, {nothing} AS b0, {nothing} AS b1, {nothing} AS b2 FROM ready
+            UNION ALL
+            SELECT item_id, doc_id, n, m, a, b, sub, d + 1, {each(new0)}, {each(new1)}, {each(new2)}, a0, a1, a2 FROM steps WHERE d < n + m),
+        scored AS (SELECT item_id, doc_id, d, n, m, {whole if local else ends} AS v FROM steps{'' if local else ' WHERE d = n + m'}),
+        done AS (SELECT item_id, doc_id, {'max(v) + log2(sum(pow(2, v - top)))' if local and total else 'max(v)'} AS best FROM (SELECT *, max(v) OVER (PARTITION BY item_id, doc_id) AS top FROM scored) GROUP BY item_id, doc_id{', top' if local and total else ''})"""
+
+
+def _odds(local: bool, total: bool, states: int):
+    """Log odds under the start parameters: the recurrences of one and three states, sum and best, local and global, against SQL."""
+    sub = f"list_transform(range(16), lambda k: CASE WHEN k // 4 = k % 4 THEN 1 - log2(1 / pa[k // 4 + 1] + 1 / pb[k % 4 + 1]) + {align.PAIR['match']} ELSE 1 - log2(1 / (1 - pa[k % 4 + 1]) + 1 / (1 - pb[k // 4 + 1])) + {align.PAIR['change']} END)"
+    body = _recurrence_sql("sub", align.AFFINE if states == 3 else align.LINEAR, local, total)
+    while "either(" in body:  # the macro, written out from the inside
+        at = body.rindex("either(")
+        depth, cut, end = 0, None, at + 7
+        while depth or body[end] != ")":
+            depth += (body[end] in "([") - (body[end] in ")]")
+            cut = end if body[end] == "," and not depth and cut is None else cut
+            end += 1
+        x, y = body[at + 7 : cut], body[cut + 1 : end]
+        body = body[:at] + f"list_reduce([{x}, {y}], lambda p, q: CASE WHEN p = CAST('-infinity' AS DOUBLE) THEN q WHEN q = CAST('-infinity' AS DOUBLE) THEN p ELSE greatest(p, q) + log2(1 + pow(2, -abs(p - q))) END)" + body[end + 1 :]
+    name = f"align_odds_{'local' if local else 'global'}_{'sum' if total else 'best'}_{states}"
+
+    @query(f"WITH RECURSIVE {_MET_SQL}, ready AS (SELECT *, {sub} AS sub FROM coded), {body} SELECT item_id, doc_id, round(best, 4) AS log_odds FROM done", name)
+    def run(spark, sf_dir):
+        return align.odds_of_pairs(_pairs(spark, sf_dir), local=local, total=total, states=states).withColumn("log_odds", F.round("log_odds", 4))
+
+    return run
+
+
+for _states in (1, 3):
+    for _local in (True, False):
+        for _total in (True, False):
+            _odds(_local, _total, _states)
+
+
+@query(
+    f"WITH RECURSIVE {_MET_SQL}, ready AS (SELECT *, list_transform(range(16), lambda k: CASE WHEN k // 4 = k % 4 THEN -5 ELSE 4 END) AS sub FROM coded), "
+    + _recurrence_sql("sub", {"diag_fromD": 0, "start_fromD": 16, "diag_fromI": 0, "start_fromI": 16, "cont_fromI": 4}, True, False)
+    + " SELECT item_id, doc_id, CAST(best AS INTEGER) AS score FROM done"
+)
 def sw_score(spark, sf_dir):
     return align.sw_pairs(_pairs(spark, sf_dir))
 
@@ -373,16 +469,31 @@ def conditional_compress(spark, sf_dir):
     return compress.compress(cut, "user_id", prefix="pre", alphabet="cepsv", reverse=False).withColumn("bits", F.round("bits", 4))
 
 
-@query()
+@query("""
+    WITH RECURSIVE q AS (SELECT user_id, list(instr('cepsv', substr(event_type, 1, 1)) ORDER BY ts, event_id) AS q FROM events GROUP BY 1),
+    steps AS (
+        SELECT user_id, q, 1 AS i, log2(5) AS bits, list_transform(range(25), lambda j: 1) AS k FROM q
+        UNION ALL
+        SELECT user_id, q, i + 1, bits - log2(k[5 * q[i] - 5 + q[i + 1]] / list_sum(k[5 * q[i] - 4 : 5 * q[i]])),
+            list_transform(range(25), lambda j: CASE WHEN j // 5 <> q[i] - 1 THEN k[j + 1] WHEN list_sum(k[5 * q[i] - 4 : 5 * q[i]]) + 1 < 16 THEN k[j + 1] + CAST(j % 5 = q[i + 1] - 1 AS INTEGER) ELSE greatest(1, (k[j + 1] + CAST(j % 5 = q[i + 1] - 1 AS INTEGER)) // 2) END)
+        FROM steps WHERE i < len(q))
+    SELECT user_id, len(q) AS length, round(bits, 4) AS bits FROM steps WHERE i = len(q)""")
 def fading_bits(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", *BY, F.substring("event_type", 1, 1).alias("s"))
     return generate.fading_event_bits(e, "user_id", BY, "s", 1, 16, "cepsv").withColumn("bits", F.round("bits", 4))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {STEPS}, c AS (SELECT ctx, sym, count(*) AS n FROM steps WHERE ctx IS NOT NULL GROUP BY ALL), s AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS sym), g AS (SELECT a.sym AS ctx, b.sym FROM s a CROSS JOIN s b),
+    p AS (SELECT g.ctx, g.sym, (coalesce(n, 0) + 1) / (sum(coalesce(n, 0)) OVER (PARTITION BY g.ctx) + 5) AS p FROM g LEFT JOIN c USING (ctx, sym)),
+    t AS (SELECT list(p ORDER BY ctx, sym) AS p FROM p),
+    walk AS (SELECT 0 AS i, [0.2, 0.2, 0.2, 0.2, 0.2] AS w, p FROM t UNION ALL SELECT i + 1, list_transform(range(5), lambda k: list_sum(list_transform(range(5), lambda j: w[j + 1] * p[5 * j + k + 1]))), p FROM walk WHERE i < 400),
+    h AS (SELECT w, list_transform(range(5), lambda j: -list_sum(list_transform(p[5 * j + 1 : 5 * j + 5], lambda x: x * log2(x)))) AS h FROM walk WHERE i = 400)
+    SELECT round(list_sum(list_transform(range(5), lambda j: w[j + 1] * h[j + 1])), 6) AS bits_per_symbol, round(list_avg(h), 6) AS mean_row_bits FROM h""")
 def entropy_rate(spark, sf_dir):
     counts = markov.event_counts(table(spark, sf_dir, "events"), "user_id", BY, "event_type")
-    return generate.entropy_rate_of(markov.predict(counts, EVENTS), EVENTS)
+    out = generate.entropy_rate_of(markov.predict(counts, EVENTS), EVENTS)
+    return out.select(F.round("bits_per_symbol", 6).alias("bits_per_symbol"), F.round("mean_row_bits", 6).alias("mean_row_bits"))
 
 
 @query()
