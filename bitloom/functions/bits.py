@@ -55,6 +55,11 @@ def mml_cost(probs: list[Column], n: Column) -> Column:
     return 0.5 * F.log2(1 + inner / probs[0] / volume) + 0.5 * free * math.log2(math.e)
 
 
+def factorial(n: Column) -> Column:
+    """n! as a double, for any n of 0 or more."""
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda a, x: a * x)
+
+
 def start_position(n: Column) -> Column:
     """Bits of a starting place among n + 1."""
     return F.log2(n + 1)

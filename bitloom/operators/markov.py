@@ -7,6 +7,7 @@ exploded, and every later grouping (context and symbol, context, sequence) is al
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,7 +77,14 @@ def event_counts(events: DataFrame, key: str, order_by: list[str], sym: str) ->
     return given.filter("ctx is not null").groupBy(key, "ctx", F.col(sym).alias("sym")).agg(F.count("*").alias("n"))
 
 
-def predict(counts: DataFrame, alphabet: list[str], prior: int = 1) -> DataFrame:
+def event_bits(events: DataFrame, model: DataFrame, key: str, order_by: list[str], sym: str, size: int) -> DataFrame:
+    """(key, length, bits) of sequences given as one row per symbol under a model (ctx, sym, p) of order 1; uniform where it has no row."""
+    given = events.select(key, F.col(sym).alias("sym"), F.lag(sym).over(Window.partitionBy(key).orderBy(*order_by)).alias("ctx"))
+    cost = F.when(F.col("ctx").isNull() | F.col("p").isNull(), math.log2(size)).when(F.col("p") == 0, float("inf")).otherwise(-F.log2("p"))
+    return given.join(model.select("ctx", "sym", "p"), ["ctx", "sym"], "left").groupBy(key).agg(F.count("*").alias("length"), F.sum(cost).alias("bits"))
+
+
+def predict(counts: DataFrame, alphabet: list[str], prior: float = 1) -> DataFrame:
     """(ctx, sym, n, p): next-symbol probabilities of every seen context and every symbol, unseen ones from the prior alone."""
     summed = counts.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
     seen = F.map_from_entries(F.collect_list(F.struct("sym", "n")))  # at most one entry for each symbol
@@ -122,3 +130,27 @@ def blend_bits(df: DataFrame, key: str, models: list[dict[str, float]], decay: f
     folded = let(kmers(F.col(seq), 2), lambda g: F.aggregate(g, zero, step, lambda acc: acc["bits"]))
     n = F.char_length(seq)
     return df.select(key, n.cast("long").alias("length"), F.when(n == 0, 0.0).otherwise(folded).alias("bits"))
+
+
+def normalise(df: DataFrame, keys: list[str], weight: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the weight over the sum of the weights of its keys."""
+    return df.withColumn(name, F.col(weight) / F.sum(weight).over(Window.partitionBy(*keys)))
+
+
+def merge_by_length(df: DataFrame, keys: list[str], length: str, counts: list[str]) -> DataFrame:
+    """(keys, counts): the mean of each count over the rows of a key, a row of code length b weighing 2 ** -b; counts may be fractions."""
+    w = F.pow(F.lit(2.0), F.min(length).over(Window.partitionBy(*keys)) - F.col(length))
+    weighed = df.select(*keys, w.alias("__weight"), *[(w * F.col(c)).alias(c) for c in counts])
+    return weighed.groupBy(*keys).agg(*[(F.sum(c) / F.sum("__weight")).alias(c) for c in counts])
+
+
+def model_bits(df: DataFrame, key: str, model: str, size: int = 4, seq: str = "seq") -> DataFrame:
+    """(key, length, bits) under the model that a string names: ``uniform``, ``adaptive(k)``, ``fitted(k)`` or, for the adaptive one, ``markov(k)``."""
+    m = re.fullmatch(r"(uniform|adaptive|markov|fitted)(?:\((-?\d+)\))?", model)
+    if not m or (m.group(1) == "uniform") != (m.group(2) is None):
+        raise ValueError(f"unknown model: {model}")
+    order = -1 if m.group(1) == "uniform" else int(m.group(2))
+    if order < 0:
+        n = F.char_length(seq).cast("long")
+        return df.select(key, n.alias("length"), (n * math.log2(size)).alias("bits"))
+    return (fitted_bits if m.group(1) == "fitted" else adaptive_bits)(df, key, order, size, seq)

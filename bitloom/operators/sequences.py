@@ -30,6 +30,24 @@ def validate(df: DataFrame, seq: str = "seq", alphabet: str = DNA, mode: str = "
     return df.withColumn(seq, F.when(bad, F.raise_error(F.concat(F.lit("symbol outside the alphabet: "), F.col(seq)))).otherwise(F.col(seq)))
 
 
+def letters_only(c: Column) -> Column:
+    """A text without white space and digits."""
+    return F.regexp_replace(c, r"[\s0-9]", "")
+
+
+def trim_region(seq: Column, first: Column, last: Column, around: int = 0, strand: Column | None = None) -> Column:
+    """The places ``first`` to ``last`` (from 1, both included) with up to ``around`` more on either side; a strand below 0 gives the reverse complement."""
+    begin, end = F.greatest(F.lit(1), first - around), F.least(F.char_length(seq), last + around)
+    region = F.substring(seq, begin, F.greatest(F.lit(0), end - begin + 1))
+    return region if strand is None else F.when(strand < 0, reverse_complement(region)).otherwise(region)
+
+
+def mark_bounds(seq: Column, first: Column, last: Column, mark: str = "###") -> Column:
+    """The sequence with ``mark`` before the place ``first`` and after the place ``last``."""
+    after = F.greatest(first, last + 1)
+    return F.concat(F.substring(seq, F.lit(1), first - 1), F.lit(mark), F.substring(seq, first, after - first), F.lit(mark), F.substring(seq, after, F.char_length(seq)))
+
+
 def reverse_complement(c: Column) -> Column:
     """Unknown symbols stay as they are."""
     return F.reverse(F.translate(c, "acgtACGT", "tgcaTGCA"))

@@ -132,6 +132,46 @@ def cutoff(df: DataFrame, by: str, tie: str, most: float | None = None, n: int |
     return df.filter(F.col(by) <= most) if n is None else df.orderBy(by, tie).limit(n)
 
 
+def kept_range(df: DataFrame, value: str) -> DataFrame:
+    """(n, first, last): how many rows a cutoff kept, and the range of their values."""
+    return df.agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
+
+
+def pick_column(line: Column, number: int) -> Column:
+    """Column ``number`` (from 0) of a line parted by white space; null where it has none."""
+    parts = F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
+    return F.get(parts, F.lit(number))
+
+
+def index_counts(df: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """How many there are of what is numbered from 0, as the highest number plus one: unlike a count, it includes what has no row."""
+    return df.groupBy(*keys).agg(*[(F.max(c) + 1).alias(name) for name, c in columns.items()])
+
+
+def log_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): -log2 of the sum of 2 ** -value over the rows of a key.
+
+    Sums are taken in strips of 256 bits, partially before the shuffle, then strips are put together relative to the first, so nothing underflows.
+    """
+    strip, part, low = own_name("strip"), own_name("sum"), own_name("low")
+    strips = df.filter(F.col(value) < float("inf")).withColumn(strip, F.floor(F.col(value) / 256) * 256)
+    strips = strips.groupBy(*keys, strip).agg(F.sum(F.pow(F.lit(2.0), F.col(strip) - F.col(value))).alias(part))
+    first = strips.withColumn(low, F.min(strip).over(Window.partitionBy(*keys)))
+    return first.groupBy(*keys, low).agg(F.sum(F.col(part) * F.pow(F.lit(2.0), F.col(low) - F.col(strip))).alias(part)).select(*keys, (F.col(low) - F.log2(part)).alias(name))
+
+
+def crossings(df: DataFrame, key: str, order_by: list[str], value: str, cutoff: float) -> DataFrame:
+    """The rows whose ``value`` is over the cutoff while that of the row ``before`` (its value is added) is not."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order_by))
+    return df.withColumn("before", before).filter((F.col("before") <= cutoff) & (F.col(value) > cutoff))
+
+
+def best_and_cheapest(df: DataFrame, keys: list[str], value: str, state: str, order: list[str]) -> DataFrame:
+    """(keys, best, cheapest): the highest value, and the state with the lowest; of equal ones that which comes first in ``order``."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(state))
+    return df.groupBy(*keys).agg(F.max(value).alias("best"), F.min(F.struct(value, place.alias("place"), state))[state].alias("cheapest"))
+
+
 def positional_merge(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Rows of both sides that have the same place in their order; the right side may be shorter (its columns are then null)."""
     return rank(left, left_order, left_order, "place").join(rank(right, right_order, right_order, "place"), "place", "left")

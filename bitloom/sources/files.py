@@ -7,11 +7,12 @@ import gzip
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.operators.sequences import letters_only
 from bitloom.operators.tables import params_from_text
 
 
 def _clean(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"[\s0-9]", ""))
+    return F.lower(letters_only(c))
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,11 +32,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.trim(F.split(body, "\n", 2)[0]).alias("name"), _clean(F.coalesce(F.get(F.split(body, "\n", 2), F.lit(1)), F.lit(""))).alias("seq"))
 
 
+def read_fasta_letters(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq) as :func:`read_fasta`, but of everything that isn't a letter from A to Z nothing stays."""
+    return read_fasta(spark, path).select("name", F.regexp_replace("seq", "[^a-z]", "").alias("seq"))
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_a, seq_b) of files that hold two sequences, one per line; a second line that lacks is an empty sequence."""
+    lines = whole_files(spark, path).select(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("x"))
+    return lines.select(*[_clean(F.coalesce(F.get("x", F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(("seq_a", "seq_b"))])
+
+
+def read_line_pairs(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(seq_a, seq_b, rest): pairs of lines in files of many pairs; ``rest`` is what follows an @ sign after them."""
+    lines = F.filter(F.split(F.split_part("value", F.lit("@"), F.lit(1)), r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = spark.read.option("lineSep", separator).text(path).filter(F.trim("value") != "").select(lines.alias("x"), F.trim(F.split_part("value", F.lit("@"), F.lit(2))).alias("rest"))
+    return rows.select(*[_clean(F.coalesce(F.get("x", F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(("seq_a", "seq_b"))], "rest")
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(name, features, seq): records end with a line ``//``."""
+    """(name, features, other, seq): records end with a line ``//``; ``other`` is what stands between the first line and the features."""
     records = spark.read.option("lineSep", "\n//").text(path).filter(F.col("value").contains("LOCUS"))
     pick = lambda p: F.regexp_extract("value", p, 1)
-    return records.select(pick(r"(?m)^LOCUS\s+(\S+)").alias("name"), pick(r"(?s)\nFEATURES[^\n]*\n(.*?)\n(?:ORIGIN|BASE)").alias("features"), _clean(pick(r"(?s)\nORIGIN[^\n]*\n(.*)$")).alias("seq"))
+    return records.select(pick(r"(?m)^LOCUS\s+(\S+)").alias("name"), pick(r"(?s)\nFEATURES[^\n]*\n(.*?)\n(?:ORIGIN|BASE)").alias("features"), pick(r"(?s)LOCUS[^\n]*\n(.*?)\n?(?:FEATURES|ORIGIN|BASE)").alias("other"), _clean(pick(r"(?s)\nORIGIN[^\n]*\n(.*)$")).alias("seq"))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +68,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     head = F.substring("text", 1, 10)
     kind = F.when(head.startswith("LOCUS"), "genbank").when(head.startswith(">"), "fasta").otherwise("raw")
     split = F.when(kind == "fasta", F.split("text", r"(?:^|\n)>")).when(kind == "genbank", F.split("text", r"\n//")).otherwise(F.array("text"))
-    each = files.select("path", kind.alias("kind"), F.explode(split).alias("t")).filter(F.trim("t") != "")
+    each = files.select("path", kind.alias("kind"), F.explode(split).alias("t")).filter(F.col("t").rlike(r"\S"))
     name = F.when(F.col("kind") == "fasta", F.trim(F.split("t", "\n", 2)[0])).when(F.col("kind") == "genbank", F.regexp_extract("t", r"LOCUS\s+(\S+)", 1)).otherwise(F.col("path"))
     body = F.when(F.col("kind") == "fasta", F.coalesce(F.get(F.split("t", "\n", 2), F.lit(1)), F.lit(""))).when(F.col("kind") == "genbank", F.regexp_extract("t", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1)).otherwise(F.col("t"))
     return each.select(name.alias("name"), _clean(body).alias("seq"))
@@ -66,18 +85,41 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode(params_from_text(F.col("value"))).alias("name", "value"))
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(kmer, n) of a counts file ``kmer: n``; a header line is optional."""
+def read_counts(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """(kmer, n) of a counts file ``kmer: n``; a header line ``ALPHASIZE=a ORDER=k`` is optional.
+
+    With ``size``, the alphabet's, a header of another size, or a k-mer of another length than the header's order wants, raises.
+    """
+    if size is not None:
+        return _checked_counts(spark, path, size)
     got = F.regexp_extract("value", r"^\s*(\w+)\s*:\s*(\d+)\s*$", 1), F.regexp_extract("value", r"^\s*(\w+)\s*:\s*(\d+)\s*$", 2)
     return read_lines(spark, path).select(got[0].alias("kmer"), got[1].alias("n")).filter("kmer <> ''").select("kmer", F.col("n").cast("long").alias("n"))
 
 
+def _checked_counts(spark: SparkSession, path: str, size: int) -> DataFrame:
+    head = spark.read.text(path).filter(F.col("value").contains("ALPHASIZE")).select(F.regexp_extract("value", r"ALPHASIZE=(\d+)", 1).cast("int").alias("size"), F.regexp_extract("value", r"ORDER=(-?\d+)", 1).cast("int").alias("order"))
+    found = head.distinct().limit(2).collect()  # headers are alike in all files
+    if len(found) != 1 or found[0].size != size:
+        raise ValueError(f"the counts are not of an alphabet of {size}")
+    bad = F.char_length("kmer") != found[0].order + 1
+    return read_counts(spark, path).select(F.when(bad, F.raise_error("a k-mer of another order")).otherwise(F.col("kmer")).alias("kmer"), "n")
+
+
 def read_probs(spark: SparkSession, path: str, size: int = 4, tolerance: float = 0.001) -> DataFrame:
-    """(p) one array of ``size`` chances per line; a line that doesn't sum to one raises."""
-    p = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
-    rows = read_lines(spark, path).select(p.alias("p"))
-    bad = (F.size("p") != size) | (F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) > tolerance)
-    return rows.select(F.when(bad, F.raise_error("probabilities don't sum to one")).otherwise(F.col("p")).alias("p"))
+    """(seq, pos, p): ``size`` chances for each place of each sequence; a line that doesn't sum to one raises.
+
+    A line begins with the sequence's key and its place, as :func:`write_probs` writes it, since lines of a folder have no order. A single file of
+    bare lines of chances, as other programs write it, is one sequence (key ''); its places follow from the order of its lines.
+    """
+    # what is not a line of either form is null rather than left out by a filter, which might run after a failing cast
+    words = F.split(F.trim("value"), r"\s+")
+    named = read_lines(spark, path).select(F.get(words, F.lit(0)).alias("seq"), F.get(words, F.lit(1)).try_cast("long").alias("pos"), F.when(F.size(words) == size + 2, F.slice(words, 3, size)).alias("p"))
+    text = whole_files(spark, path).select(F.posexplode(F.filter(F.split("text", r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))).alias("pos", "value"))
+    bare = text.select(F.lit("").alias("seq"), F.col("pos").cast("long").alias("pos"), F.when(F.size(words) != size + 2, words).alias("p"))
+    rows = named.union(bare).filter("p is not null").select("seq", "pos", F.transform("p", lambda x: x.try_cast("double")).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    bad = F.col("p").isNotNull() & ((F.size("p") != size) | F.coalesce(F.abs(total - 1) > tolerance, F.lit(True)))
+    return rows.select("seq", "pos", F.when(bad, F.raise_error(F.lit("probabilities don't sum to one"))).otherwise(F.col("p")).alias("p"))
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
@@ -85,26 +127,85 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(s1, s2, parent, mutates, log_odds, params) of result logs: fields ``name=value`` on lines that hold a log odds ratio; the last ratio of a line counts."""
-    lines = spark.read.text(path).filter(F.col("value").contains("log odds ratio"))
+def read_results(spark: SparkSession, path: str, total: bool | None = None, blend: bool | None = None) -> DataFrame:
+    """(s1, s2, parent, mutates, total, blend, log_odds, params) of result logs: fields ``name=value`` on lines that hold a log odds ratio; the last
+    ratio of a line counts. ``total`` and ``blend`` keep the lines whose flags ``sum`` and ``blend`` say so. Comments are left out."""
+    lines = read_lines(spark, path).filter(F.col("value").contains("log odds ratio"))
     number = lambda k, t: F.regexp_extract("value", rf"(?i)\b{k}\s*=\s*(-?\d+)", 1).try_cast(t)
+    flag = lambda k: F.regexp_extract("value", rf"(?i)\b{k}\s*=\s*(\w+)", 1)
+    said = lambda k: F.when(flag(k).isin("1", "true", "yes", "on"), True).when(flag(k).isin("0", "false", "no", "off"), False)
     odds = F.element_at(F.regexp_extract_all("value", F.lit(r"log odds ratio = (\S+)"), 1), -1).try_cast("double")
     params = F.str_to_map(F.regexp_extract("value", r"params:\s*(.*)$", 1), F.lit(r"\s+"), F.lit("="))
-    return lines.select(*[number(k, "int").alias(k) for k in ("s1", "s2", "parent", "mutates")], odds.alias("log_odds"), params.alias("params"))
+    rows = lines.select(*[number(k, "int").alias(k) for k in ("s1", "s2", "parent", "mutates")], said("sum").alias("total"), said("blend").alias("blend"), odds.alias("log_odds"), params.alias("params"))
+    for name, want in (("total", total), ("blend", blend)):
+        rows = rows if want is None else rows.filter(F.col(name).eqNullSafe(F.lit(want)))
+    return rows
+
+
+def read_old_results(spark: SparkSession, path: str) -> DataFrame:
+    """(program, s1, s2, parent, log_odds) of the older logs, whose lines begin with the program: ``CAlignCompress`` or ``AlignCompress (SW)``."""
+    line = r"^\s*(CAlignCompress|AlignCompress \(SW\))\b?.*"
+    lines = read_lines(spark, path).filter(F.col("value").rlike(line))
+    number = lambda k: F.regexp_extract("value", rf"(?i)\b{k}\s*=\s*(-?\d+)", 1).try_cast("int")
+    odds = F.element_at(F.regexp_extract_all("value", F.lit(r"r\s*=\s*(-?[0-9.]+)"), 1), -1).try_cast("double")
+    return lines.select(F.regexp_extract("value", line, 1).alias("program"), *[number(k).alias(k) for k in ("s1", "s2", "parent")], odds.alias("log_odds"))
+
+
+def check_scores(results: DataFrame, scores: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Result rows (s1, s2, bits, length) beside the Smith-Waterman score (s1, s2, score) of the same pair, the score that the code length stands
+    for, and whether both agree; a pair without a score raises."""
+    from bitloom.operators.align import score_from_bits
+
+    met = results.join(scores, ["s1", "s2"], "left")
+    want = score_from_bits(F.col("bits"), F.col("length"))
+    score = F.when(F.col("score").isNull(), F.raise_error(F.lit("no score for this pair"))).otherwise(F.col("score"))
+    return met.select("s1", "s2", score.alias("score"), want.alias("expected"), (F.abs(want - score) <= tolerance).alias("agrees"))
+
+
+def read_population(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Archetypes (s1, seq, s_len, sub_len, e_len) and their population (s2, seq, parent, mutates, s_len, sub_len, e_len) of a generator's JSON lines."""
+    rows = spark.read.schema("s1 int, s2 int, seq string, parent int, mutates int, s_len int, sub_len int, e_len int").json(path)
+    return rows.filter("s1 is not null").select("s1", "seq", "s_len", "sub_len", "e_len"), rows.filter("s2 is not null").select("s2", "seq", "parent", "mutates", "s_len", "sub_len", "e_len")
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq", mode: str = "errorifexists") -> None:
     df.select(F.concat(F.lit(">"), name, F.lit("\n"), seq)).write.mode(mode).text(path)
 
 
-def write_counts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``kmer: n`` lines in order of k-mers."""
-    df.orderBy("kmer").select(F.format_string("%s: %d", "kmer", "n")).write.mode(mode).text(path)
+def write_pairs(df: DataFrame, path: str, key: str, a: str = "seq_a", b: str = "seq_b", mode: str = "errorifexists") -> None:
+    """The two sequences of each pair as FASTA files of two folders, ``side=a`` and ``side=b``."""
+    both = df.select(F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.concat(F.lit(">"), F.col(key).cast("string"), F.lit("\n"), F.col(c)).alias("value")) for side, c in (("a", a), ("b", b))])).alias("x"))
+    both.select("x.*").write.mode(mode).partitionBy("side").text(path)
+
+
+def write_genbank(df: DataFrame, path: str, name: str = "name", seq: str = "seq", features: str | None = None, mode: str = "errorifexists") -> None:
+    """One record per row: first line, features, and the sequence in one block."""
+    what = F.col(features) if features else F.lit("     source")
+    text = F.concat(F.lit("LOCUS       "), F.col(name).cast("string"), F.lit(" "), F.char_length(seq).cast("string"), F.lit(" bp\nFEATURES             Location\n"), what, F.lit("\nORIGIN\n        1 "), seq, F.lit("\n//"))
+    df.select(text).write.mode(mode).text(path)
 
 
-def write_probs(df: DataFrame, path: str, p: str = "p", mode: str = "errorifexists") -> None:
-    df.select(F.array_join(F.transform(p, lambda x: F.format_number(x, 9)), " ")).write.mode(mode).text(path)
+def write_counts(df: DataFrame, path: str, size: int | None = None, mode: str = "errorifexists") -> None:
+    """``kmer: n`` lines in order of k-mers; with the alphabet's ``size`` each file begins with the header that :func:`read_counts` checks."""
+    lines = df.orderBy("kmer").select(F.format_string("%s: %d", "kmer", "n").alias("value"), F.char_length("kmer").alias("k"))
+    if size is not None:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        head = F.format_string("ALPHASIZE=%d ORDER=%d\n%s", F.lit(size), F.col("k") - 1, "value")
+        lines = lines.select(F.when(first, head).otherwise(F.col("value")).alias("value"))
+    lines.select("value").write.mode(mode).text(path)
+
+
+def write_probs(df: DataFrame, path: str, seq: str = "seq", pos: str = "pos", p: str = "p", mode: str = "errorifexists") -> None:
+    """A line for each place, in order: the sequence's key, the place, and its chances."""
+    line = F.concat_ws(" ", F.col(seq).cast("string"), F.col(pos).cast("string"), F.array_join(F.transform(p, lambda x: F.format_string("%.9f", x)), " "))
+    df.repartitionByRange(seq, pos).sortWithinPartitions(seq, pos).select(line).write.mode(mode).text(path)
+
+
+def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Result rows (s1, s2, parent, mutates, total, blend, log_odds, params) as the lines that :func:`read_results` reads."""
+    field = lambda k, c=None: F.concat(F.lit(f"{k}="), F.col(c or k).cast("string"))
+    params = F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    df.select(F.concat_ws(" ", field("s1"), field("s2"), field("parent"), field("mutates"), field("sum", "total"), field("blend"), F.lit("-log odds ratio ="), F.col("log_odds").cast("string"), F.lit("params:"), params)).write.mode(mode).text(path)
 
 
 def write_msglen(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -117,6 +218,11 @@ def params_text(c: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
 
 
+def ranking_cell(rank: str, name: str) -> Column:
+    """One table row of markup."""
+    return F.format_string("<tr><td>%d</td><td>%s</td></tr>", rank, F.replace(F.replace(F.col(name), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+
+
 def ranking_html(df: DataFrame, rank: str, name: str) -> DataFrame:
-    """One table row of markup per row."""
-    return df.select(F.format_string("<tr><td>%d</td><td>%s</td></tr>", rank, F.replace(F.replace(F.col(name), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))).alias("html"))
+    """A table row of markup per row."""
+    return df.select(ranking_cell(rank, name).alias("html"))

@@ -27,9 +27,24 @@ def test_tables_and_round_trips(spark, tmp_path):
     counts = spark.createDataFrame([("ac", 3), ("aa", 5)], "kmer string, n long")
     files.write_counts(counts, f"{tmp_path}/c")
     assert sorted(tuple(r) for r in files.read_counts(spark, f"{tmp_path}/c").collect()) == [("aa", 5), ("ac", 3)]
-    probs = spark.createDataFrame([([0.25, 0.25, 0.25, 0.25],), ([0.7, 0.1, 0.1, 0.1],)], "p array<double>")
+    probs = spark.createDataFrame([("x", 1, [0.25, 0.25, 0.25, 0.25]), ("x", 0, [0.7, 0.1, 0.1, 0.1]), ("y", 0, [1.0, 0.0, 0.0, 0.0])], "seq string, pos long, p array<double>")
     files.write_probs(probs, f"{tmp_path}/q")
-    assert sorted(r.p for r in files.read_probs(spark, f"{tmp_path}/q").collect()) == sorted(r.p for r in probs.collect())
+    assert sorted(map(tuple, files.read_probs(spark, f"{tmp_path}/q").collect())) == sorted(map(tuple, probs.collect()))
+    (tmp_path / "bare.txt").write_text("# note\n\n0.7 0.1 0.1 0.1\n0.25 0.25 0.25 0.25\n")
+    assert [tuple(r) for r in files.read_probs(spark, f"{tmp_path}/bare.txt").orderBy("pos").collect()] == [("", 0, [0.7, 0.1, 0.1, 0.1]), ("", 1, [0.25, 0.25, 0.25, 0.25])]
+    files.write_counts(counts, f"{tmp_path}/h", size=4)
+    assert sorted(tuple(r) for r in files.read_counts(spark, f"{tmp_path}/h", size=4).collect()) == [("aa", 5), ("ac", 3)]
+    with pytest.raises(ValueError, match="alphabet"):
+        files.read_counts(spark, f"{tmp_path}/h", size=5)
+    (tmp_path / "two.txt").write_text("AC GT 1\n\ngg\n")
+    assert tuple(files.read_pairs(spark, f"{tmp_path}/two.txt").first()) == ("acgt", "gg")
+    (tmp_path / "old.txt").write_text("CAlignCompress: s1=3 s2=4 parent=3 r = 2.5\nAlignCompress (SW): s1=1 s2=4 parent=3 r = -1\nother s1=3 r = 9\n")
+    assert sorted(tuple(r) for r in files.read_old_results(spark, f"{tmp_path}/old.txt").collect()) == [("AlignCompress (SW)", 1, 4, 3, -1.0), ("CAlignCompress", 3, 4, 3, 2.5)]
+    scores = spark.createDataFrame([(1, 2, 10)], "s1 int, s2 int, score int")
+    results = spark.createDataFrame([(1, 2, 18.048, 10), (9, 9, 1.0, 1)], "s1 int, s2 int, bits double, length int")
+    assert files.check_scores(results.filter("s1 = 1"), scores).first().agrees
+    with pytest.raises(Exception, match="no score"):
+        files.check_scores(results, scores).collect()
     (tmp_path / "bad.txt").write_text("0.5 0.5 0.5 0.5\n")
     with pytest.raises(Exception, match="sum to one"):
         files.read_probs(spark, f"{tmp_path}/bad.txt").collect()
