@@ -1,7 +1,7 @@
 """Markov models of symbol sequences and the code lengths that they give, in bits.
 
-Counts of one sequence stay where the sequence is: rows are dealt by sequence once, before symbols are
-exploded, and every later grouping (context and symbol, context, sequence) is already co-located.
+Counts of one sequence are made in its row, from its sorted k-mers, so sequences are never shuffled, and a code length that needs no other row
+is a projection. Only counts leave their rows.
 """
 
 from __future__ import annotations
@@ -12,18 +12,18 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.operators.sequences import kmers, let
+from bitloom.operators.sequences import gram_runs, kmers, let, run_sizes, run_starts
 
 
 def gram_counts(df: DataFrame, key: str, order: int, seq: str = "seq") -> DataFrame:
     """(key, ctx, sym, n): how often a symbol follows a context of ``order`` symbols in each sequence."""
-    grams = df.repartition(key).select(key, F.explode(kmers(F.col(seq), order + 1)).alias("gram"))
-    counts = grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    counts = df.select(key, F.explode(gram_runs(F.col(seq), order + 1)).alias("x")).select(key, "x.*")
     return counts.select(key, F.substring("gram", 1, order).alias("ctx"), F.substring("gram", order + 1, 1).alias("sym"), "n")
 
 
 def kmer_counts(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    return df.select(F.explode(kmers(F.col(seq), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n) over all sequences; what is shuffled is a row's counts, not its k-mers."""
+    return df.select(F.explode(gram_runs(F.col(seq), k)).alias("x")).groupBy(F.col("x.gram").alias("kmer")).agg(F.sum("x.n").alias("n"))
 
 
 def _log_sum(first: Column, last: Column) -> Column:
@@ -37,28 +37,38 @@ def head_bits(length: Column, order: int, size: int) -> Column:
     return F.least(length, F.lit(order)) * math.log2(size)
 
 
-def _total(df: DataFrame, bits: DataFrame, key: str, order: int, size: int, seq: str) -> DataFrame:
-    lengths = df.repartition(key).select(key, F.char_length(seq).cast("long").alias("length"))
-    got = lengths.join(bits, key, "left")
-    return got.select(key, "length", (F.coalesce("bits", F.lit(0.0)) + head_bits(F.col("length"), order, size)).alias("bits"))
+def _sum_over(values: Column, each) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + each(x))
+
+
+def _row_bits(seq: Column, order: int, size: int, of_symbol, of_context) -> Column:
+    """Bits of a sequence: the sum of ``of_context`` over the sizes of contexts, less that of ``of_symbol`` over those of symbols in them."""
+
+    def cost(g: Column) -> Column:
+        contexts = run_starts(g, lambda x: F.substring(x, 1, order)) if order else F.array(F.lit(0), F.size(g))
+        return _sum_over(run_sizes(contexts), of_context) - _sum_over(run_sizes(run_starts(g)), of_symbol)
+
+    return let(F.sort_array(kmers(seq, order + 1)), cost) + head_bits(F.char_length(seq), order, size)
 
 
 def fitted_bits(df: DataFrame, key: str, order: int, size: int = 4, seq: str = "seq") -> DataFrame:
-    """(key, length, bits) under a model fitted to the sequence itself, whose own cost isn't charged."""
-    counts = gram_counts(df, key, order, seq).withColumn("total", F.sum("n").over(Window.partitionBy(key, "ctx")))
-    each = F.col("n") * -F.log2((F.col("n") + 1) / (F.col("total") + size))
-    return _total(df, counts.groupBy(key).agg(F.sum(each).alias("bits")), key, order, size, seq)
+    """(key, length, bits) under a model fitted to the sequence itself, whose own cost isn't charged: a projection."""
+    bits = _row_bits(F.col(seq), order, size, lambda n: n * F.log2(n + 1), lambda t: t * F.log2(t + size))
+    return df.select(key, F.char_length(seq).cast("long").alias("length"), bits.alias("bits"))
 
 
-def adaptive_bits(df: DataFrame, key: str, order: int, size: int = 4, seq: str = "seq") -> DataFrame:
-    """(key, length, bits) under a model that learns from left to right.
+def adaptive_column(seq: Column, order: int, size: int = 4) -> Column:
+    """Bits of a sequence under a model that learns from left to right.
 
     The product of (1 + earlier) / (size + earlier in context) over a sequence depends on the final counts alone.
     """
-    counts = gram_counts(df, key, order, seq)
-    contexts = counts.groupBy(key, "ctx").agg(F.sum("n").alias("total"), F.sum(_log_sum(F.lit(1).cast("long"), F.col("n"))).alias("gain"))
-    cost = _log_sum(F.lit(size).cast("long"), F.col("total") + size - 1) - F.col("gain")
-    return _total(df, contexts.groupBy(key).agg(F.sum(cost).alias("bits")), key, order, size, seq)
+    one, first = F.lit(1).cast("long"), F.lit(size).cast("long")
+    return _row_bits(seq, order, size, lambda n: _log_sum(one, n), lambda t: _log_sum(first, t + size - 1))
+
+
+def adaptive_bits(df: DataFrame, key: str, order: int, size: int = 4, seq: str = "seq") -> DataFrame:
+    """(key, length, bits) under a model that learns from left to right: a projection."""
+    return df.select(key, F.char_length(seq).cast("long").alias("length"), adaptive_column(F.col(seq), order, size).alias("bits"))
 
 
 def running_bits(events: DataFrame, key: str, order_by: list[str], sym: str, size: int) -> DataFrame:
@@ -96,19 +106,22 @@ def predict(counts: DataFrame, alphabet: list[str], prior: float = 1) -> DataFra
 
 def cross_entropy(df: DataFrame, model: DataFrame, key: str, order: int, size: int = 4, seq: str = "seq") -> DataFrame:
     """(key, length, bits) of sequences under a model (ctx, sym, p), uniform where it has no row. A probability of 0 gives Infinity."""
-    counts = gram_counts(df, key, order, seq)
+    counts = df.select(key, F.char_length(seq).cast("long").alias("length"), F.explode_outer(gram_runs(F.col(seq), order + 1)).alias("x"))
+    counts = counts.select(key, "length", F.substring("x.gram", 1, order).alias("ctx"), F.substring("x.gram", order + 1, 1).alias("sym"), F.col("x.n").alias("n"))
     got = counts.join(model.select("ctx", "sym", "p"), ["ctx", "sym"], "left")
     p = F.coalesce("p", F.lit(1.0 / size))
-    cost = F.when(p == 0, float("inf")).otherwise(-F.log2(p)) * F.col("n")
-    return _total(df, got.groupBy(key).agg(F.sum(cost).alias("bits")), key, order, size, seq)
+    cost = F.coalesce(F.when(p == 0, float("inf")).otherwise(-F.log2(p)) * F.col("n"), F.lit(0.0))
+    return got.groupBy(key, "length").agg(F.sum(cost).alias("bits")).select(key, "length", (F.col("bits") + head_bits(F.col("length"), order, size)).alias("bits"))
 
 
 def entropy_by_order(df: DataFrame, key: str, orders: range, size: int = 4, seq: str = "seq") -> DataFrame:
-    """(order, length, bits, bits_per_symbol, saving) over all sequences, one adaptive model per sequence."""
-    parts = [adaptive_bits(df, key, k, size, seq).agg(F.sum("length").alias("length"), F.sum("bits").alias("bits")).select(F.lit(k).alias("order"), "length", "bits") for k in orders]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    """(order, length, bits, bits_per_symbol, saving) over all sequences, one adaptive model per sequence: one scan for all orders."""
+    each = df
+    for k in orders:
+        each = each.withColumn(f"__bits_{k}", adaptive_column(F.col(seq), k, size))
+    total = each.agg(F.sum(F.char_length(seq).cast("long")).alias("length"), *[F.sum(f"__bits_{k}").alias(f"__bits_{k}") for k in orders])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col(f"__bits_{k}").alias("bits")) for k in orders]))
+    out = total.select("length", rows.alias("x")).select("x.order", "length", "x.bits")
     return out.select("order", "length", "bits", (F.col("bits") / F.col("length")).alias("bits_per_symbol"), (F.col("length") * math.log2(size) - F.col("bits")).alias("saving"))
 
 

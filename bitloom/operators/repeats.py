@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.operators.sequences import kmers, reverse_complement
+from bitloom.operators.sequences import gram_runs, kmers, let, reverse_complement, run_sizes, run_starts
 
 
 def positions(df: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
-    """(key, pos, kmer), pos from 0; all rows of a sequence lie together."""
-    return df.repartition(key).select(key, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer"))
+    """(key, pos, kmer), pos from 0."""
+    return df.select(key, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer"))
+
+
+def _pairs_in(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + F.shiftright(n * (n - 1), 1))
 
 
 def repeat_counts(df: DataFrame, key: str, k: int, inverted: bool = False, seq: str = "seq") -> DataFrame:
-    """(key, n): pairs of places, the second before the first, with equal (or reverse-complementary) k-mers.
+    """(key, n): pairs of places, the second before the first, with equal (or reverse-complementary) k-mers; sequences without a k-mer are left out.
 
-    Counted from k-mer frequencies, so long runs of one symbol make no pairs.
+    Counted in the row, from runs of its sorted k-mers, so long runs of one symbol make no pairs and nothing is shuffled.
     """
-    n = positions(df, key, k, seq).groupBy(key, "kmer").agg(F.count("*").alias("n"))
     if not inverted:
-        return n.groupBy(key).agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("n"))
-    # A k-mer and its reverse complement meet under the smaller of both.
-    both = n.withColumn("rc", reverse_complement(F.col("kmer"))).withColumn("low", F.least("kmer", "rc"))
-    met = both.groupBy(key, "low").agg(F.sum(F.when(F.col("kmer") == F.col("low"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("kmer") != F.col("low"), F.col("n")).otherwise(0)).alias("b"), F.max(F.col("kmer") == F.col("rc")).alias("own"))
-    pairs = F.when(F.col("own"), (F.col("a") * (F.col("a") - 1) / 2).cast("long")).otherwise(F.col("a") * F.col("b"))
-    return met.groupBy(key).agg(F.sum(pairs).alias("n"))
+        n = let(F.sort_array(kmers(F.col(seq), k)), lambda g: _pairs_in(run_sizes(run_starts(g))))
+        return df.filter(F.char_length(seq) >= k).select(key, n.alias("n"))
+
+    def both(x: Column) -> Column:
+        """A k-mer and its reverse complement under the smaller of both, with a mark of which it is: its own, the smaller, the larger."""
+        return let(reverse_complement(x), lambda r: F.concat(F.least(x, r), F.when(x == r, "=").when(x < r, "<").otherwise(">")))
+
+    def count(g: Column) -> Column:
+        squares = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n * n)
+        # of a k-mer that occurs a times, and b times as its complement, (a + b) ** 2 - a ** 2 - b ** 2 is twice the number of pairs
+        met = squares(run_sizes(run_starts(g, lambda x: F.substring(x, 1, k)))) - squares(run_sizes(run_starts(g)))
+        return F.shiftright(met, 1) + _pairs_in(run_sizes(run_starts(F.filter(g, lambda x: F.substring(x, k + 1, 1) == "="))))
+
+    marked = F.sort_array(F.transform(kmers(F.col(seq), k), both))
+    return df.filter(F.char_length(seq) >= k).select(key, let(marked, count).alias("n"))
 
 
 def repeat_pairs(df: DataFrame, key: str, k: int, inverted: bool = False, seq: str = "seq") -> DataFrame:
@@ -36,16 +48,21 @@ def repeat_pairs(df: DataFrame, key: str, k: int, inverted: bool = False, seq: s
 
 
 def nearest_repeats(df: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
-    """(key, pos, earlier): for each place its last earlier occurrence, at most one row per place."""
-    last = F.lag("pos").over(Window.partitionBy(key, "kmer").orderBy("pos"))
-    return positions(df, key, k, seq).withColumn("earlier", last).filter("earlier is not null").select(key, "pos", "earlier")
+    """(key, pos, earlier): for each place its last earlier occurrence, at most one row per place. Found in the row, among its sorted k-mers."""
+    placed = F.sort_array(F.transform(kmers(F.col(seq), k), lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+
+    def last(g: Column) -> Column:
+        again = F.filter(F.sequence(F.lit(1), F.size(g) - 1), lambda j: F.get(g, j)["g"] == F.get(g, j - 1)["g"])
+        return F.when(F.size(g) > 1, F.transform(again, lambda j: F.struct(F.get(g, j)["i"].alias("pos"), F.get(g, j - 1)["i"].alias("earlier"))))
+
+    return df.select(key, F.explode(let(placed, last)).alias("x")).select(key, "x.pos", "x.earlier")
 
 
 def shared_kmers(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq: str = "seq") -> DataFrame:
     """(key_a, key_b, n_kmers, n_pairs): sequences of both sides that share k-mers, the blocking step before costly scoring."""
 
     def counts(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.select(key, F.explode(kmers(F.col(seq), k)).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias(name))
+        return df.select(key, F.explode(gram_runs(F.col(seq), k)).alias("x")).select(key, F.col("x.gram").alias("kmer"), F.col("x.n").alias(name))
 
     met = counts(a, key_a, "na").join(counts(b, key_b, "nb"), "kmer")
     return met.groupBy(key_a, key_b).agg(F.count("*").alias("n_kmers"), F.sum(F.col("na") * F.col("nb")).alias("n_pairs"))

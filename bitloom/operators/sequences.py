@@ -58,13 +58,40 @@ def symbols(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers in order, as an array. Characters are indexed once, so long sequences cost no more than their length."""
+    """All k-mers in order, as an array. A text of one byte a character is cut by bytes, any other by its characters, indexed once: either
+    way long sequences cost no more than their length."""
+
+    def bytewise(b: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.octet_length(seq) - (k - 1)), lambda i: F.substring(b, i, F.lit(k)).cast("string"))
 
     def grams(c: Column) -> Column:
         heads = F.slice(c, 1, F.greatest(F.size(c) - (k - 1), F.lit(0)))
         return F.transform(heads, lambda x, i: F.concat(x, *[F.get(c, i + j) for j in range(1, k)])) if k > 1 else c
 
-    return let(symbols(seq), grams)
+    few = F.char_length(seq) < k
+    plain = F.char_length(seq) == F.octet_length(seq)
+    return F.when(few, F.array().cast("array<string>")).when(plain, let(F.encode(seq, "UTF-8"), bytewise)).otherwise(let(symbols(seq), grams))
+
+
+def run_starts(sorted_: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Where runs of equal elements (equal under ``of``) begin in a sorted array, and its size as the last: an array of places from 0."""
+    n = F.size(sorted_)
+    inner = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | (of(F.get(sorted_, i)) != of(F.get(sorted_, i - 1))))
+    return F.when(n > 0, F.concat(inner, F.array(n))).otherwise(F.array(F.lit(0)))
+
+
+def run_sizes(starts: Column) -> Column:
+    """Sizes of the runs that :func:`run_starts` tells."""
+    return F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda s, j: (F.get(starts, j + 1) - s).cast("long"))
+
+
+def gram_runs(seq: Column, k: int) -> Column:
+    """Each k-mer of a sequence with how often it occurs, as an array of (gram, n) in order of k-mers: counted in the row, without a shuffle."""
+
+    def counted(g: Column) -> Column:
+        return let(run_starts(g), lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda a, j: F.struct(F.get(g, a).alias("gram"), (F.get(s, j + 1) - a).cast("long").alias("n"))))
+
+    return let(F.sort_array(kmers(seq, k)), counted)
 
 
 def valid_kmer(c: Column, alphabet: str = DNA) -> Column:
