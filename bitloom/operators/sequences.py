@@ -75,14 +75,18 @@ def kmers(seq: Column, k: int) -> Column:
 
 def run_starts(sorted_: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
     """Where runs of equal elements (equal under ``of``) begin in a sorted array, and its size as the last: an array of places from 0."""
-    n = F.size(sorted_)
-    inner = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | (of(F.get(sorted_, i)) != of(F.get(sorted_, i - 1))))
-    return F.when(n > 0, F.concat(inner, F.array(n))).otherwise(F.array(F.lit(0)))
+
+    def starts(g: Column) -> Column:
+        n = F.size(g)
+        inner = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | (of(F.get(g, i)) != of(F.get(g, i - 1))))
+        return F.when(n > 0, F.concat(inner, F.array(n))).otherwise(F.array(F.lit(0)))
+
+    return let(sorted_, starts)
 
 
 def run_sizes(starts: Column) -> Column:
     """Sizes of the runs that :func:`run_starts` tells."""
-    return F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda s, j: (F.get(starts, j + 1) - s).cast("long"))
+    return let(starts, lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda a, j: (F.get(s, j + 1) - a).cast("long")))
 
 
 def gram_runs(seq: Column, k: int) -> Column:
