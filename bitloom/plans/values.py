@@ -67,7 +67,7 @@ def validated(spark, sf_dir):
     """Documents whose first two letters belong to the alphabet."""
     s = table(spark, sf_dir, "documents").select("doc_id", sequences.letters_only(F.coalesce("text", F.lit(""))).alias("whole"))
     kept = sequences.validate(s.withColumn("seq", F.lower(F.substring("whole", 1, 2))), mode="drop")
-    return kept.select("doc_id", F.char_length("whole").alias("n"))
+    return kept.select("doc_id", F.char_length("whole").cast("long").alias("n"))
 
 
 _RC = "reverse(translate({}, 'acgt', 'tgca'))"
@@ -179,7 +179,7 @@ def prefixed(spark, sf_dir):
     """Sequences after a prefix, here the first half the other way round, and where they begin."""
     s = seqs(spark, sf_dir)
     pre = s.withColumn("pre", F.reverse(F.substring("seq", F.lit(1), F.floor(F.char_length("seq") / 2).cast("int"))))
-    return sequences.concat_prefix(pre, "pre").select("doc_id", "from_pos", F.md5("seq").alias("digest"))
+    return sequences.concat_prefix(pre, "pre").select("doc_id", F.col("from_pos").cast("long").alias("from_pos"), F.md5("seq").alias("digest"))
 
 
 @query("""
@@ -210,10 +210,11 @@ def model_string_bits(spark, sf_dir):
     return markov.model_bits(seqs(spark, sf_dir), "doc_id", "fitted(2)").withColumn("bits", F.round("bits", 4))
 
 
-@query("SELECT doc_id, lower(coalesce(text, '')) AS text, upper(substr(coalesce(text, ''), 1, 3)) || reverse(substr(coalesce(text, ''), 4, 5)) AS mixed, instr(coalesce(text, ''), 'the') AS at FROM documents")
+@query("SELECT p_partkey, upper(p_name) AS name, upper(substr(p_name, 1, 3)) || reverse(substr(p_type, 2, 5)) AS mixed, instr(p_name, 'e') AS at, lower(p_brand) AS brand FROM part")
 def string_functions(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(t).alias("text"), F.concat(F.upper(F.substring(t, 1, 3)), F.reverse(F.substring(t, 4, 5))).alias("mixed"), F.instr(t, "the").alias("at"))
+    p = table(spark, sf_dir, "part")
+    mixed = F.concat(F.upper(F.substring("p_name", 1, 3)), F.reverse(F.substring("p_type", 2, 5)))
+    return p.select("p_partkey", F.upper("p_name").alias("name"), mixed.alias("mixed"), F.instr("p_name", "e").cast("long").alias("at"), F.lower("p_brand").alias("brand"))
 
 
 @query("SELECT user_id, max(value) AS best, CAST(arg_min(event_type, value) AS VARCHAR) AS cheapest FROM (SELECT DISTINCT ON (user_id, value) user_id, value, event_type FROM events ORDER BY user_id, value, event_type) GROUP BY 1")
