@@ -10,8 +10,9 @@ The potentials are trained from labelled pages: the pages of the table that mark
 that name the usual parts of pages without such marks.
 
 Elements that are never main text (scripts, styles, forms, menus, headers, footers, sidebars by tag) are left
-out of the tree. Null and empty pages give an empty text, pages are read whole, repeated rows give repeated
-results, other columns are ignored.
+out of the tree, but for headers inside an article. Null and empty pages give an empty text, pages are read whole, repeated rows give repeated
+results, null ids and addresses stay null, an empty table gives an empty result, a marginal of exactly one half is not content, other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +145,8 @@ class Page:
                     pieces.append(" ")
                 continue
             _, node, dropped, in_link = stack[-1]
-            dropped = dropped or tag in DROPPED
+            own = tag == "header" and any(x[0] == "article" for x in stack)  # an article's own headline is for the model to judge
+            dropped = dropped or tag in DROPPED and not own
             if tag in BLOCKS and not dropped:
                 node = self._element(node, tag, m.group("rest"))
             if not (m.group("rest").endswith("/") and tag not in BLOCKS):

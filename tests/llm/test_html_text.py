@@ -63,3 +63,10 @@ def test_every_word_of_an_attribute_counts():
     many = " ".join("u" + "abcdefghij"[i % 10] * (i // 10 + 1) for i in range(60))
     page = H.Page(f"<div class='{many} sidebar'><p>Some text here.</p></div>")
     assert any("c:sidebar" in f for f in page.features)
+
+
+def test_an_articles_own_header_is_judged_by_the_model(model):
+    prose = "The committee met on Monday and agreed to publish its report, which had been delayed for several weeks. " * 2
+    page = f"<html><body><header><p>Site of the week</p></header><article><header><h1>Report is out</h1></header><p>{prose}</p></article></body></html>"
+    text = H.extract(page, model)
+    assert text.startswith("Report is out\n\nThe committee") and "Site" not in text
