@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import pandas as pd
 
@@ -28,3 +30,31 @@ def test_edges(spark):
     none = langid.fit(docs.limit(0))
     assert set(langid.predict(docs, none).toPandas().lang_pred) == {"und"}
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_predictions_equal_plain_duels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+
+    def winner(names, machines, x):
+        votes, margin, least = Counter(), Counter(), dict.fromkeys(names, 30.0)
+        for (a, b), w in machines.items():
+            if a in names and b in names:
+                m = sum(float(p) * float(q) for p, q in zip(x, w, strict=False)) + 0.1 * float(w[-1])
+                votes[a if m >= 0 else b] += 1
+                for n, v in ((a, m), (b, -m)):
+                    margin[n] += v
+                    least[n] = min(least[n], v)
+        best = max(names, key=lambda n: (votes[n], margin[n], n))
+        return best, 1 / (1 + math.exp(-2 * least[best]))
+
+    for r in docs.join(langid.predict(docs, model), "doc_id").limit(25).collect():
+        grams = Counter()
+        raw = f" {r.text.lower()} ".encode()
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            grams[(((a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF) >> 20] += 1
+        size = math.sqrt(sum(grams.values()))
+        x = [math.sqrt(grams[i]) / size for i in range(langid.SIZE)]
+        fam, sure = winner(list(model["families"]), model["split"], x)
+        lang, inside = winner(model["families"][fam], model["within"], x)
+        assert r.lang_pred == lang and abs(r.score - sure * inside) < 1e-3

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pandas as pd
@@ -32,3 +33,19 @@ def test_edges(spark):
     assert len(got) == 5 and (got.predicted == 0).all()
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
     assert toxicity.keep_clean(docs, model).count() == 5
+
+
+def test_scores_equal_the_plain_formula_and_conflicting_labels_count_as_toxic(spark):
+    rows = [(i, f"{a} {b} filler{i % 7}", int(a == "dumb" and b == "tribe")) for i, (a, b) in enumerate([("dumb", "tribe"), ("dumb", "luck"), ("kind", "tribe"), ("kind", "luck")] * 60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in rows]
+    twice = spark.createDataFrame([(i, 0) for i, _ in labels] + labels, "doc_id long, toxic int").repartition(5)
+    model = toxicity.fit(docs, twice)
+    again = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model["chosen"] == again["chosen"] and abs(model["w"] - again["w"]).max() == 0
+    for text, got in [(r.text, r.score) for r in docs.join(toxicity.score(docs, model), "doc_id").limit(20).collect()]:
+        terms = {zlib.crc32(t.encode()) % toxicity.BUCKETS for w in text.lower().split() for t in (f"w:{w}", *(f"p:{w[:n]}" for n in (3, 4, 5) if len(w) >= n))}
+        on = sorted(model["chosen"][t] for t in terms if t in model["chosen"])
+        z = model["b"] + sum(float(model["w"][i]) for i in on)
+        z += sum(float(a) * float(b) for x, i in enumerate(on) for j in on[x + 1 :] for a, b in zip(model["v"][i], model["v"][j], strict=True))
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-5
