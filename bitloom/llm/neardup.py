@@ -37,7 +37,7 @@ from bitloom.llm.shingles import with_sets
 #: Values of a sketch that the estimate uses, and its margin in standard deviations.
 SKETCH, MARGIN = 128, 5.0
 #: Members of a chunk of a list; documents and shingles of a chunk of a neighbourhood; members that all of its chunks see.
-LIST_CHUNK, CHUNK, CHUNK_SHINGLES, HUBS = 1024, 512, 1 << 20, 8
+LIST_CHUNK, CHUNK, CHUNK_SHINGLES, HUBS = 512, 512, 1 << 20, 8
 #: Cells of the matrices by which overlaps are counted.
 CELLS = 1 << 21
 

@@ -13,8 +13,8 @@ queue that runs out leaves its share to the rest, in a new phase of windows.
 
 A source is cut into buckets of bounded size by hash, sums over buckets give each bucket's place in its
 queue, and one shuffle by bucket gives each document its own, so a source with a third of all rows spreads over
-many tasks. Equal rows are interchangeable, null texts count as empty, null sources as the source '', other
-columns are ignored.
+many tasks. Equal rows are interchangeable, null texts count as empty, null sources as the source '', null ids stay null, a text longer than
+a sequence fills as many as it needs, an empty table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import materialize
+from bitloom.llm.common import materialize, slices
 
 SEQUENCE = 2048
 #: Tokens of a window over which the mixture holds.
@@ -84,7 +84,7 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = [], []
             for text in batch.column("text").to_pylist():
                 x = np.array([*encode(text or ""), END_ID], "<u4")
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
     placed = placed.join(begins, ["source", "bucket"]).select("doc_id", "source", "n", "ids", (F.col("begin") + F.col("before")).alias("first"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, source, n, ids, first in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 start = 0

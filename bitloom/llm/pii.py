@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import hash_sample
+from bitloom.llm.common import hash_sample, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -290,7 +290,7 @@ def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
     model = model or fit(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
@@ -315,7 +315,7 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     def scrub(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
-        for batch in texts:
+        for batch in slices(texts):
             at = batch.schema.get_field_index("text")
             hot = batch.schema.get_field_index(look)
             out = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import hash_sample, materialize
+from bitloom.llm.common import hash_sample, materialize, slices
 
 #: Hash buckets of terms, and those that the machine learns on, at most.
 BUCKETS, TERMS = 1 << 20, 4096
@@ -77,7 +77,7 @@ def _informative(labelled: DataFrame, terms: int) -> dict[int, int]:
         of = Terms()
         total: dict[int, int] = {}
         n, toxic = 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 n, toxic = n + 1, toxic + y
                 add = 1 + (y << 32)
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f(t) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -181,7 +181,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([f(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
