@@ -1,7 +1,9 @@
+import itertools
 import math
 import random
 
-from bitloom.operators.compress import compress, symbol_bits
+from bitloom.operators.align import AFFINE, PAIR
+from bitloom.operators.compress import COMPLEMENT, COSTS, compress, symbol_bits
 
 
 def say(n, seed):
@@ -34,3 +36,42 @@ def test_frame(spark):
     assert rows[2].bits == 0 and rows[1].length == 60
     assert {r.id: r.bits for r in compress(df, "id", prefix="pre").collect()}[1] < rows[1].bits - 40
     assert compress(df, "id", per_symbol=True).count() == 64
+
+
+def plain_bits(seq, reverse):
+    """The same model in chances, cell by cell."""
+    p = {k: 2.0**-v for k, v in {**AFFINE, **PAIR}.items()}
+    go = {k: 2.0 ** -float(v) for k, v in COSTS.items()}
+    source = "".join(COMPLEMENT[c] for c in seq) if reverse else seq
+    step = -1 if reverse else 1
+    cells, base, before, seen, out = {}, 1.0, 1.0, {c: 1 for c in "acgt"}, []
+    for i, s in enumerate(seq):
+        if i:
+            for at in range(1, i + 1):
+                cells[0, at] = cells.get((0, at), 0) + base * go["start"] / (i + 1)
+        alone = base * (go["nostart"] if i else 1) * seen[s] / sum(seen.values())
+        seen[s] += 1
+        new = {}
+        for at in range(1, i + 2):
+            d, h, v = (cells.get((k, at), 0) for k in range(3))
+            chance = p["match"] if source[at - 1] == s else p["change"] / 3
+            if at + step > 0:
+                new[0, at + step] = (d * p["diag_fromD"] + (h + v) * p["diag_fromI"]) * chance
+            new[1, at] = (d * p["start_fromD"] + h * p["cont_fromI"] + v * p["start_fromI"]) / 4
+        for at in range(1, i + 2):  # source symbols that are passed over on the way here
+            passed = [(q, (q - at) * -step) for q in range(1, i + 3) if (at - q) * step > 0]
+            new[2, at] = sum((new.get((0, q), 0) * p["start_fromD"] + new.get((1, q), 0) * p["start_fromI"]) * p["cont_fromI"] ** (n - 1) for q, n in passed)
+        total = sum(new.values())
+        cells = {k: x * go["cont"] for k, x in new.items()}
+        now = alone + total * go["cont"]
+        out.append(math.log2(before / now))
+        before, base = now, alone + total * go["end"]
+    return out
+
+
+def test_bits_equal_the_plain_model():
+    for seed, reverse in itertools.product(range(4), (False, True)):
+        a = say(9, seed)
+        s = a + (a[::-1].translate(str.maketrans("acgt", "tgca")) if reverse else a) + say(3, seed + 9)
+        got = symbol_bits(s, forward=not reverse, reverse=reverse)
+        assert all(abs(x - y) < 1e-8 for x, y in zip(got, plain_bits(s, reverse), strict=True))
