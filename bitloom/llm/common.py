@@ -124,17 +124,17 @@ def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * rows / count))
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a column ``name`` that tells all rows apart: doc_id, where that is set and no other row has it.
+def numbered(docs: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """``docs`` with a column ``name`` that tells all rows apart: ``key``, where that is set and no other row has it.
 
-    Rows that share a doc_id, and those without one, get numbers above all ids, so that each of them is judged by itself, after the others.
+    Rows that share a key, and those without one, get numbers above all keys, so that each of them is judged by itself, after the others.
     """
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").select(F.col("doc_id").alias(name))
+    odd = docs.groupBy(key).agg(F.count("*").alias("c")).filter(f"c > 1 or {key} is null").select(F.col(key).alias(name))
     odd = materialize(odd, "odd-ids")
     if odd.isEmpty():
-        return docs.withColumn(name, F.col("doc_id"))
-    top = docs.agg(F.max("doc_id")).first()[0] or 0
+        return docs.withColumn(name, F.col(key))
+    top = docs.agg(F.max(key)).first()[0] or 0
     odd = broadcast_if_small(odd, 32)
-    match = F.col("doc_id").eqNullSafe(F.col(name))
+    match = F.col(key).eqNullSafe(F.col(name))
     rest = docs.join(odd, match, "left_semi").withColumn(name, F.monotonically_increasing_id() + F.lit(top + 1))
-    return docs.join(odd, match, "left_anti").withColumn(name, F.col("doc_id")).union(materialize(rest, "odd-rows"))
+    return docs.join(odd, match, "left_anti").withColumn(name, F.col(key)).union(materialize(rest, "odd-rows"))

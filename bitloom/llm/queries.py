@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import decontaminate, html_text, infill, langid, licenses, neardup, packing, pii, quality, search, secrets, toxicity
+from bitloom.llm import decontaminate, embeddings, html_text, infill, langid, licenses, neardup, packing, pii, quality, search, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_read(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
 
 
+def op12_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.98 or more: links and groups."""
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for every benchmark item."""
     return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=20)
@@ -85,11 +90,13 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_embedding_duplicates": op12_embedding_duplicates,
     "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_licenses": licenses.oracle(),
     "op11_fill_in_middle": infill.oracle(),
+    "op12_embedding_duplicates": embeddings.oracle(),
     "op13_ranked_search": search.oracle(),
 }
