@@ -72,9 +72,11 @@ def met_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq: s
     """(key_a, key_b): each sequence of ``a`` with those of ``b`` that share one k-mer with it or, if it is shorter than k, hold all of it."""
     size = F.char_length(seq)
     met = shared_kmers(a.filter(size >= k), b, key_a, key_b, k, seq).select(key_a, key_b)
-    short = a.filter((size > 0) & (size < k)).select(key_a, F.col(seq).alias("whole"))
-    held = b.select(key_b, seq).join(short, F.col(seq).contains(F.col("whole"))).select(key_a, key_b).distinct()
-    return met.union(held)
+    short = a.filter((size > 0) & (size < k)).select(key_a, F.col(seq).alias("gram"))
+    for r in short.select(F.char_length("gram").alias("n")).distinct().collect():  # fewer than k lengths
+        grams = b.select(key_b, F.explode(F.array_distinct(kmers(F.col(seq), r.n))).alias("gram"))
+        met = met.union(short.filter(F.char_length("gram") == r.n).join(grams, "gram").select(key_a, key_b))
+    return met
 
 
 def bands(hits: DataFrame, width: int) -> DataFrame:

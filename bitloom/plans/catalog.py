@@ -340,7 +340,7 @@ def edit_distance(spark, sf_dir):
     return p.join(nxt, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").alias("distance"))
 
 
-def _pairs(spark, sf_dir):
+def met_pairs(spark, sf_dir):
     """Benchmark items and documents that share a 20-mer of DNA letters; of items with fewer letters, those that a document holds whole."""
     a, b = seqs(spark, sf_dir, "benchmark", "item_id"), seqs(spark, sf_dir)
     met = repeats.met_pairs(a, b, "item_id", "doc_id", 20)
@@ -350,8 +350,11 @@ def _pairs(spark, sf_dir):
 def _aligned(name: str, **options):
     @query(name=name)
     def run(spark, sf_dir):
-        out = align.score_pairs(_pairs(spark, sf_dir), **options)
-        return out.withColumn("log_odds", F.round("log_odds", 4)).withColumn("related", F.col("log_odds") > 0)
+        out = align.score_pairs(met_pairs(spark, sf_dir), **options)
+        bits = [F.round(c, 4).alias(c) for c in ("log_odds", "enc_null", "enc_align", "enc_model")]
+        events = ("match", "change", *align.NAMES)
+        told = [F.round(F.col(x)[e], 4).alias(f"{y}_{e}") for x, y in (("params", "p"), ("counts", "n")) for e in events]
+        return out.select("item_id", "doc_id", *bits, "rounds", *told, "a_start", "a_end", "b_start", "b_end", "row_a", "row_b", (F.col("log_odds") > 0).alias("related"))
 
     return run
 
@@ -364,7 +367,7 @@ _aligned("m_align_global_best", local=False, total=False)
 
 
 #: Items and documents that meet, with their letters as numbers, and what a pair of letters costs beside match or change, by 4 * a + b + 1.
-_MET_SQL = f"""
+MET_SQL = f"""
     {SEQS}, {grams_sql(20)}, items AS (SELECT item_id, regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g') AS seq FROM benchmark),
     bg AS (SELECT item_id, substr(seq, CAST(pos AS INTEGER), 20) AS gram FROM (SELECT item_id, seq, unnest(generate_series(1, length(seq) - 19)) AS pos FROM items WHERE length(seq) >= 20)),
     met AS (SELECT DISTINCT item_id, doc_id FROM bg JOIN grams USING (gram) UNION SELECT item_id, doc_id FROM items i JOIN seqs s ON length(i.seq) BETWEEN 1 AND 19 AND contains(s.seq, i.seq)),
@@ -373,10 +376,10 @@ _MET_SQL = f"""
         FROM met JOIN items i USING (item_id) JOIN seqs s USING (doc_id))"""
 
 
-def _recurrence_sql(sub: str, cost: dict[str, float], local: bool, total: bool) -> str:
+def recurrence_sql(cost: dict[str, float], local: bool, total: bool, cell: str = "sub[4 * a[i] + b[d + 1 - i] + 1]") -> str:
     """The alignment recurrence as a recursive query: a row for each pair and anti-diagonal, with lists of the three states' values.
 
-    ``sub``: list of the costs of a pair of letters. Result: met pairs (item_id, doc_id) with ``best``.
+    ``cell``: what a pair of letters costs, out of the list ``sub`` that goes along. Result: met pairs (item_id, doc_id) with ``best``.
     """
     none = "CAST('-infinity' AS DOUBLE)"
 
@@ -390,7 +393,7 @@ def _recurrence_sql(sub: str, cost: dict[str, float], local: bool, total: bool)
 
     before, into = "i >= 1 AND d + 1 - i >= 1 AND d + 1 - i <= m", "d + 1 - i >= 0 AND d + 1 - i <= m"
     start = "0.0" if local else none
-    diagonal = either(f"b0[i] - {cost['diag_fromD']}", f"b1[i] - {cost['diag_fromI']}", f"b2[i] - {cost['diag_fromI']}") + " - sub[4 * a[i] + b[d + 1 - i] + 1]"
+    diagonal = either(f"b0[i] - {cost['diag_fromD']}", f"b1[i] - {cost['diag_fromI']}", f"b2[i] - {cost['diag_fromI']}") + f" - {cell}"
     new0 = f"CASE WHEN {before} THEN {either(start, diagonal)} WHEN {into} THEN {start} ELSE {none} END"
     gap = lambda own, other, at: either(f"a0[{at}] - {cost['start_fromD']}", f"a{own}[{at}] - {cost['cont_fromI']}", f"a{other}[{at}] - {cost['start_fromI']}")
     new1 = f"CASE WHEN i >= 1 AND {into} THEN {gap(1, 2, 'i')} ELSE {none} END"
@@ -410,11 +413,9 @@ def _recurrence_sql(sub: str, cost: dict[str, float], local: bool, total: bool)
         done AS (SELECT item_id, doc_id, {'max(v) + log2(sum(pow(2, v - top)))' if local and total else 'max(v)'} AS best FROM (SELECT *, max(v) OVER (PARTITION BY item_id, doc_id) AS top FROM scored) GROUP BY item_id, doc_id{', top' if local and total else ''})"""
 
 
-def _odds(local: bool, total: bool, states: int):
-    """Log odds under the start parameters: the recurrences of one and three states, sum and best, local and global, against SQL."""
-    sub = f"list_transform(range(16), lambda k: CASE WHEN k // 4 = k % 4 THEN 1 - log2(1 / pa[k // 4 + 1] + 1 / pb[k % 4 + 1]) + {align.PAIR['match']} ELSE 1 - log2(1 / (1 - pa[k % 4 + 1]) + 1 / (1 - pb[k // 4 + 1])) + {align.PAIR['change']} END)"
-    body = _recurrence_sql("sub", align.AFFINE if states == 3 else align.LINEAR, local, total)
-    while "either(" in body:  # the macro, written out from the inside
+def written_out(body: str) -> str:
+    """``body`` with its macro either(x, y) written out, from the inside."""
+    while "either(" in body:
         at = body.rindex("either(")
         depth, cut, end = 0, None, at + 7
         while depth or body[end] != ")":
@@ -423,11 +424,18 @@ def _odds(local: bool, total: bool, states: int):
             end += 1
         x, y = body[at + 7 : cut], body[cut + 1 : end]
         body = body[:at] + f"list_reduce([{x}, {y}], lambda p, q: CASE WHEN p = CAST('-infinity' AS DOUBLE) THEN q WHEN q = CAST('-infinity' AS DOUBLE) THEN p ELSE greatest(p, q) + log2(1 + pow(2, -abs(p - q))) END)" + body[end + 1 :]
+    return body
+
+
+def _odds(local: bool, total: bool, states: int):
+    """Log odds under the start parameters: the recurrences of one and three states, sum and best, local and global, against SQL."""
+    sub = f"list_transform(range(16), lambda k: CASE WHEN k // 4 = k % 4 THEN 1 - log2(1 / pa[k // 4 + 1] + 1 / pb[k % 4 + 1]) + {align.PAIR['match']} ELSE 1 - log2(1 / (1 - pa[k % 4 + 1]) + 1 / (1 - pb[k // 4 + 1])) + {align.PAIR['change']} END)"
+    body = written_out(recurrence_sql(align.AFFINE if states == 3 else align.LINEAR, local, total))
     name = f"align_odds_{'local' if local else 'global'}_{'sum' if total else 'best'}_{states}"
 
-    @query(f"WITH RECURSIVE {_MET_SQL}, ready AS (SELECT *, {sub} AS sub FROM coded), {body} SELECT item_id, doc_id, round(best, 4) AS log_odds FROM done", name)
+    @query(f"WITH RECURSIVE {MET_SQL}, ready AS (SELECT *, {sub} AS sub FROM coded), {body} SELECT item_id, doc_id, round(best, 4) AS log_odds FROM done", name)
     def run(spark, sf_dir):
-        return align.odds_of_pairs(_pairs(spark, sf_dir), local=local, total=total, states=states).withColumn("log_odds", F.round("log_odds", 4))
+        return align.odds_of_pairs(met_pairs(spark, sf_dir), local=local, total=total, states=states).withColumn("log_odds", F.round("log_odds", 4))
 
     return run
 
@@ -439,12 +447,12 @@ for _states in (1, 3):
 
 
 @query(
-    f"WITH RECURSIVE {_MET_SQL}, ready AS (SELECT *, list_transform(range(16), lambda k: CASE WHEN k // 4 = k % 4 THEN -5 ELSE 4 END) AS sub FROM coded), "
-    + _recurrence_sql("sub", {"diag_fromD": 0, "start_fromD": 16, "diag_fromI": 0, "start_fromI": 16, "cont_fromI": 4}, True, False)
+    f"WITH RECURSIVE {MET_SQL}, ready AS (SELECT *, list_transform(range(16), lambda k: CASE WHEN k // 4 = k % 4 THEN -5 ELSE 4 END) AS sub FROM coded), "
+    + recurrence_sql({"diag_fromD": 0, "start_fromD": 16, "diag_fromI": 0, "start_fromI": 16, "cont_fromI": 4}, True, False)
     + " SELECT item_id, doc_id, CAST(best AS INTEGER) AS score FROM done"
 )
 def sw_score(spark, sf_dir):
-    return align.sw_pairs(_pairs(spark, sf_dir))
+    return align.sw_pairs(met_pairs(spark, sf_dir))
 
 
 def _event_strings(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import markov, tables
-from bitloom.plans.catalog import _MET_SQL, BY, EVENTS, ORACLE_SQL, SEQS, STEPS, _pairs, grams_sql, query, seqs
+from bitloom.plans.catalog import MET_SQL, BY, EVENTS, ORACLE_SQL, SEQS, STEPS, met_pairs, grams_sql, query, seqs
 from bitloom.session import shared_folder, table
 from bitloom.sources import files
 
@@ -191,10 +191,10 @@ def message_lengths(spark, sf_dir):
     return spark.read.text(folder).select(words[0].alias("sym"), words[1].cast("long").cast("string").alias("pos"), F.round(words[2].cast("double"), 4).alias("bits"))
 
 
-@query(f"WITH {_MET_SQL} SELECT CAST(item_id AS VARCHAR) || '-' || doc_id AS name, side, CASE side WHEN 'a' THEN i.seq ELSE s.seq END AS seq FROM met JOIN items i USING (item_id) JOIN seqs s USING (doc_id) CROSS JOIN (VALUES ('a'), ('b')) v(side)")
+@query(f"WITH {MET_SQL} SELECT CAST(item_id AS VARCHAR) || '-' || doc_id AS name, side, CASE side WHEN 'a' THEN i.seq ELSE s.seq END AS seq FROM met JOIN items i USING (item_id) JOIN seqs s USING (doc_id) CROSS JOIN (VALUES ('a'), ('b')) v(side)")
 def split_pairs(spark, sf_dir):
     """The pairs of items and documents that meet, each side in FASTA files of its own."""
-    pairs = _pairs(spark, sf_dir).select(F.concat_ws("-", "item_id", "doc_id").alias("id"), "seq_a", "seq_b")
+    pairs = met_pairs(spark, sf_dir).select(F.concat_ws("-", "item_id", "doc_id").alias("id"), "seq_a", "seq_b")
     folder = shared_folder(spark)
     files.write_pairs(pairs, folder, "id")
     sides = [files.read_fasta(spark, f"{folder}/side={x}").select("name", F.lit(x).alias("side"), "seq") for x in "ab"]

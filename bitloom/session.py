@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[8]", app: str = "bitloom", partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,6 +44,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
+    """``df``, to be broadcast if its rows, counted, at ``row_bytes`` each, stay below ``limit``; else unchanged."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -197,7 +197,7 @@ def write_counts(df: DataFrame, path: str, size: int | None = None, mode: str =
 
 def write_probs(df: DataFrame, path: str, seq: str = "seq", pos: str = "pos", p: str = "p", mode: str = "errorifexists") -> None:
     """A line for each place, in order: the sequence's key, the place, and its chances."""
-    line = F.concat_ws(" ", F.col(seq).cast("string"), F.col(pos).cast("string"), F.array_join(F.transform(p, lambda x: F.format_string("%.9f", x)), " "))
+    line = F.concat_ws(" ", F.col(seq).cast("string"), F.col(pos).cast("string"), F.array_join(F.transform(p, lambda x: x.cast("string")), " "))
     df.repartitionByRange(seq, pos).sortWithinPartitions(seq, pos).select(line).write.mode(mode).text(path)
 
 
