@@ -465,7 +465,7 @@ def _event_strings(spark, sf_dir):
 
 @query()
 def repeat_compress(spark, sf_dir):
-    out = compress.compress(_event_strings(spark, sf_dir), "user_id", alphabet="cepsv", reverse=False)
+    out = compress.compress(_event_strings(spark, sf_dir), "user_id", alphabet="cepsv", reverse=())
     return out.withColumn("bits", F.round("bits", 4))
 
 
@@ -474,7 +474,7 @@ def conditional_compress(spark, sf_dir):
     """The second half of each user's events, the first half being known."""
     half = F.floor(F.char_length("seq") / 2).cast("int")
     cut = _event_strings(spark, sf_dir).select("user_id", F.substring("seq", F.lit(1), half).alias("pre"), F.substring("seq", half + 1, F.char_length("seq")).alias("seq"))
-    return compress.compress(cut, "user_id", prefix="pre", alphabet="cepsv", reverse=False).withColumn("bits", F.round("bits", 4))
+    return compress.compress(cut, "user_id", prefix="pre", alphabet="cepsv", reverse=()).withColumn("bits", F.round("bits", 4))
 
 
 @query("""
