@@ -111,42 +111,67 @@ def params_file(spark, sf_dir):
 
 
 _RESULTS = """
-    WITH r AS (SELECT l_orderkey AS s1, l_linenumber AS s2, l_partkey % 100 AS parent, l_suppkey % 50 AS mutates, l_returnflag = 'A' AS total, l_linestatus = 'F' AS blend, l_quantity - 25 AS log_odds, l_discount AS d FROM lineitem)"""
+    WITH r AS (SELECT l_orderkey AS s1, l_linenumber AS s2, l_partkey % 100 AS parent, l_suppkey % 50 AS mutates, l_returnflag = 'A' AS total, l_linestatus = 'F' AS blend, (l_quantity - 25) * 1e-3 AS log_odds, l_quantity - 30 AS first_odds,
+        l_extendedprice AS al, l_tax AS ml, l_discount AS d FROM lineitem)"""
+#: A line of the all-pairs form, written out by SQL.
+_LINE = "format('align (sum={}): s1={} s2={} parent={} mutates={} r={:.6f} ({:.6f}) al={:.6f} ml={:.6f} cuts={}:{} params:cut={} match={}', total, s1, s2, parent, mutates, log_odds, first_odds, al, ml, s2, s2 + 1, s2, s2 * 2)"
 
 
-def _results(spark, sf_dir) -> str:
-    rows = table(spark, sf_dir, "lineitem").select(
+def _result_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("s1"), F.col("l_linenumber").alias("s2"), (F.col("l_partkey") % 100).alias("parent"), (F.col("l_suppkey") % 50).alias("mutates"), (F.col("l_returnflag") == "A").alias("total"),
-        (F.col("l_linestatus") == "F").alias("blend"), (F.col("l_quantity") - 25).alias("log_odds"), F.create_map(F.lit("match"), F.col("l_discount"), F.lit("cut"), F.col("l_tax")).alias("params"),
+        (F.col("l_linestatus") == "F").alias("blend"), ((F.col("l_quantity") - 25) * 1e-3).alias("log_odds"), (F.col("l_quantity") - 30).alias("first_odds"), F.col("l_extendedprice").alias("al"), F.col("l_tax").alias("ml"),
+        F.array("l_linenumber", F.col("l_linenumber") + 1).alias("cuts"), F.create_map(F.lit("match"), F.col("l_linenumber") * 2, F.lit("cut"), F.col("l_linenumber")).alias("params"),
     )
-    folder = shared_folder(spark)
-    files.write_results(rows, folder)
-    return folder
 
 
-@query(f"{_RESULTS} SELECT s1, s2, parent, mutates, total, blend, log_odds, log_odds > 0 AS related, parent = s1 AS own, round(d, 2) AS match FROM r")
+@query(f"{_RESULTS} SELECT {_LINE} AS line, count(*) AS n FROM r GROUP BY 1")
+def result_lines(spark, sf_dir):
+    """The lines of a result log, as text."""
+    rows = _result_rows(spark, sf_dir).drop("blend")
+    return rows.select(files.result_lines(rows, "align").alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"{_RESULTS} SELECT s1, s2, parent, mutates, total, round(log_odds, 6) AS log_odds, first_odds, round(al, 3) AS al, s2 + 1 AS cut, log_odds > 0 AS related, parent = s1 AS own, CAST(s2 * 2 AS VARCHAR) AS match FROM r")
 def result_log(spark, sf_dir):
-    """All rows of a result log, with whether it says related, whether the pair is parent and child, and a parameter of its tail."""
-    got = files.read_results(spark, _results(spark, sf_dir))
-    return got.select(F.col("s1").cast("long").alias("s1"), "s2", F.col("parent").cast("long").alias("parent"), F.col("mutates").cast("long").alias("mutates"), "total", "blend", "log_odds", (F.col("log_odds") > 0).alias("related"), (F.col("parent") == F.col("s1")).alias("own"), F.round(F.col("params")["match"].cast("double"), 2).alias("match"))
+    """All rows of a result log, with whether it says related, whether the pair is parent and child, a cut point and a parameter of its tail."""
+    folder = shared_folder(spark)
+    files.write_results(_result_rows(spark, sf_dir).drop("blend"), folder)
+    got = files.read_results(spark, folder, program="align")
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return got.select(number("s1"), F.col("s2").cast("int").alias("s2"), number("parent"), number("mutates"), "total", F.round("log_odds", 6).alias("log_odds"), "first_odds", F.round("al", 3).alias("al"), F.col("cuts")[1].alias("cut"), (F.col("log_odds") > 0).alias("related"), (F.col("parent") == F.col("s1")).alias("own"), F.col("params")["match"].alias("match"))
 
 
-@query(f"{_RESULTS} SELECT mutates, count(*) AS n, round(avg(log_odds), 4) AS mean, min(log_odds) AS low, max(log_odds) AS high FROM r WHERE total AND NOT blend GROUP BY 1")
+@query(f"{_RESULTS} SELECT mutates, count(*) AS n, round(avg(log_odds), 4) AS mean, round(min(log_odds), 6) AS low, round(max(log_odds), 6) AS high FROM r WHERE total AND NOT blend GROUP BY 1")
 def sweep_log(spark, sf_dir):
-    """A result log as a sweep over numbers of mutations: the rows of one kind."""
-    got = files.read_results(spark, _results(spark, sf_dir), total=True, blend=False)
-    return got.groupBy(F.col("mutates").cast("long").alias("mutates")).agg(F.count("*").alias("n"), F.round(F.avg("log_odds"), 4).alias("mean"), F.min("log_odds").alias("low"), F.max("log_odds").alias("high"))
+    """A log of a sweep over numbers of mutations, whose lines name no pair: the rows of one kind."""
+    folder = shared_folder(spark)
+    files.write_results(_result_rows(spark, sf_dir).select("mutates", "total", "blend", "log_odds"), folder)
+    got = files.read_results(spark, folder, total=True, blend=False)
+    return got.groupBy(F.col("mutates").cast("long").alias("mutates")).agg(F.count("*").alias("n"), F.round(F.avg("log_odds"), 4).alias("mean"), F.round(F.min("log_odds"), 6).alias("low"), F.round(F.max("log_odds"), 6).alias("high"))
+
+
+@query("SELECT CAST(l_linenumber AS BIGINT) AS mutates, count(*) AS n, round(sum(CAST(l_suppkey AS DOUBLE) * 1e-7), 6) AS p, CAST(sum(l_partkey) AS BIGINT) AS score FROM lineitem GROUP BY 1")
+def shuffle_log(spark, sf_dir):
+    """Comparisons by shuffles in a log: small chances keep their exponents."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s1"), F.lit(1).alias("s2"), F.lit(1).alias("parent"), F.col("l_linenumber").alias("mutates"), (F.col("l_suppkey") * 1e-7).alias("p"), F.col("l_partkey").alias("score"))
+    folder = shared_folder(spark)
+    files.write_results(rows, folder, program="shuffled")
+    got = files.read_results(spark, folder, program="shuffled").groupBy(F.col("mutates").cast("long").alias("mutates"))
+    return got.agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("p"), F.sum("score").cast("long").alias("score"))
 
 
-@query("SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'CAlignCompress' ELSE 'AlignCompress (SW)' END AS program, l_partkey % 100 = l_suppkey % 100 AS own, count(*) AS n, sum(l_quantity) AS odds FROM lineitem GROUP BY ALL")
+@query("SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'calign' ELSE 'align' END AS program, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE 'SW' END AS method, l_partkey % 100 = l_suppkey % 100 AS own, count(*) AS n, round(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_tax ELSE -l_quantity END), 4) AS odds FROM lineitem GROUP BY ALL")
 def old_result_log(spark, sf_dir):
-    """The older log, with counts of right and wrong pairs unscaled."""
+    """The older log, with counts of right and wrong pairs unscaled: values in brackets count, those with exponents too."""
     n = table(spark, sf_dir, "lineitem")
-    program = F.when(F.col("l_linenumber") % 2 == 0, "CAlignCompress").otherwise("AlignCompress (SW)")
-    text = F.concat(program, F.lit(": s1="), (F.col("l_suppkey") % 100).cast("string"), F.lit(" s2=1 parent="), (F.col("l_partkey") % 100).cast("string"), F.lit(" r = "), F.col("l_quantity").cast("string"))
+    even = F.col("l_linenumber") % 2 == 0
+    value = F.when(even, F.concat(F.lit("r=1.5e+03 ("), F.col("l_tax").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("r="), F.format_string("%.1e", -F.col("l_quantity"))))
+    text = F.concat(F.when(even, "calign (sum=true)").otherwise("align (SW)"), F.lit(": s1="), (F.col("l_suppkey") % 100).cast("string"), F.lit(" s2=1 parent="), (F.col("l_partkey") % 100).cast("string"), F.lit(" mutates=3 "), value)
     folder = shared_folder(spark)
-    n.select(F.explode(F.array(text, F.lit("# comment"), F.lit("other line r = 5")))).write.text(folder)
-    return files.read_old_results(spark, folder).groupBy("program", (F.col("parent") == F.col("s1")).alias("own")).agg(F.count("*").alias("n"), F.sum("log_odds").alias("odds"))
+    n.select(F.explode(F.array(text, F.lit("# comment"), F.lit("other line r = x")))).write.text(folder)
+    got = files.read_old_results(spark, folder).groupBy("program", "method", (F.col("parent") == F.col("s1")).alias("own"))
+    return got.agg(F.count("*").alias("n"), F.round(F.sum("log_odds"), 4).alias("odds"))
 
 
 @query("""

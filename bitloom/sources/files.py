@@ -127,28 +127,54 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-def read_results(spark: SparkSession, path: str, total: bool | None = None, blend: bool | None = None) -> DataFrame:
-    """(s1, s2, parent, mutates, total, blend, log_odds, params) of result logs: fields ``name=value`` on lines that hold a log odds ratio; the last
-    ratio of a line counts. ``total`` and ``blend`` keep the lines whose flags ``sum`` and ``blend`` say so. Comments are left out."""
-    lines = read_lines(spark, path).filter(F.col("value").contains("log odds ratio"))
-    number = lambda k, t: F.regexp_extract("value", rf"(?i)\b{k}\s*=\s*(-?\d+)", 1).try_cast(t)
-    flag = lambda k: F.regexp_extract("value", rf"(?i)\b{k}\s*=\s*(\w+)", 1)
+#: A number as logs write it; the head of a line: the program, in brackets what it was told, and the rest.
+NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+HEAD = r"^\s*(\w+)\s*(?:\(([^)]*)\))?\s*:\s+(.*)$"
+
+
+def read_results(spark: SparkSession, path: str, total: bool | None = None, blend: bool | None = None, program: str | None = None) -> DataFrame:
+    """Rows of result logs, one for each line with a result; comments, and lines without one, are left out.
+
+    A line is ``program (sum=true): s1=1 s2=2 parent=1 mutates=30 r=12.5 (11.0) al=.. (..) ml=.. (..) dl=.. (..) uTime=.. cuts=4:90:7:95 params:match=0.1 ...``: r,
+    al, ml and dl are the log odds and the code lengths of the alignment, the model and the data of the last round, those of the first in brackets. A sweep has
+    ``(blend=false sum=true): mutates=30 r=..`` without a pair, a comparison by score ``(SW): .. r=..``, a comparison by shuffles
+    ``program: s1=.. mutates=.. p=0.001 s=57``. Console lines say ``log odds ratio = ..``, of which the last counts.
+
+    Columns: program, method (what is in the brackets, flags left out), s1, s2, parent, mutates, total, blend, log_odds, first_odds, al, first_al, ml, first_ml, dl,
+    first_dl, cuts (array), params (map), p, score. ``total`` and ``blend`` keep the lines whose flags say so (no flag for blend: not blended), ``program`` those of one program.
+    """
+    lines = read_lines(spark, path)
+    part = lambda i: F.regexp_extract("value", HEAD, i)
+    console = F.try_element_at(F.regexp_extract_all("value", F.lit(rf"log odds ratio = ({NUMBER}|[-+]?[Ii]nf\w*)"), 1), F.lit(-1)).try_cast("double")
+    rows = lines.select("value", F.when(part(1) != "", part(1)).alias("program"), part(2).alias("told"), F.when(part(1) != "", part(3)).otherwise(F.col("value")).alias("rest"), console.alias("console"))
+    rows = rows.withColumn("body", F.regexp_extract("rest", r"^(.*?)(?:\bparams:.*)?$", 1))
+    field = lambda k, i=1: F.regexp_extract("body", rf"(?:^|\s){k}\s*=\s*({NUMBER})(?:\s+\(\s*({NUMBER})\s*\))?(?=\s|$)", i)
+    number = lambda k, i=1: field(k, i).try_cast("double")
+    whole = lambda k: field(k).try_cast("int").alias(k)
+    flag = lambda k: F.lower(F.coalesce(F.nullif(F.regexp_extract("told", rf"(?i)\b{k}\s*=\s*(\w+)", 1), F.lit("")), F.regexp_extract("body", rf"(?i)(?:^|\s){k}\s*=\s*(\w+)", 1)))
     said = lambda k: F.when(flag(k).isin("1", "true", "yes", "on"), True).when(flag(k).isin("0", "false", "no", "off"), False)
-    odds = F.element_at(F.regexp_extract_all("value", F.lit(r"log odds ratio = (\S+)"), 1), -1).try_cast("double")
-    params = F.str_to_map(F.regexp_extract("value", r"params:\s*(.*)$", 1), F.lit(r"\s+"), F.lit("="))
-    rows = lines.select(*[number(k, "int").alias(k) for k in ("s1", "s2", "parent", "mutates")], said("sum").alias("total"), said("blend").alias("blend"), odds.alias("log_odds"), params.alias("params"))
+    method = F.trim(F.regexp_replace("told", r"\w+\s*=\s*\w+", ""))
+    pairs = F.filter(F.split(F.regexp_extract("rest", r"\bparams:\s*(.*)$", 1), r"\s+"), lambda x: x.contains("="))
+    params = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.substring(x, F.locate("=", x) + 1, F.char_length(x)))))
+    cuts = F.transform(F.filter(F.split(F.regexp_extract("body", r"(?:^|\s)cuts=([-\d:]+)", 1), ":"), lambda x: x != ""), lambda x: x.try_cast("int"))
+    lengths = [number(k, i).alias(("first_" if i == 2 else "") + k) for k in ("al", "ml", "dl") for i in (1, 2)]
+    out = rows.select(
+        "program", F.nullif(method, F.lit("")).alias("method"), *[whole(k) for k in ("s1", "s2", "parent", "mutates")], said("sum").alias("total"), said("blend").alias("blend"),
+        F.coalesce(number("r"), "console").alias("log_odds"), number("r", 2).alias("first_odds"), *lengths, cuts.alias("cuts"), params.alias("params"), number("p").alias("p"), number("s").alias("score"),
+    )
+    out = out.filter("log_odds is not null or p is not null")
+    if program is not None:
+        out = out.filter(F.col("program") == program)
     for name, want in (("total", total), ("blend", blend)):
-        rows = rows if want is None else rows.filter(F.col(name).eqNullSafe(F.lit(want)))
-    return rows
+        flagged = F.coalesce(name, F.lit(False)) if name == "blend" else F.col(name)
+        out = out if want is None else out.filter(flagged.eqNullSafe(F.lit(want)))
+    return out
 
 
 def read_old_results(spark: SparkSession, path: str) -> DataFrame:
-    """(program, s1, s2, parent, log_odds) of the older logs, whose lines begin with the program: ``CAlignCompress`` or ``AlignCompress (SW)``."""
-    line = r"^\s*(CAlignCompress|AlignCompress \(SW\))\b?.*"
-    lines = read_lines(spark, path).filter(F.col("value").rlike(line))
-    number = lambda k: F.regexp_extract("value", rf"(?i)\b{k}\s*=\s*(-?\d+)", 1).try_cast("int")
-    odds = F.element_at(F.regexp_extract_all("value", F.lit(r"r\s*=\s*(-?[0-9.]+)"), 1), -1).try_cast("double")
-    return lines.select(F.regexp_extract("value", line, 1).alias("program"), *[number(k).alias(k) for k in ("s1", "s2", "parent")], odds.alias("log_odds"))
+    """(program, method, total, s1, s2, parent, mutates, log_odds, p, score) of the older logs: of a line with a value in brackets that one counts, else r."""
+    got = read_results(spark, path)
+    return got.select("program", "method", "total", "s1", "s2", "parent", "mutates", F.coalesce("first_odds", "log_odds").alias("log_odds"), "p", "score")
 
 
 def check_scores(results: DataFrame, scores: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -201,11 +227,28 @@ def write_probs(df: DataFrame, path: str, seq: str = "seq", pos: str = "pos", p:
     df.repartitionByRange(seq, pos).sortWithinPartitions(seq, pos).select(line).write.mode(mode).text(path)
 
 
-def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Result rows (s1, s2, parent, mutates, total, blend, log_odds, params) as the lines that :func:`read_results` reads."""
-    field = lambda k, c=None: F.concat(F.lit(f"{k}="), F.col(c or k).cast("string"))
-    params = F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
-    df.select(F.concat_ws(" ", field("s1"), field("s2"), field("parent"), field("mutates"), field("sum", "total"), field("blend"), F.lit("-log odds ratio ="), F.col("log_odds").cast("string"), F.lit("params:"), params)).write.mode(mode).text(path)
+def result_lines(df: DataFrame, program: str) -> Column:
+    """A row as the line that :func:`read_results` reads; what a row lacks (a null, or a column that isn't there) the line lacks, too.
+
+    Rows with p are comparisons by shuffles; others have log_odds, and first_odds, al, ml, dl with theirs, cuts and params (a map), if they are there.
+    """
+    there = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    text = lambda c, kind="string": there(c).cast(kind).cast("string")
+    say = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), v))
+    six = lambda c: F.format_string("%f", there(c).cast("double"))
+    both = lambda k, c, first: F.when(there(c).isNotNull(), F.concat(F.lit(f"{k}="), six(c), F.when(there(first).isNotNull(), F.concat(F.lit(" ("), six(first), F.lit(")"))).otherwise("")))
+    flags = F.concat_ws(" ", *[say(k, text(c)) for k, c in (("blend", "blend"), ("sum", "total"))])
+    pair = [say(k, text(k)) for k in ("s1", "s2", "parent", "mutates")]
+    tail = F.when(there("params").isNotNull(), F.concat(F.lit("params:"), F.array_join(F.transform(F.array_sort(F.map_entries(there("params").cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")))
+    cuts = say("cuts", F.array_join(there("cuts").cast("array<string>"), ":"))
+    aligned = F.concat_ws(" ", F.concat(F.lit(f"{program} ("), flags, F.lit("):")), *pair, both("r", "log_odds", "first_odds"), *[both(k, k, f"first_{k}") for k in ("al", "ml", "dl")], cuts, tail)
+    shuffled = F.concat_ws(" ", F.lit(f"{program}:"), *pair, say("p", text("p", "double")), say("s", text("score", "long")))
+    return F.when(there("p").isNotNull(), shuffled).otherwise(aligned)
+
+
+def write_results(df: DataFrame, path: str, program: str = "align", mode: str = "errorifexists") -> None:
+    """Result rows as the lines that :func:`read_results` reads."""
+    df.select(result_lines(df, program).alias("value")).write.mode(mode).text(path)
 
 
 def write_msglen(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -38,8 +38,9 @@ def test_tables_and_round_trips(spark, tmp_path):
         files.read_counts(spark, f"{tmp_path}/h", size=5)
     (tmp_path / "two.txt").write_text("AC GT 1\n\ngg\n")
     assert tuple(files.read_pairs(spark, f"{tmp_path}/two.txt").first()) == ("acgt", "gg")
-    (tmp_path / "old.txt").write_text("CAlignCompress: s1=3 s2=4 parent=3 r = 2.5\nAlignCompress (SW): s1=1 s2=4 parent=3 r = -1\nother s1=3 r = 9\n")
-    assert sorted(tuple(r) for r in files.read_old_results(spark, f"{tmp_path}/old.txt").collect()) == [("AlignCompress (SW)", 1, 4, 3, -1.0), ("CAlignCompress", 3, 4, 3, 2.5)]
+    (tmp_path / "old.txt").write_text("calign (sum=true): s1=3 s2=4 parent=3 mutates=5 r=9 (2.5)  al=1 (1) dl=2 (2) x\nalign (SW): s1=1 s2=4 parent=3 mutates=2 r=-3.5e+01\nother s1=3 r = q\n")
+    old = files.read_old_results(spark, f"{tmp_path}/old.txt").collect()
+    assert sorted((r.program, r.method or "", r.total, r.s1, r.log_odds) for r in old) == [("align", "SW", None, 1, -35.0), ("calign", "", True, 3, 2.5)]
     scores = spark.createDataFrame([(1, 2, 10)], "s1 int, s2 int, score int")
     results = spark.createDataFrame([(1, 2, 18.048, 10), (9, 9, 1.0, 1)], "s1 int, s2 int, bits double, length int")
     assert files.check_scores(results.filter("s1 = 1"), scores).first().agrees
@@ -58,6 +59,28 @@ def test_tables_and_round_trips(spark, tmp_path):
     assert (r.s1, r.s2, r.parent, r.mutates, r.log_odds, r.params["b"]) == (3, 14, 3, 40, 7.25, "2")
 
 
+def test_result_logs(spark, tmp_path):
+    (tmp_path / "log.txt").write_text(
+        "# notes\nmeasure (sum=true): s1=1 s2=2 parent=1 mutates=30 r=12.500000 (11.000000) al=200.1 (201.2) ml=30.5 (31.0) dl=169.6 (170.2) uTime=0.5 cuts=3:90:4:88 params:change=3.2  match=0.1  x=1e-3 \n"
+        "measure (sum=false): s1=1 s2=3 parent=2 mutates=30 r=-1.25e-02 (-7) al=1 (2) dl=3 (4) uTime=1 cuts= params:match=0.2\n"
+        "measure (blend=true sum=true): mutates=-1 r=4 \nmeasure (blend=false sum=true): mutates=-1 r=-4\nshuffler: s1=1 s2=2 parent=1 mutates=30 p=7.4e-04 s=257 expect=3 runs=200\nshuffler: mutates=5 p=0.25\nnonsense\n\n"
+    )
+    rows = files.read_results(spark, f"{tmp_path}/log.txt").collect()
+    assert len(rows) == 6
+    first = next(r for r in rows if r.s2 == 2 and r.program == "measure")
+    assert (first.log_odds, first.first_odds, first.al, first.first_al, first.ml, first.first_ml, first.dl, first.first_dl, first.cuts) == (12.5, 11.0, 200.1, 201.2, 30.5, 31.0, 169.6, 170.2, [3, 90, 4, 88])
+    assert first.params == {"change": "3.2", "match": "0.1", "x": "1e-3"} and first.total and first.blend is None and first.p is None
+    second = next(r for r in rows if r.s2 == 3)
+    assert (second.log_odds, second.first_odds, second.ml, second.total, second.cuts) == (-0.0125, -7.0, None, False, [])
+    assert sorted((r.p, r.score) for r in rows if r.program == "shuffler") == [(7.4e-4, 257.0), (0.25, None)]
+    assert [r.log_odds for r in files.read_results(spark, f"{tmp_path}/log.txt", total=True, blend=True).collect()] == [4.0]
+    assert sorted(r.log_odds for r in files.read_results(spark, f"{tmp_path}/log.txt", total=True, blend=False).collect()) == [-4.0, 12.5]
+    df = files.read_results(spark, f"{tmp_path}/log.txt")
+    files.write_results(df.filter("program = 'measure'"), f"{tmp_path}/again", "measure")
+    key = lambda r: str((r.s2, r.log_odds, r.first_odds, r.al, r.cuts, r.params, r.total, r.blend, r.mutates))
+    assert sorted(map(key, files.read_results(spark, f"{tmp_path}/again").collect())) == sorted(key(r) for r in rows if r.program == "measure")
+
+
 def test_columns(spark):
     from pyspark.sql import functions as F
 
