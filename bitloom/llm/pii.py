@@ -3,7 +3,7 @@
 The nodes of a document's graph are its tokens that show any evidence (a digit or an @ sign) and every token
 that repeats one of them, or the name before the @ of an address. Neighbouring nodes are joined by chain
 edges; occurrences of the same or a similar token, however far apart, by skip edges. Nodes inside a base match
-are observed. Loopy sum-product messages then give every other node its label marginals, so a repeated user
+are observed, and only what skip edges lead to from one may get its label. Loopy sum-product messages then give every other node its label marginals, so a repeated user
 name or a number written again without its plus sign takes the label that its twin has.
 
 The potentials are estimated from the text itself: base matches serve as labels of their tokens on a sample of
@@ -16,6 +16,7 @@ table gives an empty result, labels of equal marginals go to the first as listed
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -33,8 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents that the potentials are estimated on, at most (in expectation).
 SAMPLE = 20_000
-#: Rounds of message passing, damping, and the marginal from which a label counts.
-ROUNDS, DAMP, ACCEPT = 12, 0.3, 0.6
+#: Rounds of message passing at most (it ends when messages don't move any more), damping, and the marginal from which a label counts.
+ROUNDS, DAMP, ACCEPT = 200, 0.3, 0.6
 #: Shorter keys don't make a skip edge.
 KEY = 4
 
@@ -152,7 +153,7 @@ class Graph:
         cover = sorted((a, b, LABELS.index(k)) for k, a, b in spans)
         at, last_token = 0, -9
         self.chain, self.skip = [], []
-        seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         for i in sorted(chosen):
             a, b = tokens[i]
             word = text[a:b]
@@ -168,11 +169,41 @@ class Graph:
             if i == last_token + 1:
                 self.chain.append((node - 1, node))
             for k in _keys(core):
-                if k in seen and seen[k] != node:
-                    self.skip.append((seen[k], node))
-                seen[k] = node
+                seen.setdefault(k, []).append(node)
             last_token = i
         self.places = places
+        # An occurrence that isn't observed is joined to the observed one before it, or else the first after it; occurrences among which none, or all, are
+        # observed are joined to the one before.
+        joined: set[tuple[int, int]] = set()
+        for nodes in seen.values():
+            known = [x for x in nodes if self.labels[x] >= 0]
+            joined.update(zip(known, known[1:], strict=False))
+            if not known:
+                joined.update(zip(nodes, nodes[1:], strict=False))
+            for x in nodes if known else []:
+                if self.labels[x] < 0:
+                    at = bisect.bisect_left(known, x)
+                    twin = known[at - 1 if at else 0]
+                    joined.add((min(x, twin), max(x, twin)))
+        self.skip = sorted(joined)
+
+    def possible(self) -> list[set[int]]:
+        """The labels that observed nodes have in each node's component of skip edges: others are out of the question."""
+        root = list(range(len(self.labels)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in self.skip:
+            root[top(b)] = top(a)
+        labels: dict[int, set[int]] = {}
+        for x, y in enumerate(self.labels):
+            if y >= 0:
+                labels.setdefault(top(x), set()).add(y)
+        return [labels.get(top(x), set()) for x in range(len(root))]
 
 
 def _counts(graph: Graph) -> Counter:
@@ -227,7 +258,7 @@ def marginals(graph: Graph, model: dict) -> np.ndarray:
     for i, (s, y) in enumerate(zip(graph.shapes, graph.labels, strict=True)):
         unary[i] = model["unary"].get(s, model["rest"])
         if y >= 0:
-            unary[i] = -30.0
+            unary[i] = -1e12  # whatever arrives from however many others
             unary[i, y] = 0.0
     edges = np.array(graph.chain + graph.skip, dtype=np.int64).reshape(-1, 2)
     m = len(edges)
@@ -262,11 +293,11 @@ def added_spans(text: str, spans: list[tuple[str, int, int]], model: dict) -> li
     if all(v >= 0 for v in graph.labels) or not (graph.chain or graph.skip):
         return []
     p = marginals(graph, model)
-    best = p.argmax(1)
+    best, possible = p.argmax(1), graph.possible()
     out: list[list] = []
     joined = set(graph.chain)
     for i, k in enumerate(best):
-        if graph.labels[i] >= 0 or not k or p[i, k] < ACCEPT:
+        if graph.labels[i] >= 0 or k not in possible[i] or p[i, k] < ACCEPT:
             continue
         a, b = graph.places[i]
         if out and out[-1][0] == LABELS[k] and (i - 1, i) in joined and out[-1][3] == i - 1:

@@ -90,3 +90,22 @@ def test_redact_keeps_columns_of_any_name_and_repeated_rows(spark):
     out = pii.redact(docs)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "<EMAIL>", "x", 3), (1, "<EMAIL>", "x", 3), (None, None, None, None), (2, "", "y", 0)], key=repr)
+
+
+def test_a_name_stays_what_its_address_is(spark):
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for n in (1, 3, 8, 40, 200):
+        text = "write to knsh.99@mail.example.com " + "user knsh.99 said so " * n
+        base = pii.base_spans(text)
+        added = pii.added_spans(text, base, model)
+        assert [k for k, _, _ in added] == ["email"] * n and all(text[a:b] == "knsh.99" for _, a, b in added)
+
+
+def test_repeats_without_an_observed_twin_are_nothing(spark):
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for text in ("ticket 44871234 and ticket 44871234 and again ticket 44871234", "id 4111111111111112 " * 30, "a1b2c3d4 " * 50 + "mail x@y.org"):
+        assert pii.added_spans(text, pii.base_spans(text), model) == []
+    text = "call +49 (30) 4487-1234 or 493044871234, but not 493044871235"
+    assert [(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text), model)] in ([], [("phone", "493044871234")])
+    graph = pii.Graph("x@y.org 12345 12345 x@y.org", pii.base_spans("x@y.org 12345 12345 x@y.org"))
+    assert graph.possible() == [{1}, set(), set(), {1}]
