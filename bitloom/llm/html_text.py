@@ -37,7 +37,7 @@ PULL = ("up:element", "up:text")
 
 #: Fixed values of HTML: elements by how they take part in a page.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe", "noscript"))
-DROPPED = frozenset(("head", "template", "svg", "math", "canvas", "object", "select", "datalist", "button", "audio", "video", "nav", "header", "footer", "aside", "form", "dialog", "menu"))
+DROPPED = frozenset(("head", "template", "svg", "math", "canvas", "object", "select", "datalist", "button", "audio", "video", "nav", "header", "footer", "aside", "dialog", "menu"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCKS = frozenset((
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -57,7 +57,7 @@ PARTS_OUT = (
 ).split()
 PARTS_IN = "article content post entry story body main text article-body post-content entry-content story-body page-content prose article-text single".split()
 
-_TAG = re.compile(r"""<(?:(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|!--(?P<note>.*?)(?:-->|$)|[!?/][^>]*>)""", re.DOTALL)
+_TAG = re.compile(r"""<(?:(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|!--(?P<note>.*?)(?:-->|$)|[!?/][^>]*>)""", re.DOTALL)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -88,13 +88,24 @@ class Page:
                 pieces.clear()
             linked = 0
 
+        #: How many elements of each name are open, so that nothing is looked for in vain; forms as ranges of nodes.
+        opened: Counter = Counter()
+        forms: list[tuple[int, int]] = []
+
         def close(depth: int) -> None:
             while len(stack) > depth:
                 if stack[-1][0] in BLOCKS:
                     flush()
-                stack.pop()
+                tag, node, dropped, _ = stack.pop()
+                opened[tag] -= 1
+                if tag == "form" and not dropped:
+                    forms.append((node, len(self.parents)))
+
+        def last(names: tuple[str, ...], below: int) -> int:
+            """The innermost open element of one of the names, below a depth; 0 if there is none."""
+            return next((d for d in range(below - 1, 0, -1) if stack[d][0] in names), 0) if any(opened[x] for x in names) else 0
 
-        pos, n = 0, len(source)
+        pos, n, ended = 0, len(source), 0  # the next end of a tag, -1 if there is none
         while pos < n:
             at = source.find("<", pos)
             at = n if at < 0 else at
@@ -104,7 +115,8 @@ class Page:
                 linked += (at - pos) * stack[-1][3]
             if at == n:
                 break
-            m = _TAG.match(source, at)
+            ended = ended if ended >= at or ended < 0 else source.find(">", at)
+            m = _TAG.match(source, at) if ended >= 0 or source.startswith("<!--", at) else None
             if not m:
                 if not stack[-1][2]:
                     owner = stack[-1][1]
@@ -116,9 +128,7 @@ class Page:
             if not tag:
                 continue
             if m.group("end"):
-                depth = len(stack) - 1
-                while depth and stack[depth][0] != tag:
-                    depth -= 1
+                depth = last((tag,), len(stack))
                 if depth:
                     close(depth)
                 elif tag == "p":
@@ -131,11 +141,12 @@ class Page:
                 continue
             if tag in BLOCKS:
                 names, guards = CLOSES.get(tag, (("p",), ("table", "td", "th", "button", "object", "caption")))
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] in names or stack[d][0] in guards), 0)
                 lowest = 0
-                while depth and stack[depth][0] in names:
-                    lowest = depth
-                    depth = next((d for d in range(depth - 1, 0, -1) if stack[d][0] in names or stack[d][0] in guards), 0) if tag in CLOSES else 0
+                if any(opened[x] for x in names):
+                    depth = last(names + guards, len(stack))
+                    while depth and stack[depth][0] in names:
+                        lowest = depth
+                        depth = last(names + guards, depth) if tag in CLOSES else 0
                 if lowest:
                     close(lowest)
                 flush()
@@ -145,16 +156,29 @@ class Page:
                     pieces.append(" ")
                 continue
             _, node, dropped, in_link = stack[-1]
-            own = tag == "header" and any(x[0] == "article" for x in stack)  # an article's own headline is for the model to judge
+            own = tag == "header" and (opened["article"] or opened["main"])  # an article's own headline is for the model to judge
             dropped = dropped or tag in DROPPED and not own
             if tag in BLOCKS and not dropped:
                 node = self._element(node, tag, m.group("rest"))
             if not (m.group("rest").endswith("/") and tag not in BLOCKS):
                 stack.append((tag, node, dropped, in_link or tag == "a"))
+                opened[tag] += 1
         close(1)
         flush()
+        self._drop_forms(forms)
         self._prune()
 
+    def _drop_forms(self, forms: list[tuple[int, int]]) -> None:
+        """Forms go, but not one that holds the page: a headline or article, or most of the text with paragraphs among it."""
+        if not forms:
+            return
+        size = np.concatenate([[0], np.cumsum([len(t or "") for t in self.texts])])
+        prose = np.concatenate([[0], np.cumsum([t is not None and len(t) >= 80 and self.tags[p] == "p" for t, p in zip(self.texts, self.parents, strict=True)])])
+        holds = np.concatenate([[0], np.cumsum([t in ("h1", "article", "main") for t in self.tags])])
+        for first, end in forms:
+            if holds[end] == holds[first] and (2 * (size[end] - size[first]) <= size[-1] or prose[end] - prose[first] < 2):
+                self.texts[first:end] = [None] * (end - first)
+
     def _element(self, parent: int, tag: str, rest: str) -> int:
         words = [f"e:{tag}"]
         if rest:

@@ -70,3 +70,27 @@ def test_an_articles_own_header_is_judged_by_the_model(model):
     page = f"<html><body><header><p>Site of the week</p></header><article><header><h1>Report is out</h1></header><p>{prose}</p></article></body></html>"
     text = H.extract(page, model)
     assert text.startswith("Report is out\n\nThe committee") and "Site" not in text
+
+
+def test_forms_that_hold_the_page():
+    prose = "A paragraph of the page, long enough to be told from a label or a line of a menu that stands in a form. "
+    page = H.Page(f"<body><form id=aspnetForm><h1>Title</h1><p>{prose}</p><input><select><option>x</select></form><form><p>Search here</p></form></body>")
+    assert [t for t in page.texts if t] == ["Title", prose.strip()]
+    page = H.Page(f"<form><div><p>{prose}</p><p>{prose}</p></div></form><p>Short</p>")
+    assert [t for t in page.texts if t] == [prose.strip(), prose.strip(), "Short"]
+    page = H.Page(f"<form><p>Name</p><p>{prose}</p></form><p>{prose * 3}</p>")
+    assert [t for t in page.texts if t] == [(prose * 3).strip()]
+
+
+def test_headers_of_main_and_unquoted_values():
+    page = H.Page("<header><p>Site</p></header><main><header><h1>Head</h1></header><p>Text <a title=it's href=q>link</a> more <b title='a>b' x=\"c>d\">bold</b></p></main>")
+    assert [t for t in page.texts if t] == ["Head", "Text link more bold"]
+
+
+def test_parsing_is_linear():
+    import time
+
+    for source in ("<div>" * 100_000, "<div>" * 50_000 + "</span>" * 50_000, "<a <a " * 100_000, "<p>" * 50_000 + "<li>" * 50_000):
+        begin = time.process_time()
+        H.Page(source)
+        assert time.process_time() - begin < 8, source[:20]
