@@ -97,6 +97,10 @@ def _brackets(text: str, start: int) -> dict[int, int]:
     return out
 
 
+#: A plus sign that goes on with an expression on the next line; the end of a line.
+_PLUS, _BLANK = re.compile(r"[ \t]*\+"), re.compile(r"[^\S\n]*(?:\n|\Z)")
+
+
 class _Level:
     """One open bracket, or the line itself: the path of names it belongs to, the assignment that its loose values go to, the one being read, and where it closes."""
 
@@ -141,7 +145,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[str, i
             if kind == "space":
                 continue
             if kind == "line":
-                if len(levels) == 1 and not pending and not text[at:].lstrip(" \t")[:1] == "+":
+                if len(levels) == 1 and not pending and not _PLUS.match(text, at):
                     break
                 if len(levels) > 1 and level.now and (level.now[1] or level.now[2]):
                     level.now = None
@@ -161,7 +165,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[tuple[str, i
                     if bare:
                         level.now[1].append(bare)
                         at = bare[1]
-                    pending = not bare and not text[at : text.find("\n", at) + 1 or len(text)].strip() and sign.group().strip() != ":"
+                    pending = not bare and _BLANK.match(text, at) and sign.group().strip() != ":"
                     continue
                 if holder and kind == "string":
                     holder[1].append((a + quotes, at - quotes))

@@ -64,3 +64,17 @@ def test_rows(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
     assert "literal" in got.spans[4]
     assert secrets.find(docs.limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        one = secrets.pairs("{" + ", ".join(f'"k{i}": "v"' for i in range(n)) + "}")
+        other = secrets.pairs("\n".join("a = 1" for _ in range(n)))
+        assert len(one) == len(other) == n
+        return time.process_time() - begin
+
+    few, many = seconds(10_000), seconds(160_000)
+    assert many < 16 * few * 2.5 + 1
