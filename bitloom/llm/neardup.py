@@ -54,9 +54,12 @@ def lists_for(percent: int) -> int:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), two fingerprints of the set, and its smallest values ``low`` in order (as floats, which keeps order and 24 bits of each)."""
+    """doc_id, n (set size), two fingerprints of the set, and its smallest values ``low`` in order.
+
+    They are floats, which keep order and 24 bits of each; values that become equal are one value then, in every set alike.
+    """
     unsigned = lambda v: (v.cast("double") + 2.0**63).cast("float")
-    return with_sets(docs, words).select("doc_id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(3), "s").alias("k2"), F.transform(F.slice("s", 1, SKETCH), unsigned).alias("low"))
+    return with_sets(docs, words).select("doc_id", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(3), "s").alias("k2"), F.array_distinct(F.transform(F.slice("s", 1, SKETCH), unsigned)).alias("low"))
 
 
 def overlaps(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -130,8 +133,8 @@ def _pairs_of(ids: np.ndarray, n: np.ndarray, low: np.ndarray, percent: int) ->
     a, b, na, nb = low[0::2], low[1::2], n[0::2], n[1::2]
     both = np.sort(np.concatenate([a, b], 1), 1)
     equal = (both[:, 1:] == both[:, :-1]) & np.isfinite(both[:, 1:])
-    k = low.shape[1]
-    top = np.minimum(np.where(na > k, a[:, -1], np.inf), np.where(nb > k, b[:, -1], np.inf))
+    last = [x[np.arange(len(x)), np.maximum(np.isfinite(x).sum(1) - 1, 0)] for x in (a, b)]
+    top = np.minimum(*[np.where(m > np.isfinite(x).sum(1), y, np.inf) for m, x, y in ((na, a, last[0]), (nb, b, last[1]))])
     shared = equal.sum(1)
     union = ((both <= top[:, None]) & np.isfinite(both)).sum(1) - shared
     rest = np.maximum(0, 1 - union * (1 + t) / (na + nb))

@@ -91,3 +91,21 @@ def test_overlaps_count_shared_values():
     got = neardup.overlaps(np.concatenate(rows), ends)
     assert all(got[i, j] == len(np.intersect1d(rows[i], rows[j])) for i in range(17) for j in range(17) if i != j)
     assert neardup.overlaps(np.zeros(0, np.int64), np.zeros(3, np.int64)).tolist() == [[0, 0], [0, 0]]
+
+
+def test_equal_floats_lose_no_link():
+    """Values that become equal as 24-bit floats are one value on both sides: pairs at the very threshold are still seen, in lists of two and of more."""
+    rng = np.random.default_rng(7)
+    for trial in range(300):
+        shared, own = rng.integers(0, 1 << 20, 100), rng.integers(0, 1 << 20, 25)
+        other = rng.integers(0, 1 << 20, 0)
+        sets = [np.unique(np.concatenate([shared, own]).astype(np.float32)), np.unique(np.concatenate([shared, other]).astype(np.float32))]
+        if trial % 3:  # some values of one document become equal
+            sets = [np.unique(np.where(s < s[2], s[2], s)) for s in sets]
+        n = np.array([125, 100])
+        flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        assert neardup._may_be_similar(n, flat, ends, 80)[0, 1]
+        low = np.full((2, neardup.SKETCH), np.inf, np.float32)
+        for i, s in enumerate(sets):
+            low[i, : len(s)] = s[: neardup.SKETCH]
+        assert neardup._pairs_of(np.arange(2), n, low, 80)[0]
