@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.session import small, written
+
 
 def stationary(p: np.ndarray) -> np.ndarray:
     """Long-run share of each state of a transition matrix."""
@@ -56,6 +58,39 @@ def entropy_rate_of(model: DataFrame, alphabet: list[str]) -> DataFrame:
     return model.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "bits_per_symbol double, mean_row_bits double")
 
 
+def entropy_rates(models: DataFrame, alphabet: list[str], keys: list[str], tolerance: float = 1e-12, steps: int = 4, most: int = 2000) -> DataFrame:
+    """(keys, contexts, bits_per_symbol, mean_row_bits) of each model in ``models`` (keys, ctx, sym, p), whose contexts may be of any length.
+
+    The long-run share of each context is found by walking: shares move along the edges from a context to that which follows it, ``steps`` moves to a written
+    table, until no share moves by more than ``tolerance`` (an error after ``most`` moves). A tenth stays where it is, so models with a period settle
+    too. Contexts that are reached without a row of their own have uniform chances. The walk begins with equal shares of the contexts that have rows, which tells
+    only for models that fall into several parts. Rows are dealt by context: nothing holds a whole model.
+    """
+    uniform = F.array(*[F.lit(1.0 / len(alphabet))] * len(alphabet))
+    chance = [F.coalesce(F.max(F.when(F.col("sym") == a, F.col("p"))), F.lit(0.0)) for a in alphabet]
+    rows = written(models.groupBy(*keys, "ctx").agg(F.array(*chance).alias("chances")))
+    rows = small(rows, 16 * len(alphabet) + 64)
+    share = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, "ctx", (1 / F.col("n")).alias("share"))
+    given = F.coalesce("chances", uniform)
+    for done in range(0, most, steps):
+        last = written(share)
+        share = last
+        for _ in range(steps):
+            goes = [F.struct(F.expr(f"substring(concat(ctx, '{a}'), 2)").alias("to"), (0.9 * F.col("share") * given[i]).alias("part")) for i, a in enumerate(alphabet)]
+            stays = F.struct(F.col("ctx").alias("to"), (0.1 * F.col("share")).alias("part"))
+            moved = share.join(rows, [*keys, "ctx"], "left").select(*keys, F.explode(F.array(stays, *goes)).alias("m")).filter("m.part > 0")
+            share = moved.groupBy(*keys, F.col("m.to").alias("ctx")).agg(F.sum("m.part").alias("share"))
+        share = written(share)
+        off = share.join(last.withColumnRenamed("share", "old"), [*keys, "ctx"], "left").agg(F.max(F.abs(F.col("share") - F.coalesce("old", F.lit(0.0)))).alias("off"))
+        if (off.first().off or 0.0) <= tolerance:
+            break
+        if done + steps >= most:
+            raise ValueError(f"shares of contexts still move after {most} moves")
+    cost = F.aggregate(given, F.lit(0.0), lambda x, p: x - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    each = share.join(rows, [*keys, "ctx"], "left").withColumn("bits", cost)
+    return each.groupBy(*keys).agg(F.count("*").alias("contexts"), F.sum(F.col("share") * F.col("bits")).alias("bits_per_symbol"), F.avg("bits").alias("mean_row_bits"))
+
+
 def random_model(order: int, size: int = 4, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng([seed, order + 1])
     return np.full((1, size), 1.0 / size) if order < 0 else rng.dirichlet(np.ones(size), size**order)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from bitloom.plans import catalog, copies, formats, placed, values  # noqa: F401
+from bitloom.plans import catalog, copies, formats, placed, related, values  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
