@@ -58,7 +58,7 @@ def entropy_rate_of(model: DataFrame, alphabet: list[str]) -> DataFrame:
     return model.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "bits_per_symbol double, mean_row_bits double")
 
 
-def entropy_rates(models: DataFrame, alphabet: list[str], keys: list[str], tolerance: float = 1e-12, steps: int = 4, most: int = 2000) -> DataFrame:
+def entropy_rates(models: DataFrame, alphabet: list[str], keys: list[str], tolerance: float = 1e-10, steps: int = 16, most: int = 2000) -> DataFrame:
     """(keys, contexts, bits_per_symbol, mean_row_bits) of each model in ``models`` (keys, ctx, sym, p), whose contexts may be of any length.
 
     The long-run share of each context is found by walking: shares move along the edges from a context to that which follows it, ``steps`` moves to a written
@@ -70,11 +70,10 @@ def entropy_rates(models: DataFrame, alphabet: list[str], keys: list[str], toler
     chance = [F.coalesce(F.max(F.when(F.col("sym") == a, F.col("p"))), F.lit(0.0)) for a in alphabet]
     rows = written(models.groupBy(*keys, "ctx").agg(F.array(*chance).alias("chances")))
     rows = small(rows, 16 * len(alphabet) + 64)
-    share = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, "ctx", (1 / F.col("n")).alias("share"))
+    share = written(rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, "ctx", (1 / F.col("n")).alias("share")))
     given = F.coalesce("chances", uniform)
     for done in range(0, most, steps):
-        last = written(share)
-        share = last
+        last = share
         for _ in range(steps):
             goes = [F.struct(F.expr(f"substring(concat(ctx, '{a}'), 2)").alias("to"), (0.9 * F.col("share") * given[i]).alias("part")) for i, a in enumerate(alphabet)]
             stays = F.struct(F.col("ctx").alias("to"), (0.1 * F.col("share")).alias("part"))
