@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bitloom.operators import align, edits, generate, markov, sequences
 from bitloom.plans.catalog import SEQS, met_pairs, query, seqs
-from bitloom.session import shared_folder, table
+from bitloom.session import shared_folder, table, written
 from bitloom.streaming import online
 
 LIMIT = 100
@@ -23,8 +23,9 @@ def near_copy_edits(spark, sf_dir):
     """DNA letters of each document against the first document with the same greatest 20-mer: edits up to a limit, null above. A document meets one other."""
     # the texts stay out of the joins until it is known which documents meet
     d = seqs(spark, sf_dir)
-    g = d.select("doc_id", F.array_max(sequences.kmers(F.col("seq"), 20)).alias("gram")).filter("gram IS NOT NULL")
-    first = g.groupBy("gram").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("gram", "first_id")
+    g = written(d.select("doc_id", F.array_max(sequences.kmers(F.col("seq"), 20)).alias("gram")).filter("gram IS NOT NULL"))
+    # a table of its own, so that a gram of very many documents is a skewed side that adaptive execution splits
+    first = written(g.groupBy("gram").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("gram", "first_id"))
     met = g.join(first, "gram").filter("doc_id <> first_id").select("doc_id", "first_id")
     pairs = met.join(d.withColumnRenamed("seq", "seq_a"), "doc_id").join(d.select(F.col("doc_id").alias("first_id"), F.col("seq").alias("seq_b")), "first_id")
     return edits.edit_pairs(pairs, LIMIT).select("doc_id", "first_id", "distance")
