@@ -1,17 +1,17 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination: item-sized windows, exact weighted-shingle similarity, SimHash distances.
 
 Texts are sequences of lower-cased runs of letters and digits. A window of a document has as many words as the
-benchmark item that it is compared with. Its 64-bit SimHash is taken over its words, each weighing as often
-as it occurs. Fingerprints within ``RADIUS`` bits of an item's are found through ``BLOCKS`` = ``RADIUS`` + 1
-blocks of bits: two fingerprints that differ in at most RADIUS bits agree in one block at least, so equality
-of a block's bits loses none. The pairs so found are verified exactly: the similarity
-is the sum of smaller over the sum of larger shingle weights, a shingle's weight being how often it occurs.
-
-Of all windows only those are fingerprinted that begin where a run of shingles shared with an item begins, and they meet that item alone:
-a window without a shared shingle has similarity 0, and sliding one along to the first shared shingle of its run
-doesn't lower its similarity. So pairs are as many as shared runs. Blocks of 4 bits by themselves wouldn't do: nearly two
-in three pairs of unlike fingerprints agree in one of 16. All is DataFrame expressions. The benchmark's shingles meet the documents as
-broadcast tables, in as many blocks of bounded size as it needs; documents aren't shuffled.
+benchmark item that it is compared with. The similarity is the sum of smaller over the sum of larger shingle weights, a
+shingle's weight being how often it occurs.
+
+Candidates come from shingles, without loss: an item of n shingles that reaches a similarity of p percent shares at least p * n / 100 of
+them, so every window like it holds one of any n - p * n / 100 + 1 of them, and the rarest in the benchmark are taken. A shingle that many items
+share finds an item only where it has no rarer ones. Where one is found, all windows around it are compared with the item.
+The 64-bit SimHash of the best window, over its words, each weighing as often as it occurs, gives the distance in bits that is reported.
+
+SimHash doesn't choose the windows, since it can't without loss: no radius is a bound for a similarity, and where one keeps nearly all (15 bits),
+blocks of bits thin out next to nothing, as nearly two in three pairs of unlike fingerprints agree in one of 16 blocks of four. All is
+DataFrame expressions. The benchmark's shingles meet the documents as broadcast tables of bounded size; of documents only those found are shuffled, in tiles.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import BROADCAST_BYTES, broadcast_if_small, let, materialize, numbered
+from bitloom.llm.common import broadcast_if_small, let, materialize, numbered
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
-#: Bits that fingerprints may differ in; blocks that index them.
-RADIUS, BLOCKS = 15, 16
-#: Shingles of the benchmark that one broadcast table holds: within the size at which other tables are broadcast.
-BLOCK_ROWS = BROADCAST_BYTES // 48
+#: Shingles of the benchmark that one broadcast table holds (some 64 MB): 100,000 items of 200 words have 4 million.
+BLOCK_ROWS = 1 << 20
+#: Words of a tile, in which documents are shuffled.
+TILE = 512
 
 _LANES = 32  # longs with two 32-bit counters each
 
@@ -83,16 +83,51 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, kinds: list[int]) -> DataFrame:
-    """(doc_id, p, k, h, before): each shingle of k words, for all ``kinds``, with its place and the shingle before it, in one pass over the texts."""
+    """(doc_id, t, p, h): each shingle of k words, for all ``kinds``, with its place, in one pass over the texts."""
+    placed = lambda w, k: F.transform(_shingles(w, k), lambda h, p: F.struct(p.alias("p"), h.alias("h")))
+    every = let(words(F.col("text")), lambda w: F.concat(*[placed(w, k) for k in kinds]))
+    return docs.select("doc_id", "t", F.explode(every).alias("s")).select("doc_id", "t", "s.*")
 
-    def placed(w: Column, k: int) -> Column:
-        def rows(sh: Column) -> Column:
-            return F.transform(sh, lambda h, p: F.struct(p.alias("p"), F.lit(k).alias("k"), h.alias("h"), F.coalesce(F.get(sh, p - 1), F.lit(0).cast("long")).alias("before")))
 
-        return let(_shingles(w, k), rows)
+def _probes(known: DataFrame, percent: int) -> DataFrame:
+    """(h, u, m): of each item so many shingles, the rarest of the benchmark, that every window like it holds one of them."""
+    rows = known.select("u", "m", "n", F.explode("sh").alias("h"))
+    held = rows.select("u", "h").distinct().groupBy("h").agg(F.count("*").alias("items"))
+    place = F.row_number().over(Window.partitionBy("u").orderBy("items", "h"))
+    ranked = rows.join(held, "h").withColumn("place", place)
+    return ranked.filter(F.col("place") <= F.expr(f"({100 - percent} * n) div 100 + 1")).select("h", "u", "m").distinct()
+
+
+def _regions(given: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` with the words lo.. of their document, up to three items' lengths of them; documents go through the shuffle in tiles."""
+    held = materialize(hits.select(F.col("doc_id").alias("id"), F.col("t").alias("u_t")).distinct(), "hit-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u_t"))
+    texts = given.join(broadcast_if_small(held, 64), same, "left_semi")
+    cut = let(words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / TILE).cast("int")), lambda i: F.struct(i.alias("i"), F.slice(w, i * TILE + 1, TILE).alias("w"))))
+    tiles = texts.select(F.col("doc_id").alias("id"), F.col("t").alias("u_t"), F.explode(cut).alias("tile"))
+    asked = hits.select("*", F.explode(F.sequence(F.expr(f"lo div {TILE}"), F.expr(f"(hi - 1) div {TILE}"))).alias("at"))
+    met = asked.join(tiles, same & (F.col("at") == F.col("tile.i")))
+    parts = met.groupBy(*hits.columns).agg(F.sort_array(F.collect_set("tile")).alias("tiles"))
+    w = F.slice(F.flatten(F.transform("tiles", lambda x: x["w"])), F.expr(f"cast(lo % {TILE} + 1 as int)"), F.expr("cast(hi - lo as int)"))
+    return parts.select(*hits.columns, w.alias("w"))
 
-    every = let(words(F.col("text")), lambda w: F.concat(*[placed(w, k) for k in kinds]))
-    return docs.select("doc_id", F.explode(every).alias("s")).select("doc_id", "s.*")
+
+def _best(own: Column, percent: int) -> Column:
+    """(similarity, -place) of the first best window of ``n`` shingles among ``own``; null if none has ``percent``. Windows
+    that start with a shared shingle are enough: sliding another one along to the next shared shingle doesn't lower its similarity."""
+    window = lambda x, i: F.slice(x, i + 1, F.col("n"))
+
+    def enough(flags: Column, i: Column) -> Column:  # shared shingles, however often they occur, are no fewer than counts shared
+        shared = F.aggregate(window(flags, i), F.lit(0), lambda a, x: a + x)
+        return (100 + percent) * shared >= percent * (F.size(window(flags, i)) + F.col("n"))
+
+    def best(x: Column) -> Column:
+        flags = F.transform(x, lambda h: F.array_contains("sh", h).cast("int"))
+        starts = let(flags, lambda f: F.array_compact(F.transform(f, lambda y, i: F.when((y == 1) & (i < F.col("last")) & enough(f, i), i))))
+        scored = F.transform(starts, lambda i: F.struct(similarity(window(x, i), F.col("sh")).alias("similarity"), (-i).alias("back")))
+        return F.array_max(F.filter(scored, lambda y: y["similarity"] >= percent / 100))
+
+    return let(own, best)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -102,44 +137,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Da
     match nothing, nor do items without words; items of fewer than five words are one shingle. Texts of any length are read whole. Repeated rows of
     documents or items give one row for each pair of ids; a null id counts as an id. Empty tables give an empty result; other columns are ignored.
     """
-    items = materialize(items_of(benchmark.select("item_id", "text")).select("*", simhash(F.col("w")).alias("fp")), "benchmark-items")
+    prints = [F.xxhash64("w").alias("u"), F.size("sh").alias("n"), simhash(F.col("w")).alias("fp")]
+    items = materialize(items_of(benchmark.select("item_id", "text")).select("*", *prints), "benchmark-items")
     kinds = sorted(r.k for r in items.select("k").distinct().collect())  # at most WORDS
     if not kinds:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, distance int, similarity double")
-    # Each shingle of an item with the one before it; the table is dealt into blocks of bounded size.
-    shingled = items.select("item_id", "m", "k", F.posexplode("sh").alias("q", "h"), "sh").select("item_id", "m", "k", "h", F.coalesce(F.get("sh", F.col("q") - 1), F.lit(0).cast("long")).alias("prev"))
-    shingled = materialize(shingled.distinct(), "benchmark-shingles")
-    blocks = -(-max(1, shingled.count()) // BLOCK_ROWS)
-    given = docs.select("doc_id", "text").filter("text is not null")
+    known = items.dropDuplicates(["u"]).drop("item_id", "w")  # equal items are compared once
+    probes = materialize(_probes(known, percent), "benchmark-probes")
+    # The table is dealt into blocks by shingle and item, so that a shingle of many items is split too.
+    blocks = -(-max(1, probes.count()) // BLOCK_ROWS)
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).filter("text is not null")
     hits = []
     for j in range(blocks):
-        part = shingled.filter(F.pmod("h", F.lit(blocks)) == j).select("item_id", "h", "k", "m", "prev")
-        hits.append(_placed(given, kinds).join(F.broadcast(part), ["k", "h"]).filter("before <> prev or p = 0").select("doc_id", "item_id", F.col("p").alias("start"), "m", "k"))
-    hits = materialize(reduce(DataFrame.union, hits).distinct(), "hits", "lz4")
-    # A document's words are made once for all windows of it; a document meets no more places than it has words, times the items that share one.
-    held = materialize(hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "start", "m", "k")).alias("at")), "hit-documents")
-    rows = given.join(broadcast_if_small(held, 64), F.col("doc_id").eqNullSafe(F.col("id")))
-    cut = let(words(F.col("text")), lambda w: F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), x["m"].alias("m"), x["k"].alias("k"), F.slice(w, x["start"] + 1, x["m"]).alias("w"))))
-    windows = rows.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
-    printed = windows.select("*", simhash(F.col("w")).alias("print")).select("doc_id", "item_id", "start", "m", "print", _own_shingles(F.col("w"), F.col("k")).alias("own"))
-    # A window meets the items whose shingle it starts with, and of these those that agree with it in a block of bits.
+        part = probes.filter(F.pmod(F.xxhash64("h", "u"), F.lit(blocks)) == j)
+        hits.append(_placed(given, kinds).join(F.broadcast(part), "h").select("doc_id", "t", "u", "m", F.expr("cast(p as bigint) div m").alias("b")))
+    # Windows that hold a place of the b-th stretch of m words start after (b - 1) * m and before (b + 1) * m.
+    found = reduce(DataFrame.union, hits).distinct().select("doc_id", "t", "u", F.expr("greatest((b - 1) * m, 0L)").alias("lo"), F.expr("(b + 1) * m").alias("to"), F.expr("(b + 2) * m").alias("hi"))
+    regions = _regions(given, materialize(found, "hits", "lz4"))
     mean = items.agg(F.avg("m")).first()[0] or 0.0
-    known = items.select(F.col("item_id").alias("item"), F.col("m").alias("size"), "fp", "sh").distinct()
-    differs = F.col("print").bitwiseXOR(F.col("fp"))
-    pairs = printed.join(broadcast_if_small(known, 96 + 8 * int(mean)), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("m") == F.col("size")))
-    near = pairs.filter(F.array_contains(_blocks(differs), 0) & (F.bit_count(differs) <= RADIUS))
-    verified = near.select("doc_id", "item_id", "start", "m", F.bit_count(differs).alias("distance"), similarity(F.col("own"), F.col("sh")).alias("similarity")).filter(F.col("similarity") >= percent / 100)
+    pairs = regions.join(broadcast_if_small(known, 96 + 8 * int(mean)), "u").withColumn("last", F.expr("to - lo"))
+    scored = pairs.select("doc_id", "u", "lo", "m", "w", "fp", _best(_own_shingles(F.col("w"), F.col("k")), percent).alias("x")).filter("x is not null")
+    at = (-F.col("x.back")).cast("int")
+    differs = simhash(F.slice("w", at + 1, F.col("m"))).bitwiseXOR(F.col("fp"))
+    verified = scored.select("doc_id", "u", (F.col("lo") + at).cast("int").alias("start"), "m", F.bit_count(differs).alias("distance"), "x.similarity")
+    ids = items.select("item_id", "u").distinct()
     best = F.max_by(F.struct("start", "m", "distance", "similarity"), F.struct("similarity", -F.col("start"), -F.col("distance")))
-    out = verified.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    out = verified.join(broadcast_if_small(ids, 32), "u").groupBy("doc_id", "item_id").agg(best.alias("best"))
     return out.select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.m").alias("n_words"), F.col("best.distance").alias("distance"), F.col("best.similarity").alias("similarity"))
 
 
-def _blocks(fp: Column) -> Column:
-    """The fingerprint's blocks of bits in order."""
-    width = 64 // BLOCKS
-    return F.array(*[F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1)).cast("int") for i in range(BLOCKS)])
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged. Rows with a repeated id or none are judged one by one."""
     node = f"__node_{uuid.uuid4().hex[:12]}"
