@@ -2,7 +2,8 @@
 
 Each source is a queue of documents. A window of ``window`` tokens takes from each queue its quota, the target
 share of the window; what a share leaves as a fraction of a token is its deficit and is carried to the next
-window, so after any number of windows every source is within one token of its target. In closed form a
+window, so after any number of windows every source is within one token of its target. A window is a sequence, so each sequence holds the mixture, to a token
+for each source. Larger windows cut documents less often. In closed form a
 queue with share p has given ``floor(p * window * j)`` tokens after window j. So the place of any token
 follows from its place in its queue alone: there is no serial pass, and deficits carry over between
 partitions as over windows. The windows' tokens, one after another, are cut into sequences; only the last
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import materialize, slices
 
 SEQUENCE = 2048
-#: Tokens of a window over which the mixture holds.
-WINDOW = 16 * SEQUENCE
+#: Tokens of a window over which the mixture holds: every sequence is one.
+WINDOW = SEQUENCE
 #: The id that ends each document.
 END_ID = 1
 #: Tokens of a bucket, about.
@@ -141,8 +142,7 @@ class Schedule:
             while self._given(share, take, j) > at:
                 j -= 1
             low, high = self._given(share, take, j), self._given(share, take, j + 1)
-            place = begin + sum(self._given(s, t, j) for _, s, _, t in part)
-            place += sum(self._given(s, t, j + 1) - self._given(s, t, j) for k, s, _, t in part if k < source)
+            place = begin + sum(self._given(s, t, j + 1 if k < source else j) for k, s, _, t in part)
             length = min(n, high - at)
             yield place + at - low, length
             first, n = first + length, n - length
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
     sized = F.lit(1)
     for name, n in totals.items():
         sized = F.when(F.col("source") == name, 1 + n // bucket).otherwise(sized) if 1 + n // bucket > 1 else sized
-    dealt = tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), sized.cast("long"))) if parts > 1 else tokens.withColumn("bucket", F.lit(0).cast("long"))
+    dealt = tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), sized.cast("long"))) if parts > 1 else tokens.withColumn("bucket", F.lit(0).cast("long"))
     # Sums over buckets (one small row each) give where each bucket begins in its queue.
     sums = dealt.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
     begins = sums.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("begin"))

@@ -45,6 +45,18 @@ def test_round_trip(spark, targets, bucket):
             assert all(abs(part.get(s, 0) - 1024 * n / total) <= len(share) + 2 for s, n in share.items())
 
 
+def test_every_sequence_holds_the_mixture(spark):
+    rng = random.Random(3)
+    kinds = ["a"] * 8 + ["b"] * 6 + ["c"] * 4 + ["d"] * 2
+    rows = [(None if i % 3 else i, " ".join(rng.choice(["the", "Cat", "12", "naïve"]) for _ in range(rng.randint(0, 400))), rng.choice(kinds)) for i in range(700)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), bucket=5000).toPandas()
+    total, whole = got.groupby("source").length.sum(), got.length.sum()
+    parts = got.groupby(["sequence_id", "source"]).length.sum().unstack(fill_value=0)
+    assert len(parts) > 50 and len(total) == 4
+    for source, n in total.items():
+        assert (abs(parts[source].iloc[:-2] - packing.SEQUENCE * n / whole) <= len(total) + 1).all()
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(5, "same text", "a")] * 3, "doc_id long, text string, source string")
     got = packing.pack(docs).toPandas()
