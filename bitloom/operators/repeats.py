@@ -85,16 +85,18 @@ def bands(hits: DataFrame, width: int) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """(key, start, end, n): touching and overlapping ranges joined, with the number of ranges in each."""
+    """(key, start, end, n): touching and overlapping ranges joined, with the number of ranges in each; the key may have any name but these three."""
+    df = df.select(key, F.col(start).alias("__start"), F.col(end).alias("__end"))
+    start, end = "__start", "__end"
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    island = df.withColumn("new", new).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(key, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("island")
+    island = df.withColumn("__new", new).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(key, "__island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n")).drop("__island")
 
 
 def cell_stats(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
     """(key, lists, hits, cells, wasted): merged ranges, the ranges they came from, the cells that they cover, and how often cells were covered again."""
     touched = df.groupBy(key).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias("touched"))
-    merged = merge_intervals(df, key, start, end).groupBy(key).agg(F.count("*").alias("lists"), F.sum("n").alias("hits"), F.sum(F.col(end) - F.col(start)).cast("long").alias("cells"))
+    merged = merge_intervals(df, key, start, end).groupBy(key).agg(F.count("*").alias("lists"), F.sum("n").alias("hits"), F.sum(F.col("end") - F.col("start")).cast("long").alias("cells"))
     return merged.join(touched, key).select(key, "lists", "hits", "cells", (F.col("touched") - F.col("cells")).alias("wasted"))

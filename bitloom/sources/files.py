@@ -26,10 +26,10 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq): records split at lines that begin with ``>``, without reading a file whole."""
-    records = spark.read.option("lineSep", "\n>").text(path).filter(F.trim("value") != "")
-    body = F.regexp_replace("value", r"^>", "")
-    return records.select(F.trim(F.split(body, "\n", 2)[0]).alias("name"), _clean(F.coalesce(F.get(F.split(body, "\n", 2), F.lit(1)), F.lit(""))).alias("seq"))
+    """(name, seq): records split at lines that begin with ``>``, without reading a file whole; lines may end with a carriage return."""
+    records = spark.read.option("lineSep", "\n>").text(path).filter(F.col("value").rlike(r"\S"))
+    lines = F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n", 2)
+    return records.select(F.trim(F.rtrim(lines[0], F.lit("\r"))).alias("name"), _clean(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))).alias("seq"))
 
 
 def read_fasta_letters(spark: SparkSession, path: str) -> DataFrame:

@@ -21,6 +21,12 @@ def test_sequence_formats(spark, tmp_path):
     assert got == {"acgtacg", "tt", "", "acgtacgtaa", "acgtgg", "acca"}
 
 
+def test_fasta_with_carriage_returns(spark, tmp_path):
+    (tmp_path / "dos.fa").write_bytes(b"\r\n>one x \r\nACG\r\nTT\r\n>two\r\n>three")
+    got = {(r.name, r.seq) for r in files.read_fasta(spark, str(tmp_path / "dos.fa")).collect()}
+    assert got == {("one x", "acgtt"), ("two", ""), ("three", "")}
+
+
 def test_tables_and_round_trips(spark, tmp_path):
     (tmp_path / "p.txt").write_text("# note\nMatch=0.5\n\nnoise\nmatch=0.7,cut=4\n")
     assert {tuple(r) for r in files.read_params(spark, f"{tmp_path}/p.txt").collect()} == {("match", 0.5), ("match", 0.7), ("cut", 4.0)}

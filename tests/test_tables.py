@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from bitloom.operators import tables
+from bitloom.operators import repeats, tables
 from bitloom.session import shared_folder
 
 
@@ -59,3 +59,11 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Cluster())
     assert shared_folder(spark) != shared_folder(spark)
+
+
+@pytest.mark.parametrize("key", ["new", "island", "user"])
+def test_merged_intervals_of_any_names(spark, key):
+    rows = [(1, 0, 4), (1, 4, 6), (1, 3, 5), (1, 9, 10), (2, 5, 7)]
+    df = spark.createDataFrame(rows, f"{key} int, low int, high int")
+    assert sorted(map(tuple, repeats.merge_intervals(df, key, "low", "high").collect())) == [(1, 0, 6, 3), (1, 9, 10, 1), (2, 5, 7, 1)]
+    assert sorted(map(tuple, repeats.cell_stats(df, key, "low", "high").collect())) == [(1, 2, 4, 7, 2), (2, 1, 1, 2, 0)]
