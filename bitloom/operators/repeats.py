@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.operators.sequences import gram_runs, kmers, let, reverse_complement, run_sizes, run_starts
+from bitloom.session import small
 
 
 def positions(df: DataFrame, key: str, k: int, seq: str = "seq") -> DataFrame:
@@ -68,14 +69,24 @@ def shared_kmers(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq
     return met.groupBy(key_a, key_b).agg(F.count("*").alias("n_kmers"), F.sum(F.col("na") * F.col("nb")).alias("n_pairs"))
 
 
-def met_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq: str = "seq") -> DataFrame:
-    """(key_a, key_b): each sequence of ``a`` with those of ``b`` that share one k-mer with it or, if it is shorter than k, hold all of it."""
+def met_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, seq: str = "seq", few: int = 256) -> DataFrame:
+    """(key_a, key_b): each sequence of ``a`` with those of ``b`` that share one k-mer with it or, if it is shorter than k, hold all of it.
+
+    The k-mers of ``a``, if they are few, go to the places of ``b``, so that those of ``b`` are never shuffled. Up to ``few`` shorter sequences are sought in each
+    sequence of ``b`` in one pass; more of them meet its pieces of their lengths.
+    """
     size = F.char_length(seq)
-    met = shared_kmers(a.filter(size >= k), b, key_a, key_b, k, seq).select(key_a, key_b)
+    grams = lambda df, key, n: df.filter(F.char_length(seq) >= n).select(key, F.explode(kmers(F.col(seq), n)).alias("gram"))
+    own = small(grams(a, key_a, k).distinct(), 64)
+    met = grams(b, key_b, k).join(own, "gram").select(key_a, key_b).distinct()
     short = a.filter((size > 0) & (size < k)).select(key_a, F.col(seq).alias("gram"))
-    for r in short.select(F.char_length("gram").alias("n")).distinct().collect():  # fewer than k lengths
-        grams = b.select(key_b, F.explode(F.array_distinct(kmers(F.col(seq), r.n))).alias("gram"))
-        met = met.union(short.filter(F.char_length("gram") == r.n).join(grams, "gram").select(key_a, key_b))
+    lengths = short.groupBy(F.char_length("gram").alias("n")).count().collect()  # fewer than k lengths
+    if sum(r["count"] for r in lengths) <= few:
+        held = F.broadcast(short)
+        return met.union(b.select(key_b, seq).join(held, F.contains(F.col(seq), F.col("gram"))).select(key_a, key_b).distinct()) if lengths else met
+    for r in lengths:
+        held = small(short.filter(F.char_length("gram") == r.n), 64)
+        met = met.union(grams(b, key_b, r.n).join(held, "gram").select(key_a, key_b).distinct())
     return met
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from bitloom.operators import align, generate
+from bitloom.operators import align, generate, repeats
 from bitloom.plans import catalog
 
 
@@ -56,3 +56,17 @@ def test_fading_bits_reads_events_as_a_stream(spark, sf):
         plain = generate.fading_bits(spark.createDataFrame([(k or 0, q) for k, q in strings], "k long, seq string"), "k", order, 16, alphabet="cepsv").collect()
         assert {(r.k or 0, r.length, round(r.bits, 6)) for r in out} == {(r.k, r.length, round(r.bits, 6)) for r in plain}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pairs_that_meet_need_no_pass_for_each_length(spark):
+    rng = random.Random(6)
+    items = [(i, letters(rng, n)) for i, n in enumerate([1, 3, 5, 9, 12, 12, 19, 20, 21, 40, 60, 0])]
+    docs = [(100 + i, letters(rng, 30) + items[i][1] + letters(rng, 30)) for i in range(12)] + [(200, None), (201, ""), (202, items[9][1][5:26])]
+    want = {(i, d) for i, s in items for d, t in docs if s and t and (s in t if len(s) < 20 else any(s[j : j + 20] in t for j in range(len(s) - 19)))}
+    a, b = spark.createDataFrame(items, "item_id long, seq string"), spark.createDataFrame(docs, "doc_id long, seq string")
+    for few in (256, 2):
+        got = repeats.met_pairs(a, b, "item_id", "doc_id", 20, few=few)
+        rows = [(r.item_id, r.doc_id) for r in got.collect()]
+        assert sorted(rows) == sorted(want)
+        passes = got._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+        assert passes == 2 if few == 256 else passes > 6  # the k-mers of either side; then those of each length
