@@ -71,8 +71,8 @@ def _ends(path: list[tuple[int, int, int]], start_a: int, start_b: int) -> tuple
     return path[0][1] + start_a, path[-1][1] + start_a, path[0][2] + start_b, path[-1][2] + start_b
 
 
-def _kernel(keys: list[str], total: bool, alphabet: str):
-    """Scores the windows of a batch under the parameters in their columns."""
+def _kernel(keys: list[str], total: bool, alphabet: str, counted: bool):
+    """Scores the windows of a batch under the parameters in their columns; the counts are 0, as are the places, unless ``counted``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,12 +82,12 @@ def _kernel(keys: list[str], total: bool, alphabet: str):
                 out[c] = 0.0
             for part, rows, batch in _batches(pdf, alphabet):
                 pair, cost = ({c: rows[f"p_{c}"].to_numpy() for c in names} for names in (align.PAIR, align.NAMES))
-                odds, found, ways = align.odds_of(batch, pair, cost, True, total)
+                odds, found, ways = align.odds_of(batch, pair, cost, True, total, counted)
                 at = out.index[part]
                 out.loc[at, "odds"] = odds
-                for c in COUNTS:
+                for c in COUNTS if counted else ():
                     out.loc[at, c] = found[c]
-                if not total:
+                if counted and not total:
                     ends = np.array([_ends(*x) for x in zip(ways, rows.start_a, rows.start_b, strict=True)], float)
                     for i, c in enumerate(PLACES):
                         out.loc[at, c] = ends[:, i]
@@ -101,12 +101,12 @@ def _tasks(wide: DataFrame) -> int:
     return max(1, min(4 * wide.sparkSession.sparkContext.defaultParallelism, wide.count()))
 
 
-def _scored(wide: DataFrame, params: DataFrame, keys: list[str], total: bool, alphabet: str, tasks: int) -> DataFrame:
+def _scored(wide: DataFrame, params: DataFrame, keys: list[str], total: bool, alphabet: str, tasks: int, counted: bool = True) -> DataFrame:
     """(keys, odds, counts, places) of each pair that has a row in ``params``."""
     fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema if f.name in keys), "tile_a int, tile_b int, odds double", *(f"{c} double" for c in (*COUNTS, *PLACES))])
     ready = wide.join(params, keys).repartition(tasks, *keys, "tile_a", "tile_b")
     order = [*keys, "tile_a", "tile_b"]
-    each = written(ready.mapInPandas(_kernel(keys, total, alphabet), ", ".join(_in_order(fields, order))))
+    each = written(ready.mapInPandas(_kernel(keys, total, alphabet, counted), ", ".join(_in_order(fields, order))))
     if not total:
         best = F.max(F.struct("odds", (-F.col("tile_a")).alias("x"), (-F.col("tile_b")).alias("y"), *COUNTS, *PLACES)).alias("s")
         return each.groupBy(*keys).agg(best).select(*keys, "s.odds", *[f"s.{c}" for c in (*COUNTS, *PLACES)])
@@ -131,7 +131,7 @@ def window_odds(wide: DataFrame, keys: list[str], total: bool = True, states: in
     """(keys, log_odds) of local alignments under the start parameters, before any cost of stating them."""
     wide = written(wide)
     params = small(written(wide.select(*keys).distinct().select(*keys, *_start(states))), 128)
-    return _scored(wide, params, keys, total, alphabet, _tasks(wide)).select(*keys, F.col("odds").alias("log_odds"))
+    return _scored(wide, params, keys, total, alphabet, _tasks(wide), counted=False).select(*keys, F.col("odds").alias("log_odds"))
 
 
 def score_windows(wide: DataFrame, keys: list[str], total: bool = True, states: int = 3, max_rounds: int = -1, keep: str = "best", alphabet: str = "acgt") -> DataFrame:
