@@ -170,3 +170,15 @@ def test_unknown_machine():
     with pytest.raises(ValueError, match="unknown machine"):
         symbol_bits("acgt", forward=("2state",))
     assert COSTS["nostart"] < COSTS["start"] and AFFINE["cont_fromI"] > 0
+
+
+def test_many_sequences_at_once_cost_what_each_does():
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice("cepsv") for _ in range(n)) for n in (0, 1, 2, 30, 31, 66, 90, 200)] + ["cep" * 60, "c" * 150]
+    for options in ({}, {"forward": ("3state", "1state")}, {"forward": ()}, {"order": 1}):
+        skips = [len(s) // 2 for s in seqs]
+        got = C.passes_all(seqs, skips, alphabet="cepsv", reverse=(), **options)
+        for s, n, (bits, made) in zip(seqs, skips, got, strict=True):
+            want, passes, _ = C.passes_of(s, alphabet="cepsv", reverse=(), skip=n, **options)
+            assert made == passes and bits == pytest.approx(want, abs=1e-9)
+    assert len(C.passes_all(["acgt" * 5], [3])[0][0]) == 17  # with reverse machines one by one
