@@ -39,6 +39,11 @@ class Fixed:
     def costs(self) -> np.ndarray:
         return np.full(self.size, np.log2(self.size)) if self.last is None else self.bits[self.last]
 
+    def table(self, codes: np.ndarray) -> np.ndarray:
+        """Costs at all places of a sequence, each by the symbol before it."""
+        first = np.full((min(1, len(codes)), self.size), np.log2(self.size))
+        return np.concatenate([first, self.bits[codes[:-1]]])
+
     def update(self, symbol: int) -> None:
         self.last = symbol
 
@@ -53,6 +58,10 @@ class Adaptive:
         seen = self.counts.get(self.past) if self.order >= 0 and len(self.past) == self.order else None
         return np.full(self.size, np.log2(self.size)) if seen is None else np.log2(seen.sum()) - np.log2(seen)
 
+    def table(self, codes: np.ndarray) -> np.ndarray | None:
+        """Costs at all places of a sequence, if nothing is learned."""
+        return np.full((len(codes), self.size), np.log2(self.size)) if self.order < 0 else None
+
     def update(self, symbol: int) -> None:
         if self.order < 0:
             return
@@ -71,6 +80,21 @@ class Blend:
         weight = np.exp2(self.evidence.min() - self.evidence)
         return -np.log2(weight @ np.exp2(-np.array([m.costs() for m in self.parts])) / weight.sum())
 
+    def table(self, codes: np.ndarray) -> np.ndarray | None:
+        """Costs at all places of a sequence, each by the symbols before it, if the parts can tell theirs."""
+        each = [m.table(codes) if hasattr(m, "table") else None for m in self.parts]
+        if any(t is None for t in each):
+            return None
+        cost = np.stack(each)  # part, place, symbol
+        paid, evidence = cost[:, np.arange(len(codes)), codes], np.empty((len(each), len(codes)))
+        for part, start in enumerate(self.evidence.tolist()):
+            now, of = start, evidence[part]
+            for i, c in enumerate(paid[part].tolist()):
+                of[i] = now
+                now = (now + c) / self.decay
+        weight = np.exp2(evidence.min(0) - evidence)
+        return -np.log2((weight[:, :, None] * np.exp2(-cost)).sum(0) / weight.sum(0)[:, None])
+
     def update(self, symbol: int) -> None:
         self.evidence = (self.evidence + [m.costs()[symbol] for m in self.parts]) / self.decay
         for m in self.parts:
@@ -92,7 +116,10 @@ def register(name: str, make: Callable[[int, int], SequenceModel]) -> None:
 
 
 def along(model: SequenceModel, codes: np.ndarray, size: int) -> np.ndarray:
-    """p[i, s]: the chance that the model gives symbol s at place i. A place that doesn't sum to one raises."""
+    """p[i, s]: the chance that the model gives symbol s at place i. A place that doesn't sum to one raises. A fresh model that has ``table`` is asked for all places at once."""
+    known = model.table(codes) if hasattr(model, "table") else None
+    if known is not None:
+        return summing_to_one(np.exp2(-known))
     bits = np.empty((len(codes), size))
     for i, s in enumerate(codes):
         bits[i] = model.costs()

@@ -120,3 +120,18 @@ def test_tables_by_place(spark):
     for bad in (rows[:-1], [*rows, rows[0]], [(1, 0, [0.5, 0.5, 0.1, 0.0]), *rows[1:]]):
         with pytest.raises(Exception, match="chances"):
             places.pieces_of_table(df, table(bad), "k", 4, 3).collect()
+
+
+def test_blends_of_fixed_models_tell_all_places_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    table, codes = rng.dirichlet([1] * 4, 4), rng.integers(0, 4, 3000)
+    make = lambda: places.Blend([places.Adaptive(4, -1), places.Fixed(table)])
+    model, want = make(), np.empty((len(codes), 4))
+    for i, s in enumerate(codes):
+        want[i] = model.costs()
+        model.update(int(s))
+    for n in (0, 1, 2, 3000):
+        monkeypatch.setattr(places.Blend, "update", lambda *_: pytest.fail("a place at a time"))
+        assert places.along(make(), codes[:n], 4) == pytest.approx(np.exp2(-want[:n]), abs=1e-12)
+        monkeypatch.undo()
+    assert places.Blend([places.Adaptive(4, 1)]).table(codes) is None
