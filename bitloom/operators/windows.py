@@ -146,18 +146,18 @@ def score_windows(wide: DataFrame, keys: list[str], total: bool = True, states:
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, rows, batch in _batches(pdf, alphabet):
-                place = align.place_bits(rows.n_a.to_numpy(), rows.n_b.to_numpy())
-                out = rows[keys].copy()
-                got = align.rounds(batch, True, total, states, max_rounds, keep, alphabet, place)
-                ends = [(0,) * 4 if total else _ends(g["path"], *at) for g, at in zip(got, zip(rows.start_a, rows.start_b, strict=True), strict=True)]
-                for c in ("log_odds", "rounds", "enc_model"):
-                    out[c] = [g[c] for g in got]
-                for c in COUNTS:
-                    out[f"p_{c}"], out[f"n_{c}"] = [g["params"][c] for g in got], [g["counts"][c] for g in got]
-                for i, c in enumerate(PLACES):
-                    out[c] = [float(e[i]) for e in ends]
-                yield out[names]
+            place, rows = align.place_bits(pdf.n_a.to_numpy(), pdf.n_b.to_numpy()), pdf.to_dict("records")
+
+            def made(i: int) -> tuple[tuple, tuple, tuple[int, int]]:
+                r = rows[i]
+                return tuple(places.coded(r[c], alphabet) for c in ("seq_a", "seq_b")), tuple(np.asarray(r[c]).reshape(-1, len(alphabet)) for c in ("p_a", "p_b")), (r["first_a"], r["first_b"])
+
+            out = []
+            for i, _, g in align.rounds([(len(r["seq_a"]), len(r["seq_b"])) for r in rows], made, True, total, states, max_rounds, keep, alphabet, place=place):
+                ends = (0,) * 4 if total else _ends(g["path"], rows[i]["start_a"], rows[i]["start_b"])
+                told = [g[c] for c in ("log_odds", "rounds", "enc_model")] + [g[of][c] for of in ("params", "counts") for c in COUNTS]
+                out.append([rows[i][k] for k in keys] + told + [float(e) for e in ends])
+            yield pd.DataFrame(out, columns=names)
 
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
     fields = ", ".join(f"{c} {kinds[c] if c in keys else 'int' if c == 'rounds' else 'double'}" for c in names)
