@@ -8,6 +8,7 @@ Columns that functions add on their way have names of their own, so that the cal
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,9 +195,14 @@ def params_from_text(c: Column) -> Column:
     pairs = F.filter(F.split(F.lower(c), r"[,\n]"), lambda x: x.contains("="))
     entry = lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))).alias("k"), F.trim(F.split_part(x, F.lit("="), F.lit(2))).cast("double").alias("v"))
     last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(last(F.transform(pairs, entry)))
+    return F.map_from_entries(_once(F.transform(pairs, entry), last))
 
 
 def merge_params(a: Column, b: Column) -> Column:
     """Both maps; where both have a name the right one wins."""
-    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    return _once(b, lambda kept: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(kept, k)), kept))
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row, however often its lambdas read it."""
+    return F.transform(F.array(c), use)[0]

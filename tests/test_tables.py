@@ -67,3 +67,14 @@ def test_merged_intervals_of_any_names(spark, key):
     df = spark.createDataFrame(rows, f"{key} int, low int, high int")
     assert sorted(map(tuple, repeats.merge_intervals(df, key, "low", "high").collect())) == [(1, 0, 6, 3), (1, 9, 10, 1), (2, 5, 7, 1)]
     assert sorted(map(tuple, repeats.cell_stats(df, key, "low", "high").collect())) == [(1, 2, 4, 7, 2), (2, 1, 1, 2, 0)]
+
+
+def test_parameters_are_parsed_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from bitloom.operators import tables
+
+    rows = spark.createDataFrame([("a=1,B=2\na=3,x",), ("",)], "t string")
+    merged = rows.select(tables.merge_params(tables.params_from_text(F.lower("t")), tables.params_from_text(F.col("t"))).alias("m"))
+    assert [r.m for r in merged.collect()] == [{"a": 3.0, "b": 2.0}, {}]
+    assert merged._jdf.queryExecution().analyzed().toString().count("split(") == 2
