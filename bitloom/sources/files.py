@@ -7,7 +7,7 @@ import gzip
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.operators.sequences import letters_only
+from bitloom.operators.sequences import let, letters_only
 from bitloom.operators.tables import params_from_text
 
 
@@ -132,6 +132,11 @@ NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 HEAD = r"^\s*(\w+)\s*(?:\(([^)]*)\))?\s*:\s+(.*)$"
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each worked out once a row: filters and projections that use them don't take the place of what made them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def read_results(spark: SparkSession, path: str, total: bool | None = None, blend: bool | None = None, program: str | None = None) -> DataFrame:
     """Rows of result logs, one for each line with a result; comments, and lines without one, are left out.
 
@@ -146,23 +151,26 @@ def read_results(spark: SparkSession, path: str, total: bool | None = None, blen
     lines = read_lines(spark, path)
     part = lambda i: F.regexp_extract("value", HEAD, i)
     console = F.try_element_at(F.regexp_extract_all("value", F.lit(rf"log odds ratio = ({NUMBER}|[-+]?[Ii]nf\w*)"), 1), F.lit(-1)).try_cast("double")
-    rows = lines.select("value", F.when(part(1) != "", part(1)).alias("program"), part(2).alias("told"), F.when(part(1) != "", part(3)).otherwise(F.col("value")).alias("rest"), console.alias("console"))
-    rows = rows.withColumn("body", F.regexp_extract("rest", r"^(.*?)(?:\bparams:.*)?$", 1))
     field = lambda k, i=1: F.regexp_extract("body", rf"(?:^|\s){k}\s*=\s*({NUMBER})(?:\s+\(\s*({NUMBER})\s*\))?(?=\s|$)", i)
-    number = lambda k, i=1: field(k, i).try_cast("double")
+    number = lambda k, i=1: let(field(k, i), lambda x: F.when(x != "", x.try_cast("double")))  # noqa: E731  # a cast that fails costs more than all else
+    rows = _once(lines, head=part(1), console=F.when(F.col("value").contains("log odds ratio = "), console))
+    rows = _once(rows, rest=F.when(F.col("head") != "", part(3)).otherwise(F.col("value")))
+    rows = _once(rows, body=F.regexp_extract("rest", r"^(.*?)(?:\bparams:.*)?$", 1))
+    rows = _once(rows, r=number("r"), p=number("p")).withColumn("told", part(2))
     whole = lambda k: field(k).try_cast("int").alias(k)
-    flag = lambda k: F.lower(F.coalesce(F.nullif(F.regexp_extract("told", rf"(?i)\b{k}\s*=\s*(\w+)", 1), F.lit("")), F.regexp_extract("body", rf"(?i)(?:^|\s){k}\s*=\s*(\w+)", 1)))
-    said = lambda k: F.when(flag(k).isin("1", "true", "yes", "on"), True).when(flag(k).isin("0", "false", "no", "off"), False)
+    in_body = lambda k: F.regexp_extract("body", rf"(?i)(?:^|\s){k}\s*=\s*(\w+)", 1)
+    flag = lambda k: let(F.regexp_extract("told", rf"(?i)\b{k}\s*=\s*(\w+)", 1), lambda x: F.lower(F.when(x != "", x).otherwise(in_body(k))))
+    said = lambda k: let(flag(k), lambda x: F.when(x.isin("1", "true", "yes", "on"), True).when(x.isin("0", "false", "no", "off"), False))
     method = F.trim(F.regexp_replace("told", r"\w+\s*=\s*\w+", ""))
     pairs = F.filter(F.split(F.regexp_extract("rest", r"\bparams:\s*(.*)$", 1), r"\s+"), lambda x: x.contains("="))
     params = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.substring(x, F.locate("=", x) + 1, F.char_length(x)))))
     cuts = F.transform(F.filter(F.split(F.regexp_extract("body", r"(?:^|\s)cuts=([-\d:]+)", 1), ":"), lambda x: x != ""), lambda x: x.try_cast("int"))
     lengths = [number(k, i).alias(("first_" if i == 2 else "") + k) for k in ("al", "ml", "dl") for i in (1, 2)]
+    rows = rows.filter("r is not null or console is not null or p is not null")
     out = rows.select(
-        "program", F.nullif(method, F.lit("")).alias("method"), *[whole(k) for k in ("s1", "s2", "parent", "mutates")], said("sum").alias("total"), said("blend").alias("blend"),
-        F.coalesce(number("r"), "console").alias("log_odds"), number("r", 2).alias("first_odds"), *lengths, cuts.alias("cuts"), params.alias("params"), number("p").alias("p"), number("s").alias("score"),
+        F.when(F.col("head") != "", F.col("head")).alias("program"), let(method, lambda x: F.when(x != "", x)).alias("method"), *[whole(k) for k in ("s1", "s2", "parent", "mutates")], said("sum").alias("total"), said("blend").alias("blend"),
+        F.coalesce("r", "console").alias("log_odds"), number("r", 2).alias("first_odds"), *lengths, cuts.alias("cuts"), params.alias("params"), "p", number("s").alias("score"),
     )
-    out = out.filter("log_odds is not null or p is not null")
     if program is not None:
         out = out.filter(F.col("program") == program)
     for name, want in (("total", total), ("blend", blend)):

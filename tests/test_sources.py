@@ -87,6 +87,16 @@ def test_result_logs(spark, tmp_path):
     assert sorted(map(key, files.read_results(spark, f"{tmp_path}/again").collect())) == sorted(key(r) for r in rows if r.program == "measure")
 
 
+def test_result_lines_are_parsed_once(spark, tmp_path):
+    """Filters and columns read the fields of a line, they don't cut it up again."""
+    (tmp_path / "log.txt").write_text("one (sum=1): s1=1 r=2 (3) params:a=1\none: s1=1 r = x\n two r=4\n# one: r=5\nlog odds ratio = 1 log odds ratio = Infinity\none: p=0.5 s=2\n")
+    got = files.read_results(spark, str(tmp_path / "log.txt"))
+    assert sorted((r.program or "", r.log_odds or 0.0, r.p or 0.0) for r in got.collect()) == [("", 4.0, 0.0), ("", float("inf"), 0.0), ("one", 0.0, 0.5), ("one", 2.0, 0.0)]
+    for rows in (got, files.read_results(spark, str(tmp_path / "log.txt"), total=True, program="one"), files.read_old_results(spark, str(tmp_path / "log.txt"))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("params:.*)?$") == 1 and plan.count(r"s)r\s*=") <= 2  # a value and the one in brackets
+
+
 def test_columns(spark):
     from pyspark.sql import functions as F
 
