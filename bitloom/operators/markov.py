@@ -26,6 +26,15 @@ def kmer_counts(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return df.select(F.explode(gram_runs(F.col(seq), k)).alias("x")).groupBy(F.col("x.gram").alias("kmer")).agg(F.sum("x.n").alias("n"))
 
 
+def kmer_counts_by_size(df: DataFrame, least: int, most: int, seq: str = "seq") -> DataFrame:
+    """(k, kmer, n) over all sequences, of all sizes from ``least`` to ``most``, from one look at them: a shorter k-mer begins a longer one or ends its sequence."""
+    last = [F.when(F.char_length(seq) >= k, F.struct(F.substring(seq, -k, k).alias("gram"), F.lit(1).cast("long").alias("n"))) for k in range(least, most)]
+    grams = F.concat(gram_runs(F.col(seq), most), F.array_compact(F.array(*last))) if last else gram_runs(F.col(seq), most)
+    counts = df.select(F.explode(grams).alias("x")).groupBy("x.gram").agg(F.sum("x.n").alias("n"))
+    heads = F.transform(F.sequence(F.lit(least), F.char_length("gram")), lambda k: F.struct(k.alias("k"), F.substring(F.col("gram"), F.lit(1), k).alias("kmer")))
+    return counts.select(F.explode(heads).alias("x"), "n").groupBy("x.k", "x.kmer").agg(F.sum("n").alias("n"))
+
+
 def _log_sum(first: Column, last: Column) -> Column:
     """log2(first) + ... + log2(last)."""
     terms = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))

@@ -47,10 +47,10 @@ def _rate_sql(k: int) -> str:
 @query(f"WITH RECURSIVE {SEQS}, {', '.join(map(_rate_sql, (1, 2, 3)))} SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3")
 def entropy_rates(spark, sf_dir):
     """Entropy rates of models of orders 1 to 3 of the DNA letters of all documents."""
-    d = seqs(spark, sf_dir)
+    every = written(markov.kmer_counts_by_size(seqs(spark, sf_dir), 2, 4))  # some hundred rows
 
     def model(k: int):
-        counts = markov.kmer_counts(d, k + 1)
+        counts = every.filter(F.col("k") == k + 1)
         return markov.predict(counts.select(F.substring("kmer", 1, k).alias("ctx"), F.substring("kmer", k + 1, 1).alias("sym"), "n"), list("acgt")).select(F.lit(k).alias("order"), "ctx", "sym", "p")
 
     out = generate.entropy_rates(reduce(lambda x, y: x.unionByName(y), map(model, (1, 2, 3))), list("acgt"), ["order"])

@@ -34,3 +34,15 @@ def test_population_is_repeatable(spark):
     assert [r.seq for r in a if r.mutates == 0] == ["acgtacgtacgtaacc", "ttttggggccccaaaa"]
     fade = G.fading_bits(parents, "id", 0, 0).collect()
     assert all(r.bits > 0 for r in fade)
+
+
+def test_counts_of_all_sizes_from_one_look(spark):
+    from bitloom.operators import markov
+
+    rows = spark.createDataFrame([(s,) for s in ("", "a", "ac", "acg", "acgt", "aaaaaa", "gattacagattaca", "cg")], "seq string")
+    got = markov.kmer_counts_by_size(rows, 1, 4)
+    for k in range(1, 5):
+        want = {(r.kmer, r.n) for r in markov.kmer_counts(rows, k).collect()}
+        assert {(r.kmer, r.n) for r in got.filter(f"k = {k}").collect()} == want and all(len(x) == k for x, _ in want)
+    looks = got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + got._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+    assert looks == 1
