@@ -19,7 +19,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def project(df: DataFrame, text: str = "text", alphabet: str = DNA, name: str = "seq") -> DataFrame:
     """``df`` with the lower-cased letters of ``alphabet`` that a text has, in order."""
-    return df.withColumn(name, F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{alphabet}]", ""))
+    return df.withColumn(name, F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{alphabet}]+", ""))
 
 
 def validate(df: DataFrame, seq: str = "seq", alphabet: str = DNA, mode: str = "error") -> DataFrame:

@@ -26,6 +26,13 @@ def test_every_met_pair_is_scored(spark, small):
     assert sorted((r.item_id, r.doc_id) for r in catalog.QUERIES["sw_score"](spark, small).select("item_id", "doc_id").collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_documents_are_cut_to_letters_once(spark, small):
+    """The k-mers, the short items and the pairs themselves read letters that were written once, not the texts."""
+    got = catalog.met_pairs(spark, small)
+    assert not any("documents.parquet" in f for f in got.inputFiles())
+    assert sorted((r.item_id, r.doc_id, len(r.seq_b)) for r in got.collect()) == [(1, 1, 100), (2, 2, 112), (3, 3, 91)]
+
+
 @pytest.mark.parametrize(("name", "total"), [("m_align_global_sum", True), ("m_align_global_best", False)])
 def test_rounds_go_on_until_they_gain_nothing(spark, small, name, total):
     text = lambda table, key: {r[key]: r.text for r in spark.read.parquet(f"{small}/{table}.parquet").collect()}
