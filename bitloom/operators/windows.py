@@ -1,10 +1,12 @@
 """Local alignment of long pairs, cut by Spark into windows that are rows.
 
-Both sequences are cut into tiles. A window is a tile of the first and one of the second sequence, with an overlap before each; an alignment counts in the
-window in whose own cells it ends, and may start anywhere in that window. So every alignment counts once, but for those that reach back beyond the
-overlap. Only tiles near a seed, a k-mer that both sequences have, become windows, or all of them.
+Both sequences are cut into tiles. A window is a tile of the first and one of the second sequence; an alignment counts in the window in whose own cells it ends.
 
-Windows are scored apart from each other, by the kernels of :mod:`bitloom.operators.align`, and meet in aggregates: the log-sum of their odds and
+Odds under given parameters (:func:`window_odds`) are those of the full recurrence: a window is handed the last cells of the windows above and beside it, so an alignment may have
+begun in any window before. The windows of a pair go through one task in their order or, if they are many, a wave of them after another over all tasks.
+
+Where parameters are re-estimated (:func:`score_windows`), a tile has an overlap before it and an alignment may start anywhere in that window. So every alignment counts once, but for
+those that reach back beyond the overlap. Only tiles near a seed, a k-mer that both sequences have, become windows, or all of them. These windows are scored apart from each other, by the kernels of :mod:`bitloom.operators.align`, and meet in aggregates: the log-sum of their odds and
 the mean of their event counts, weighed by the odds, or the best of them. Re-estimation goes in rounds over all pairs at once.
 """
 
@@ -22,6 +24,8 @@ from bitloom.operators.sequences import kmers
 from bitloom.session import small, written
 
 TILE, OVERLAP = 1024, 512
+#: Windows of a pair up to which one task does them all.
+ALONE = 1024
 COUNTS = ("match", "change", *align.NAMES)
 PLACES = ("a_start", "a_end", "b_start", "b_end")
 
@@ -127,11 +131,90 @@ def _start(states: int) -> list[Column]:
     return [F.lit(float(values[c])).alias(f"p_{c}") for c in COUNTS]
 
 
+def _handed(r: dict, top: np.ndarray | None, left: np.ndarray | None, total: bool, states: int, alphabet: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """:func:`align.window_of` of a window's own cells, with those at the edge of the table. Where a window before it was left out, alignments start there."""
+    cost, sides = align.AFFINE if states == 3 else align.LINEAR, []
+    for end in "ab":
+        skip = max(r[f"first_{end}"] - 1, 0)  # the overlap
+        codes = places.coded(r[f"seq_{end}"], alphabet)
+        sides.append((codes[skip:], np.asarray(r[f"p_{end}"]).reshape(-1, len(alphabet))[skip:], r[f"start_{end}"] + skip))
+    (a, p_a, i), (b, p_b, j) = sides
+    begun = [align.edge(at + np.arange(len(codes) + 1), cost, total) for codes, _, at in sides[::-1]]
+    begun[1] = begun[1][[0, 2, 1]]
+    value, either = -np.inf, np.logaddexp2 if total else np.maximum
+    for k, before in enumerate((i, j)):
+        if before:
+            begun[k][1:] = -np.inf
+        else:  # the corner counts once
+            value = either(value, align.ended(begun[k][:, 0 if i == j == k else 1 :], cost, total))
+    odds, bottom, right = align.window_of(a, b, p_a, p_b, align.PAIR, cost, total, begun[0] if top is None else top, begun[1] if left is None else left)
+    return float(either(value, odds)), bottom, right
+
+
 def window_odds(wide: DataFrame, keys: list[str], total: bool = True, states: int = 3, alphabet: str = "acgt") -> DataFrame:
-    """(keys, log_odds) of local alignments under the start parameters, before any cost of stating them."""
+    """(keys, log_odds) of local alignments under the start parameters, before any cost of stating them.
+
+    If ``wide`` has all tiles of a pair, these are the odds of the full recurrence, however far an alignment reaches, and the pieces need no overlap. Memory is that of a window and of
+    the last cells above it. Pairs of more than ``ALONE`` windows go in waves.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema if f.name in keys)
+    names = [f.split()[0] for f in kinds.split(", ")]
+    either = np.logaddexp2 if total else np.maximum
+    counted = written(wide.groupBy(*keys).agg(F.count("*").alias("c")))
+    many = small(written(counted.filter(F.col("c") > ALONE).select(*keys)), 64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, value, cells = None, -np.inf, {}
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                if (now := tuple(r[c] for c in names)) != key:
+                    if key is not None:
+                        rows.append((*key, float(value)))
+                    key, value, cells = now, -np.inf, {}
+                i, j = r["tile_a"], r["tile_b"]
+                odds, cells["top", i + 1, j], cells["left", i, j + 1] = _handed(r, cells.pop(("top", i, j), None), cells.pop(("left", i, j), None), total, states, alphabet)
+                value = either(value, odds)
+            yield pd.DataFrame(rows, columns=[*names, "log_odds"])
+        if key is not None:
+            yield pd.DataFrame([(*key, float(value))], columns=[*names, "log_odds"])
+
+    tasks = max(1, min(4 * wide.sparkSession.sparkContext.defaultParallelism, counted.count()))
+    ordered = wide.join(many, keys, "left_anti").repartition(tasks, *keys).sortWithinPartitions(*keys, "tile_a", "tile_b")
+    out = ordered.mapInPandas(run, f"{kinds}, log_odds double").select(*keys, "log_odds")
+    return out if many.isEmpty() else out.union(_in_waves(wide.join(many, keys), keys, kinds, total, states, alphabet))
+
+
+def _in_waves(wide: DataFrame, keys: list[str], kinds: str, total: bool, states: int, alphabet: str) -> DataFrame:
+    """:func:`window_odds` of pairs of many windows: those whose tiles have the same sum go together, and hand on their last cells as rows."""
     wide = written(wide)
-    params = small(written(wide.select(*keys).distinct().select(*keys, *_start(states))), 128)
-    return _scored(wide, params, keys, total, alphabet, _tasks(wide), counted=False).select(*keys, F.col("odds").alias("log_odds"))
+    names = [*(f.split()[0] for f in kinds.split(", ")), "tile_a", "tile_b"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                top, left = (None if r[c] is None else np.asarray(r[c]).reshape(3, -1) for c in ("top", "left"))
+                odds, bottom, right = _handed(r, top, left, total, states, alphabet)
+                rows.append((*(r[c] for c in names), odds, bottom.ravel(), right.ravel()))
+            yield pd.DataFrame(rows, columns=[*names, "odds", "bottom", "right"])
+
+    made, each, tasks = None, None, _tasks(wide)
+    for wave in range(wide.agg(F.max(F.col("tile_a") + F.col("tile_b"))).first()[0] + 1):
+        here, order = wide.filter(F.col("tile_a") + F.col("tile_b") == wave), [*keys, "tile_a", "tile_b"]
+        if made is None:
+            here = here.withColumns({c: F.lit(None).cast("array<double>") for c in ("top", "left")})
+        else:
+            above = made.select(*keys, (F.col("tile_a") + 1).alias("tile_a"), "tile_b", F.col("bottom").alias("top"))
+            beside = made.select(*keys, "tile_a", (F.col("tile_b") + 1).alias("tile_b"), F.col("right").alias("left"))
+            here = here.join(above, order, "left").join(beside, order, "left")
+        made = written(here.repartition(tasks, *order).mapInPandas(run, f"{kinds}, tile_a int, tile_b int, odds double, bottom array<double>, right array<double>"))
+        odds = made.select(*keys, "odds")
+        each = odds if each is None else each.union(odds)
+    top = each.groupBy(*keys).agg(F.max("odds").alias("top"))
+    if not total:
+        return top.select(*keys, F.col("top").alias("log_odds"))
+    return each.join(top, keys).groupBy(*keys, "top").agg(F.sum(F.pow(F.lit(2.0), F.col("odds") - F.col("top"))).alias("w")).select(*keys, (F.col("top") + F.log2("w")).alias("log_odds"))
 
 
 def score_windows(wide: DataFrame, keys: list[str], total: bool = True, states: int = 3, max_rounds: int = -1, keep: str = "best", alphabet: str = "acgt") -> DataFrame:

@@ -34,6 +34,37 @@ def test_all_tiles_equal_the_full_recurrence(spark, sequences, total, states, ov
         assert got[at] == pytest.approx(v, abs=1e-4)
 
 
+@pytest.mark.parametrize(("total", "tile", "alone"), [(True, 64, 1024), (False, 64, 1024), (True, 256, 2)])
+def test_windows_hand_alignments_on(spark, monkeypatch, total, tile, alone):
+    rng = random.Random(12)
+    core = letters(rng, 300)
+    a = {1: core, 2: letters(rng, 40) + core[:100] + core[160:] + letters(rng, 30)}
+    b = {1: letters(rng, 50) + core[:150] + letters(rng, 130) + core[150:], 2: letters(rng, 700) + core + core + letters(rng, 20), 3: core * 4}  # gaps and diagonals far beyond any overlap
+    monkeypatch.setattr(windows, "ALONE", alone)
+    pairs = spark.createDataFrame([(i, j) for i in a for j in b], "x long, y long")
+    for model in ("fitted(0)", "blend(1)")[alone < 9 :]:
+        pieces = [places.pieces(spark.createDataFrame(list(d.items()), f"{k} long, seq string"), k, tile, 8, model) for d, k in ((a, "x"), (b, "y"))]
+        wide = windows.windows(windows.all_tiles(pairs, *pieces, "x", "y"), *pieces, "x", "y")
+        got = {(r.x, r.y): r.log_odds for r in windows.window_odds(wide, ["x", "y"], total).collect()}
+        for (i, j), v in got.items():
+            codes = [(places.coded(a[i], "acgt"), places.coded(b[j], "acgt"))]
+            batch = align.Batch(codes, [tuple(places.chances(model, z, 4) for z in codes[0])])
+            pair, cost = ({k: np.array([v]) for k, v in x.items()} for x in (align.PAIR, align.AFFINE))
+            want = align.summed_by_diagonals(batch, pair, cost, True, counted=False)[0] if total else align.likeliest(batch, pair, cost, True, False)[0]
+            assert v == pytest.approx(want[0], abs=1e-9)
+        assert len(got) == 6 and min(got.values()) > 100
+
+
+def test_long_sums_leave_the_range_of_doubles():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, 700), rng.integers(0, 4, 30)
+    b = np.concatenate([a[:400], b, a[400:], a])
+    p = [places.chances("fitted(0)", x, 4) for x in (a, b)]
+    pair, cost = ({k: np.array([v]) for k, v in x.items()} for x in (align.PAIR, align.AFFINE))
+    want = align.summed_by_diagonals(align.Batch([(a, b)], [tuple(p)]), pair, cost, True, np.longdouble, False)[0][0]
+    assert want > 1000 and align.local_odds(a, b, *p, align.PAIR, align.AFFINE, True) == pytest.approx(want, abs=1e-8)
+
+
 @pytest.mark.parametrize("total", [True, False])
 def test_rounds_equal_those_of_whole_pairs(spark, sequences, total):
     a, b, da, db, pairs = sequences
