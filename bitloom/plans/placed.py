@@ -85,7 +85,7 @@ def align_odds_file_chances(spark, sf_dir):
         got = files.read_probs(spark, f"{folder}/{key}")
         return got.select(F.col("seq").try_cast("long").alias(key), "pos", "p")
 
-    one, other = (written(places.pieces_of_table(d, table(d, key), key, windows.TILE, windows.OVERLAP)) for d, key in ((a, "item_id"), (b, "doc_id")))
+    one, other = (written(places.pieces_of_table(d, table(d, key), key, windows.TILE, 0)) for d, key in ((a, "item_id"), (b, "doc_id")))
     wide = windows.windows(windows.all_tiles(met, one, other, *KEYS), one, other, *KEYS)
     return windows.window_odds(wide, KEYS).withColumn("log_odds", F.round("log_odds", 4))
 

@@ -55,6 +55,21 @@ def test_windows_hand_alignments_on(spark, monkeypatch, total, tile, alone):
         assert len(got) == 6 and min(got.values()) > 100
 
 
+def test_windows_of_chances_by_place_hand_alignments_on(spark):
+    rng, draw = random.Random(13), np.random.default_rng(13)
+    core = letters(rng, 120)
+    seqs = {"x": core, "y": letters(rng, 30) + core[:70] + letters(rng, 90) + core[70:]}
+    chance = {k: draw.dirichlet([9] * 4, len(s)) for k, s in seqs.items()}
+    pieces = []
+    for k, s in seqs.items():
+        table = spark.createDataFrame([(1, i, p.tolist()) for i, p in enumerate(chance[k])], f"{k} long, pos long, p array<double>")
+        pieces.append(places.pieces_of_table(spark.createDataFrame([(1, s)], f"{k} long, seq string"), table, k, 32, 0))
+    wide = windows.windows(windows.all_tiles(spark.createDataFrame([(1, 1)], "x long, y long"), *pieces, "x", "y"), *pieces, "x", "y")
+    batch = align.Batch([tuple(places.coded(s, "acgt") for s in seqs.values())], [tuple(chance.values())])
+    pair, cost = ({k: np.array([v]) for k, v in x.items()} for x in (align.PAIR, align.AFFINE))
+    assert windows.window_odds(wide, ["x", "y"]).first().log_odds == pytest.approx(align.summed_by_diagonals(batch, pair, cost, True, counted=False)[0][0], abs=1e-9)
+
+
 def test_long_sums_leave_the_range_of_doubles():
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 4, 700), rng.integers(0, 4, 30)
