@@ -26,8 +26,9 @@ def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _all_windows(spark, sf_dir, **options) -> DataFrame:
+    """All windows of the pairs; they hand their cells on, so tiles have no overlap."""
     met, a, b = _sides(spark, sf_dir)
-    one, other = (written(places.pieces(d, key, windows.TILE, windows.OVERLAP, **options)) for d, key in ((a, "item_id"), (b, "doc_id")))
+    one, other = (written(places.pieces(d, key, windows.TILE, 0, **options)) for d, key in ((a, "item_id"), (b, "doc_id")))
     return windows.windows(windows.all_tiles(met, one, other, *KEYS), one, other, *KEYS)
 
 
@@ -105,9 +106,9 @@ _BLENDED = f"""
 
 @query(_placed_sql(_BLENDED, "list_concat((SELECT p FROM placed x WHERE x.side = 0 AND x.id = item_id), (SELECT p FROM placed x WHERE x.side = 1 AND x.id = doc_id))"))
 def align_odds_blend(spark, sf_dir):
-    """Both population models blend a uniform one with one that prefers TA and AT, weighed by what each has cost of late."""
+    """Both population models blend a uniform one with one that prefers TA and AT, weighed by what each has cost of late. Tasks make the chances from the letters: a row has only these."""
     mixed = {"mixed": lambda size, order: places.Blend([places.Adaptive(size, -1), places.Fixed(_ta_rich())])}
-    return windows.window_odds(_all_windows(spark, sf_dir, model="mixed", models=mixed), KEYS).withColumn("log_odds", F.round("log_odds", 4))
+    return align.odds_of_pairs(met_pairs(spark, sf_dir), model="mixed", models=mixed).withColumn("log_odds", F.round("log_odds", 4))
 
 
 _TABLE_SUB = "[" + ", ".join(str(-math.log2(x)) for x in TABLE.ravel()) + "]"
