@@ -26,6 +26,8 @@ from bitloom.session import small, written
 TILE, OVERLAP = 1024, 512
 #: Windows of a pair up to which one task does them all.
 ALONE = 1024
+#: Windows of a pair up to which one task does all its rounds of re-estimation, and windows of pairs that it works on together.
+TOGETHER, AT_ONCE = 64, 512
 COUNTS = ("match", "change", *align.NAMES)
 PLACES = ("a_start", "a_end", "b_start", "b_end")
 
@@ -220,11 +222,12 @@ def _in_waves(wide: DataFrame, keys: list[str], kinds: str, total: bool, states:
 def score_windows(wide: DataFrame, keys: list[str], total: bool = True, states: int = 3, max_rounds: int = -1, keep: str = "best", alphabet: str = "acgt") -> DataFrame:
     """(keys, log_odds, rounds, enc_model, p_*, n_*, a_start, a_end, b_start, b_end): the rows of :func:`align.score_pairs` for windows.
 
-    p_*: the parameters of the round that is kept, in bits; n_*: its expected numbers of events. Of sums the cut points are null. Pairs of one window go
+    p_*: the parameters of the round that is kept, in bits; n_*: its expected numbers of events. Of sums the cut points are null. Pairs of up to ``TOGETHER`` windows go
     through their rounds in one pass; for the others a round is one pass over the windows of the pairs that go on.
     """
     wide = written(wide)
-    many = small(written(wide.groupBy(*keys).agg(F.count("*").alias("c")).filter("c > 1").select(*keys)), 64)
+    several = written(wide.groupBy(*keys).agg(F.count("*").alias("c")).filter("c > 1"))
+    some, many = (small(several.filter(f"c {than} {TOGETHER}").select(*keys), 64) for than in ("<=", ">"))
     names = [*keys, "log_odds", "rounds", "enc_model", *(f"p_{c}" for c in COUNTS), *(f"n_{c}" for c in COUNTS), *PLACES]
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,12 +247,88 @@ def score_windows(wide: DataFrame, keys: list[str], total: bool = True, states:
 
     kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
     fields = ", ".join(f"{c} {kinds[c] if c in keys else 'int' if c == 'rounds' else 'double'}" for c in names)
-    out = written(wide.join(many, keys, "left_anti").repartition(_tasks(wide), *keys).mapInPandas(alone, fields))
+    tasks = _tasks(wide)
+    out = wide.join(small(several.select(*keys), 64), keys, "left_anti").repartition(tasks, *keys).mapInPandas(alone, fields).select(*names)
+    together = wide.join(some, keys).repartition(tasks, *keys).sortWithinPartitions(*keys, "tile_a", "tile_b")
+    out = written(out.union(together.mapInPandas(_together(keys, names, total, states, max_rounds, keep, alphabet), fields).select(*names)))
     if not many.isEmpty():
         out = out.union(_in_rounds(wide.join(many, keys), keys, total, states, max_rounds, keep, alphabet).select(*names))
     return out.select(*names[: -len(PLACES)], *[(F.lit(None) if total else F.col(c)).cast("int").alias(c) for c in PLACES])
 
 
+def _estimated(r: dict, where: float, states: int, keep: str) -> None:
+    """The costs of a pair's round, what is kept of it, and the next parameters."""
+    counts = {c: r[c] + 0.5 for c in COUNTS}
+    pair, cost = {c: r[f"p_{c}"] for c in align.PAIR}, {c: r[f"p_{c}"] for c in align.NAMES}
+    stated = align.model_bits(pair, cost, counts, states) + where
+    r["last"], r["rounds"] = r["odds"] - stated, r["rounds"] + 1
+    if r["last"] > r["log_odds"] or keep != "best":
+        r |= {"log_odds": r["last"], "enc_model": stated} | {f"kept_{c}": r[f"p_{c}"] for c in COUNTS} | {f"n_{c}": counts[c] for c in COUNTS} | {c: r[f"new_{c}"] for c in PLACES}
+    r["going"] = not (-r["last"] <= r["length"] and r["length"] + r["last"] < align.LEAST_GAIN)
+    r["length"] = -r["last"]
+    pair, cost = align.estimate(counts, states)
+    r |= {f"p_{c}": v for c, v in {**pair, **cost}.items()}
+
+
+def _together(keys: list[str], names: list[str], total: bool, states: int, max_rounds: int, keep: str, alphabet: str):
+    """All rounds of pairs whose windows come one after another; the windows of some pairs are worked on together."""
+    most = align.MAX_ROUNDS if max_rounds < 0 else max_rounds + 1
+    start = {**align.PAIR, **(align.AFFINE if states == 3 else align.LINEAR)}
+    nothing = dict.fromkeys(("enc_model", *(f"kept_{c}" for c in COUNTS), *(f"n_{c}" for c in COUNTS), *PLACES), 0.0) | {"log_odds": -np.inf, "length": np.inf, "rounds": 0, "going": True}
+
+    def scored(pairs: list[list[dict]]) -> pd.DataFrame:
+        rows, made = [], []
+        for of, each in enumerate(pairs):
+            rows.append({k: each[0][k] for k in keys} | {f"p_{c}": float(start[c]) for c in COUNTS} | nothing)
+            for r in each:
+                codes = tuple(places.coded(r[c], alphabet) for c in ("seq_a", "seq_b"))
+                probs = tuple(np.asarray(r[c]).reshape(-1, len(alphabet)) for c in ("p_a", "p_b"))
+                made.append((of, codes, probs, (r["first_a"], r["first_b"]), (r["start_a"], r["start_b"])))
+        place = align.place_bits(np.array([each[0]["n_a"] for each in pairs]), np.array([each[0]["n_b"] for each in pairs]))
+        for _ in range(most):
+            going = [w for w in made if rows[w[0]]["going"]]
+            if not going:
+                break
+            of = np.array([w[0] for w in going])
+            odds, counts, ends = np.empty(len(going)), np.zeros((len(COUNTS), len(going))), np.zeros((len(PLACES), len(going)))
+            for part in align.alike([tuple(map(len, w[1])) for w in going]):
+                batch = align.Batch([going[i][1] for i in part], [going[i][2] for i in part], first=[going[i][3] for i in part])
+                pair, cost = ({c: np.array([rows[k][f"p_{c}"] for k in of[part]]) for c in told} for told in (align.PAIR, align.NAMES))
+                odds[part], found, ways = align.odds_of(batch, pair, cost, True, total)
+                counts[:, part] = [found[c] for c in COUNTS]
+                if not total:
+                    ends[:, part] = np.array([_ends(way, *going[i][4]) for i, way in zip(part, ways, strict=True)]).T
+            bounds = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+            for begin, end in zip(bounds, bounds[1:], strict=False):
+                value, r = odds[begin:end], rows[of[begin]]
+                top = begin + int(value.argmax())  # of equal ones the first tiles
+                if total:
+                    weight = np.exp2(value - odds[top])
+                    r |= {"odds": float(odds[top] + np.log2(weight.sum()))} | dict(zip(COUNTS, (counts[:, begin:end] @ weight / weight.sum()).tolist(), strict=True))
+                else:
+                    r |= {"odds": float(odds[top])} | dict(zip(COUNTS, counts[:, top].tolist(), strict=True))
+                r |= {f"new_{c}": float(v) for c, v in zip(PLACES, ends[:, top], strict=True)}
+                _estimated(r, place[of[begin]], states, keep)
+        kept = {f"p_{c}": f"kept_{c}" for c in COUNTS}
+        return pd.DataFrame([[r[kept.get(c, c)] for c in names] for r in rows], columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, count = [], 0
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                if not pairs or any(pairs[-1][0][k] != r[k] for k in keys):
+                    if count >= AT_ONCE:
+                        yield scored(pairs)
+                        pairs, count = [], 0
+                    pairs.append([])
+                pairs[-1].append(r)
+                count += 1
+        if pairs:
+            yield scored(pairs)
+
+    return run
+
+
 def _in_rounds(wide: DataFrame, keys: list[str], total: bool, states: int, max_rounds: int, keep: str, alphabet: str) -> DataFrame:
     """Rounds of pairs of many windows: all windows are scored, their sums meet, and the pairs get new parameters."""
     wide = written(wide)
@@ -263,16 +342,7 @@ def _in_rounds(wide: DataFrame, keys: list[str], total: bool, states: int, max_r
             place = align.place_bits(pdf.n_a.to_numpy(), pdf.n_b.to_numpy())
             rows = pdf.to_dict("records")
             for r, where in zip(rows, place, strict=True):
-                counts = {c: r[c] + 0.5 for c in COUNTS}
-                pair, cost = {c: r[f"p_{c}"] for c in align.PAIR}, {c: r[f"p_{c}"] for c in align.NAMES}
-                stated = align.model_bits(pair, cost, counts, states) + where
-                r["last"], r["rounds"] = r["odds"] - stated, r["rounds"] + 1
-                if r["last"] > r["log_odds"] or keep != "best":
-                    r |= {"log_odds": r["last"], "enc_model": stated} | {f"kept_{c}": r[f"p_{c}"] for c in COUNTS} | {f"n_{c}": counts[c] for c in COUNTS} | {c: r[f"new_{c}"] for c in PLACES}
-                r["going"] = not (-r["last"] <= r["length"] and r["length"] + r["last"] < align.LEAST_GAIN)
-                r["length"] = -r["last"]
-                pair, cost = align.estimate(counts, states)
-                r |= {f"p_{c}": v for c, v in {**pair, **cost}.items()}
+                _estimated(r, where, states, keep)
             yield pd.DataFrame(rows, columns=state_columns)
 
     state_columns, done = state.columns, None

@@ -20,7 +20,7 @@ TABLE = np.array([[0.85, 0.03, 0.09, 0.04], [0.04, 0.82, 0.03, 0.08], [0.08, 0.0
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The pairs that meet, and the sequences of both sides that are in one."""
-    a, b = seqs(spark, sf_dir, "benchmark", "item_id"), seqs(spark, sf_dir)
+    a, b = seqs(spark, sf_dir, "benchmark", "item_id"), written(seqs(spark, sf_dir).filter("seq <> ''"))  # read several times
     met = written(repeats.met_pairs(a, b, "item_id", "doc_id", 20).distinct())
     return met, a.join(met.select("item_id").distinct(), "item_id"), b.join(met.select("doc_id").distinct(), "doc_id")
 

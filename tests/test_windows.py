@@ -94,6 +94,23 @@ def test_rounds_equal_those_of_whole_pairs(spark, sequences, total):
         assert cuts == ((None,) * 4 if total else tuple(want[c] for c in windows.PLACES))
 
 
+@pytest.mark.parametrize("total", [True, False])
+def test_one_task_does_all_rounds_of_a_pair(spark, sequences, monkeypatch, total):
+    a, b, da, db, pairs = sequences
+    some = pairs.filter("x = 1 and y = 1 or x = 4 and y = 4")
+    rounds, by_key = windows._in_rounds, lambda df: {(r.x, r.y): r for r in df.collect()}
+    monkeypatch.setattr(windows, "AT_ONCE", 5)
+    monkeypatch.setattr(windows, "_in_rounds", lambda *_: pytest.fail("a round of jobs"))
+    got = by_key(windows.align_long(some, da, db, "x", "y", k=None, tile=64, overlap=96, total=total, max_rounds=2))
+    monkeypatch.setattr(windows, "_in_rounds", rounds)
+    monkeypatch.setattr(windows, "TOGETHER", 1)
+    want = by_key(windows.align_long(some, da, db, "x", "y", k=None, tile=64, overlap=96, total=total, max_rounds=2))
+    assert sorted(got) == sorted(want) == [(1, 1), (4, 4)]
+    for at, r in got.items():
+        for c, v in r.asDict().items():
+            assert v == (pytest.approx(want[at][c], abs=1e-9) if v is not None else want[at][c])
+
+
 def test_seeds_choose_tiles(spark, sequences):
     a, b, da, db, pairs = sequences
     tiles = {(r.x, r.y): set() for r in pairs.collect()}
