@@ -35,11 +35,16 @@ PLACES = ("a_start", "a_end", "b_start", "b_end")
 def seed_tiles(pairs: DataFrame, a: DataFrame, b: DataFrame, key_a: str, key_b: str, k: int, tile: int = TILE, reach: int = 256, seq: str = "seq") -> DataFrame:
     """(key_a, key_b, tile_a, tile_b): the tiles of each pair that lie within ``reach`` of a k-mer that both of its sequences have.
 
-    K-mers meet by the tiles that they stand in, once for each tile, so a frequent one makes no more rows than the pair has tiles.
+    K-mers meet by the tiles that they stand in, once for each tile, so a frequent one makes no more rows than the pair has tiles. If those of ``a`` are few, no others of ``b`` are
+    looked at.
     """
+    own = a.select(F.explode(kmers(F.col(seq), k)).alias("gram")).distinct()
+    few = own.count() * 64 <= 8 << 20
 
     def near(df: DataFrame, key: str, name: str) -> DataFrame:
         placed = df.select(key, F.char_length(seq).alias("n"), F.posexplode(kmers(F.col(seq), k)).alias("pos", "gram"))
+        if few and df is b:
+            placed = placed.join(F.broadcast(own), "gram", "left_semi")
         low = F.greatest(F.lit(0), F.floor((F.col("pos") - reach) / tile)).cast("int")
         high = F.least(F.floor((F.col("n") - 1) / tile), F.floor((F.col("pos") + k + reach) / tile)).cast("int")
         spans = placed.select(key, "gram", low.alias("low"), high.alias("high")).distinct()

@@ -125,6 +125,12 @@ def test_seeds_choose_tiles(spark, sequences):
     assert all(near[i, i].log_odds > 10 for i in (1, 2, 4))
 
 
+def test_seeds_of_few_kmers_leave_the_others_out_first(spark, sequences):
+    _, _, da, db, pairs = sequences
+    plan = windows.seed_tiles(pairs, da, db, "x", "y", k=12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_a_long_pair_is_many_rows(spark):
     rng = random.Random(3)
     a = letters(rng, 30_000)
