@@ -108,7 +108,7 @@ _BLENDED = f"""
 def align_odds_blend(spark, sf_dir):
     """Both population models blend a uniform one with one that prefers TA and AT, weighed by what each has cost of late. Tasks make the chances from the letters: a row has only these."""
     mixed = {"mixed": lambda size, order: places.Blend([places.Adaptive(size, -1), places.Fixed(_ta_rich())])}
-    return align.odds_of_pairs(met_pairs(spark, sf_dir), model="mixed", models=mixed).withColumn("log_odds", F.round("log_odds", 4))
+    return align.odds_of_pairs(met_pairs(spark, sf_dir), model="mixed", models=mixed).select(*KEYS, F.round("log_odds", 4).alias("log_odds"))
 
 
 _TABLE_SUB = "[" + ", ".join(str(-math.log2(x)) for x in TABLE.ravel()) + "]"

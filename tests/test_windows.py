@@ -204,3 +204,19 @@ def test_blends_of_fixed_models_tell_all_places_at_once(monkeypatch):
         assert places.along(make(), codes[:n], 4) == pytest.approx(np.exp2(-want[:n]), abs=1e-12)
         monkeypatch.undo()
     assert places.Blend([places.Adaptive(4, 1)]).table(codes) is None
+
+
+def test_blends_go_by_whole_pairs_and_write_no_chances(spark, monkeypatch):
+    from bitloom.plans import catalog, placed  # noqa: F401
+
+    monkeypatch.setattr(places, "pieces", lambda *_, **__: pytest.fail("chances as rows"))
+    out = catalog.QUERIES["align_odds_blend"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["item_id", "doc_id", "log_odds"] and out.count() == 12
+    rng = random.Random(14)
+    core = letters(rng, 90)
+    pairs = [(core, letters(rng, 50) + core[:45] + letters(rng, 700) + core[45:]), (core * 2, core), (core, "")]
+    codes = [tuple(places.coded(s, "acgt") for s in p) for p in pairs[:2]]
+    batch = align.Batch(codes, [tuple(places.chances("blend(1)", z, 4) for z in both) for both in codes])
+    pair, cost = ({k: np.full(2, v) for k, v in x.items()} for x in (align.PAIR, align.AFFINE))
+    for total, want in ((True, align.summed_by_diagonals(batch, pair, cost, True, counted=False)[0]), (False, align.likeliest(batch, pair, cost, True, False)[0])):
+        assert align.fixed_odds(pairs, total=total, model="blend(1)") == pytest.approx([*want, 0.0], abs=1e-9)
